@@ -10,77 +10,73 @@ from pyspark.sql import functions as F
 
 from relweave import schema as S
 from relweave.functions.rules import NAME_RULES, PII_PATTERNS, TYPE_FALLBACKS
-from relweave.functions.texts import value_text
+from relweave.functions.texts import array_sql, stack_rows, text_sql, value_text
 
 CAMEL_FACTOR = 0.9
 FALLBACK_CONFIDENCE = 0.5
 FINGERPRINT_LENGTH = 16
 
 
-def first_rule(name: Column) -> Column:
-    """Number of the first name rule that matches, else NULL.
+def first_rule(name: str) -> Column:
+    """Number of the first name rule that matches the SQL expression ``name``, else NULL.
 
     The rules are literals of one expression: each pattern is compiled once per task and
     no rule table has to be joined to the catalog.
     """
-    return F.coalesce(
-        *[F.when(name.rlike(rule[0]), F.lit(k)) for k, rule in enumerate(NAME_RULES)]
-    )
+    tests = " ".join(f"WHEN {name} RLIKE {text_sql(rule[0])} THEN {k}" for k, rule in enumerate(NAME_RULES))
+    return F.expr(f"CASE {tests} END")
 
 
-def split_camel(name: Column) -> Column:
-    """camelCase to camel_case, hyphens to underscores, lowercase."""
-    split = F.regexp_replace(name, "([a-z])([A-Z])", "$1_$2")
-    return F.lower(F.replace(split, F.lit("-"), F.lit("_")))
+# camelCase to camel_case, hyphens to underscores, lowercase
+SPLIT_CAMEL = "lower(replace(regexp_replace(column, '([a-z])([A-Z])', '$1_$2'), '-', '_'))"
 
 
-def _params(rule: Column) -> Column:
-    """Rule parameters, overridden by column metadata."""
-    texts = F.array(*[_string_map(params) for *_, params in NAME_RULES])
-    of_rule = F.coalesce(F.get(texts, rule), _string_map({}))
-    enum_text = F.when(F.size("enum_values") > 0, F.to_json("enum_values"))
-    own = F.map_filter(
-        F.create_map(
-            F.lit("max_length"), F.col("max_length").cast("string"),
-            F.lit("precision"), F.col("precision").cast("string"),
-            F.lit("scale"), F.col("scale").cast("string"),
-            F.lit("enum_values"), enum_text,
-        ),
-        lambda _, v: v.isNotNull(),
-    )
-    kept = F.map_filter(of_rule, lambda k, _: ~F.map_contains_key(own, k))
-    return F.map_concat(kept, own)
+def _map_sql(values: Mapping[str, str]) -> str:
+    if not values:
+        return "cast(map() AS map<string, string>)"
+    return "map(" + ", ".join(f"{text_sql(k)}, {text_sql(v)}" for k, v in values.items()) + ")"
 
 
-def _string_map(values: Mapping[str, str]) -> Column:
-    keys = F.array(*[F.lit(k) for k in values]).cast("array<string>")
-    texts = F.array(*[F.lit(v) for v in values.values()]).cast("array<string>")
-    return F.map_from_arrays(keys, texts)
+def _params(rule: str) -> Column:
+    """Rule parameters, overridden by column metadata."""
+    with_params = [(k, r[4]) for k, r in enumerate(NAME_RULES) if r[4]]
+    of_rule = (
+        f"CASE {rule} " + " ".join(f"WHEN {k} THEN {_map_sql(p)}" for k, p in with_params)
+        + f" ELSE {_map_sql({})} END"
+    )
+    own = (
+        "map_filter(map('max_length', string(max_length), 'precision', string(precision), "
+        "'scale', string(scale), 'enum_values', if(size(enum_values) > 0, to_json(enum_values), NULL)), "
+        "(k, v) -> v IS NOT NULL)"
+    )
+    return F.expr(f"map_concat(map_filter({of_rule}, (k, v) -> NOT map_contains_key({own}, k)), {own})")
 
 
 def map_columns(catalog: DataFrame) -> DataFrame:
     """Add ``generator, provider, confidence, params``: first rule on the lowercase name,
     then on the camel-split name (confidence x 0.9), then the type's fallback."""
-    ruled = catalog.withColumn("_full", first_rule(F.lower("column")))
-    ruled = ruled.withColumn("_split", F.when(F.col("_full").isNull(), first_rule(split_camel(F.col("column")))))
-    rule = F.coalesce("_full", "_split")
-
-    def pick(position: int) -> Column:
-        return F.get(F.array(*[F.lit(r[position]) for r in NAME_RULES]), rule)
-
-    fallback = F.create_map(*[F.lit(x) for pair in TYPE_FALLBACKS.items() for x in pair])
-    by_type = F.coalesce(F.try_element_at(fallback, F.col("data_type")), F.lit("random_string"))
-    confidence = (
-        F.when(F.col("_full").isNotNull(), pick(3))
-        .when(F.col("_split").isNotNull(), pick(3) * F.lit(CAMEL_FACTOR))
-        .otherwise(F.lit(FALLBACK_CONFIDENCE))
+    ruled = catalog.withColumn("_full", first_rule("lower(column)"))
+    # only names the first pass left open, and only where splitting changes them
+    retry = f"if(_full IS NULL AND {SPLIT_CAMEL} <> lower(column), {SPLIT_CAMEL}, NULL)"
+    ruled = ruled.withColumn("_split_name", F.expr(retry))
+    ruled = ruled.withColumn("_split", first_rule("_split_name")).withColumn("_rule", F.coalesce("_full", "_split"))
+
+    def of_rule(position: int) -> str:
+        return f"get({array_sql([r[position] for r in NAME_RULES])}, _rule)"
+
+    by_type = f"coalesce(try_element_at({_map_sql(TYPE_FALLBACKS)}, data_type), 'random_string')"
+    confidence = array_sql([r[3] for r in NAME_RULES]).replace(",", "D,").replace(")", "D)")
+    certainty = (
+        f"CASE WHEN _full IS NOT NULL THEN get({confidence}, _full) "
+        f"WHEN _split IS NOT NULL THEN get({confidence}, _split) * {CAMEL_FACTOR}D "
+        f"ELSE {FALLBACK_CONFIDENCE}D END"
     )
     return ruled.select(
         *catalog.columns,
-        F.coalesce(pick(1), by_type).alias("generator"),
-        F.coalesce(pick(2), F.lit("builtin")).alias("provider"),
-        confidence.alias("confidence"),
-        _params(rule).alias("params"),
+        F.expr(f"coalesce({of_rule(1)}, {by_type})").alias("generator"),
+        F.expr(f"coalesce({of_rule(2)}, 'builtin')").alias("provider"),
+        F.expr(certainty).alias("confidence"),
+        _params("_rule").alias("params"),
     )
 
 
@@ -138,20 +134,13 @@ def column_profile(df: DataFrame, table: str, *, max_allowed: int = 20) -> DataF
     One grouping over the unpivoted columns.  Values are collected only for columns whose
     distinct count has been found to be at most ``max_allowed``.
     """
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(k).alias("ordinal"),
-                F.lit(c).alias("column"),
-                F.lit(S.data_type_of(df.schema[c].dataType)).alias("data_type"),
-                value_text(F.col(c), df.schema[c].dataType).alias("value"),
-            )
-            for k, c in enumerate(df.columns)
-        ]
-    )
+    rows = [
+        [str(k), text_sql(c), text_sql(S.data_type_of(f.dataType)), value_text(c, f.dataType)]
+        for k, (c, f) in enumerate(zip(df.columns, df.schema, strict=True))
+    ]
     keys = ["ordinal", "column", "data_type"]
     grouped = (
-        df.select(F.explode(cells).alias("c")).select("c.*").groupBy(*keys, "value")
+        df.select(stack_rows(rows, [*keys, "value"])).groupBy(*keys, "value")
         .agg(F.count("*").alias("n"))
     )
     stats = grouped.groupBy(*keys).agg(

@@ -62,13 +62,12 @@ def lookup_columns(
 ) -> DataFrame:
     """Set several columns from one drawn row of a lookup table.
 
-    ``columns`` maps target column -> lookup column.  Spark broadcasts the lookup only
-    when its measured size is below the broadcast threshold.
+    ``columns`` maps target column -> lookup column; rows that repeat weigh accordingly.
+    Spark broadcasts the lookup only when its measured size is below the broadcast threshold.
     """
     used = list(dict.fromkeys(columns.values()))
-    source = lookup.select(*used).distinct()
-    size = source.agg(F.nullif(F.count("*"), F.lit(0))).scalar()
-    numbered = dense_index(source, used, index="_ix").select(
+    size = lookup.agg(F.nullif(F.count("*"), F.lit(0))).scalar()
+    numbered = dense_index(lookup, lookup.columns, index="_ix", unique=False).select(
         "_ix", *[F.col(c).alias(f"_lk_{c}") for c in used]
     )
     joined = df.withColumn("_ix", draw(seed, table, tag, F.col(row_id)) % size).join(

@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from relweave import schema as S
+from relweave.functions.texts import name_sql, stack_rows, text_sql
 from relweave.operators.positions import dense_codes, key_text, running_before, spread_copies
 
 MAX_SAMPLE = 10_000
@@ -57,13 +58,13 @@ def _number(name: str, dtype) -> Column:
     return F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0))
 
 
+def _long(columns: Sequence[str]) -> Column:
+    return stack_rows([[text_sql(c), name_sql(c)] for c in columns], ["column", "value"])
+
+
 def category_codes(combined: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value, code): place of each distinct text value in its column's sorted order."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])
-    distinct = (
-        combined.select(F.explode(cells).alias("c")).select("c.column", "c.value").distinct()
-    )
-    return dense_codes(distinct, ["column"], "value")
+    return dense_codes(combined.select(_long(columns)).distinct(), ["column"], "value")
 
 
 def features(
@@ -114,10 +115,7 @@ def features(
 
     sampled = sample(real, 1).unionByName(sample(synthetic, 0))
     if other:
-        cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in other])
-        long = sampled.select(
-            "label", "_rank", *numeric, F.explode(cells).alias("_c")
-        ).select("label", "_rank", *numeric, "_c.column", "_c.value")
+        long = sampled.select("label", "_rank", *numeric, _long(other))
         coded = category_codes(combined, other).join(long, ["column", "value"])
         sampled = coded.groupBy("label", "_rank", *numeric).pivot("column", other).agg(F.max("code"))
         sampled = sampled.select(

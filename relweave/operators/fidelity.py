@@ -16,30 +16,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relweave import schema as S
-from relweave.functions.texts import value_text
-from relweave.operators.positions import bucket_by_value, running_before
+from relweave.functions.texts import array_sql, name_sql, stack_rows, value_text
+from relweave.operators.positions import running_before, slot_of
 
 RANK_BUCKETS = 1024
 
 
-def _numeric(value: Column, dtype: T.DataType) -> Column:
+def _number_sql(column: str, dtype: T.DataType) -> str:
     """As double; text that is no number and NaN become NULL, -0.0 becomes 0.0."""
-    number = value.try_cast("double") if isinstance(dtype, T.StringType) else value.cast("double")
-    return F.nullif(number + F.lit(0.0), F.lit(float("nan")))
+    cast = "try_cast" if isinstance(dtype, T.StringType) else "cast"
+    return f"nullif({cast}({name_sql(column)} AS double) + 0.0D, double('NaN'))"
 
 
-def _slots(value: Column, dtype: T.DataType, kind: str) -> list[Column]:
+def _slots(column: str, dtype: T.DataType, kind: str) -> list[str]:
     """(num, whole, txt): the value as double, and what a double would blur."""
-    num, whole, txt = (F.lit(None).cast(t) for t in ("double", "bigint", "string"))
+    num, whole, txt = "double(NULL)", "bigint(NULL)", "string(NULL)"
     if kind != "numeric":
-        txt = value_text(value, dtype)
+        txt = value_text(column, dtype)
     else:
-        num = _numeric(value, dtype)
+        num = _number_sql(column, dtype)
         if isinstance(dtype, T.LongType):
-            whole = value
+            whole = name_sql(column)
         elif isinstance(dtype, (T.DecimalType, T.StringType)):
-            txt = value_text(value, dtype)
-    return [num.alias("num"), whole.alias("whole"), txt.alias("txt")]
+            txt = value_text(column, dtype)
+    return [num, whole, txt]
 
 
 def value_counts(
@@ -49,29 +49,24 @@ def value_counts(
 
     ``columns`` maps a name to its kind: ``numeric``, ``categorical`` or ``other``.
     """
+    labels, kinds = list(columns), list(columns.values())
 
     def unpivot(df: DataFrame, is_reference: int) -> DataFrame:
-        cells = [
-            F.struct(
-                F.lit(name).alias("column"),
-                F.lit(kind).alias("kind"),
-                *_slots(F.col(name), df.schema[name].dataType, kind),
-                F.col(name).isNotNull().alias("present"),
-            )
-            for name, kind in columns.items()
+        rows = [
+            [str(k), *_slots(c, df.schema[c].dataType, kind), f"{name_sql(c)} IS NOT NULL"]
+            for k, (c, kind) in enumerate(columns.items())
         ]
-        return (
-            df.select(F.explode(F.array(*cells)).alias("c"))
-            .where("c.present")
-            .select(
-                "c.column", "c.kind", "c.num", "c.whole", "c.txt",
-                F.lit(is_reference).alias("ref"), F.lit(1 - is_reference).alias("syn"),
-            )
+        return df.select(stack_rows(rows, ["_c", "num", "whole", "txt", "_present"])).where("_present").selectExpr(
+            "_c", "num", "whole", "txt", f"{is_reference} AS ref", f"{1 - is_reference} AS syn"
         )
 
     both = unpivot(reference, 1).unionByName(unpivot(synthetic, 0))
-    return both.groupBy("column", "kind", "num", "whole", "txt").agg(
+    # the column number is the grouping key: shorter rows in the exchange than its name
+    return both.groupBy("_c", "num", "whole", "txt").agg(
         F.sum("ref").alias("ref_n"), F.sum("syn").alias("syn_n")
+    ).selectExpr(
+        f"get({array_sql(labels)}, _c) AS column", f"get({array_sql(kinds)}, _c) AS kind",
+        "num", "whole", "txt", "ref_n", "syn_n",
     )
 
 
@@ -108,50 +103,58 @@ def tv_and_cardinality(counts: DataFrame) -> DataFrame:
 
 
 def ks_scores(counts: DataFrame, buckets: int = RANK_BUCKETS) -> DataFrame:
-    """(column, ks): 1 - the two-sample KS statistic, exact.
+    """(column, ref_total, syn_total, ks): 1 - the two-sample KS statistic, exact.
 
-    Distinct values are cut into order-preserving buckets, cumulated inside each bucket,
-    and completed by the broadcast sums of the buckets before.
+    Distinct values are cut at approximate quantiles into buckets in value order, cumulated
+    inside each bucket, and completed by the broadcast sums of the buckets before.  The
+    cuts only balance the work; every value is counted where it belongs.
     """
-    values = counts.where("kind = 'numeric' AND num IS NOT NULL").groupBy("column", "num").agg(
-        F.sum("ref_n").alias("ref_n"), F.sum("syn_n").alias("syn_n")
+    # tested above the grouping: all metrics then share one exchange of the value counts
+    values = counts.where("if(ref_n + syn_n > 0, num, NULL) IS NOT NULL")
+    cuts = values.groupBy("column").agg(
+        F.percentile_approx("num", [k / buckets for k in range(1, buckets)]).alias("_cuts"),
+        F.sum("ref_n").alias("ref_total"),
+        F.sum("syn_n").alias("syn_total"),
     )
-    slotted = bucket_by_value(values, ["column"], "num", buckets)
-    by_slot = slotted.groupBy("column", "_slot").agg(
+    slot = F.coalesce(slot_of(F.col("num"), F.col("_cuts"), buckets.bit_length()), F.lit(0))
+    slotted = values.join(F.broadcast(cuts), "column").select(  # one row per measured column
+        "column", "num", "ref_n", "syn_n", "ref_total", "syn_total", slot.alias("_slot")
+    )
+    by_slot = slotted.groupBy("column", "_slot", "ref_total", "syn_total").agg(
         F.sum("ref_n").alias("_ref"), F.sum("syn_n").alias("_syn")
     )
-    whole = W.partitionBy("column")
     offsets = by_slot.select(
         "column", "_slot",
         running_before("_ref", "_slot", "column").alias("_ref_before"),
         running_before("_syn", "_slot", "column").alias("_syn_before"),
-        F.sum("_ref").over(whole).alias("_ref_total"),
-        F.sum("_syn").over(whole).alias("_syn_total"),
+        "ref_total", "syn_total",
     )
-    within = W.partitionBy("column", "_slot").orderBy("num")
+    within = W.partitionBy("column", "_slot").orderBy("num")  # equal numbers count together
     running = slotted.select(
         "column", "_slot",
         F.sum("ref_n").over(within).alias("_ref_run"),
         F.sum("syn_n").over(within).alias("_syn_run"),
-    ).join(F.broadcast(offsets), ["column", "_slot"])  # about `buckets` rows per column
+    ).join(F.broadcast(offsets), ["column", "_slot"])  # at most `buckets` rows per column
     gap = F.abs(
-        _share(F.col("_ref_before") + F.col("_ref_run"), F.col("_ref_total"))
-        - _share(F.col("_syn_before") + F.col("_syn_run"), F.col("_syn_total"))
+        _share(F.col("_ref_before") + F.col("_ref_run"), F.col("ref_total"))
+        - _share(F.col("_syn_before") + F.col("_syn_run"), F.col("syn_total"))
     )
     # one side empty: the shares are NULL and the score is 1
-    return running.groupBy("column").agg((1.0 - F.coalesce(F.max(gap), F.lit(0.0))).alias("ks"))
+    return running.groupBy("column").agg(
+        F.max("ref_total").alias("ref_total"),
+        F.max("syn_total").alias("syn_total"),
+        (1.0 - F.coalesce(F.max(gap), F.lit(0.0))).alias("ks"),
+    )
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(i, j, r) for i < j plus (i, i, 1); pairwise complete rows, 0 where a side is constant."""
-    vector = F.array(*[_numeric(F.col(c), df.schema[c].dataType) for c in columns])
+    vector = F.expr("array(" + ", ".join(_number_sql(c, df.schema[c].dataType) for c in columns) + ")")
     n = len(columns)
-    pairs = F.array(
-        *[
-            F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
-            for i in range(n)
-            for j in range(i, n)
-        ]
+    pairs = F.expr(
+        "array("
+        + ", ".join(f"named_struct('i', {i}, 'j', {j})" for i in range(n) for j in range(i, n))
+        + ")"
     )
     cells = (
         df.select(vector.alias("v"), F.explode(pairs).alias("p"))
@@ -236,11 +239,8 @@ def table_fidelity(
     ]
     numeric = sorted(c for c, kind in kinds.items() if kind == "numeric")
     if numeric:
-        usable = counts.where("num IS NOT NULL").groupBy("column").agg(
-            F.sum("ref_n").alias("_r"), F.sum("syn_n").alias("_s")
-        ).where("_r > 0 AND _s > 0").select("column")
         parts.append(
-            ks_scores(counts, buckets).join(F.broadcast(usable), "column", "left_semi").select(
+            ks_scores(counts, buckets).where("ref_total > 0 AND syn_total > 0").select(
                 F.lit("ks_complement").alias("metric"), F.lit("ks").alias("short"),
                 "column", F.col("ks").alias("score"),
             )

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relweave import schema as S
-from relweave.functions.texts import value_text as key_value_text
+from relweave.functions.texts import array_sql, name_sql, stack_rows, text_sql, value_text
 
 
 def _row(check: str, table: str, column: str, bad: Column, noun: str) -> list[Column]:
@@ -57,23 +57,14 @@ def unique(df: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
 
 def not_null(df: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
     """All columns in one scan, one result row per column."""
-    counts = df.agg(
-        F.count("*").alias("_rows"),
-        *[F.count_if(F.col(c).isNull()).alias(f"_c{k}") for k, c in enumerate(columns)],
+    counts = df.select(
+        F.expr("count(*)").alias("_rows"),
+        *[F.expr(f"count_if({name_sql(c)} IS NULL)").alias(f"_c{k}") for k, c in enumerate(columns)],
     ).where("_rows > 0")
-    pairs = F.array(
-        *[
-            F.struct(F.lit(c).alias("column"), F.col(f"_c{k}").alias("bad"))
-            for k, c in enumerate(columns)
-        ]
-    )
-    bad = F.col("r.bad")
-    return counts.select(F.explode(pairs).alias("r")).select(
-        F.lit("not_null").alias("check"),
-        F.lit(table).alias("table"),
-        F.col("r.column").alias("column"),
-        (bad == 0).alias("passed"),
-        F.when(bad == 0, "").otherwise(F.concat(bad.cast("string"), F.lit(" NULL values"))).alias("details"),
+    rows = [[text_sql(c), f"_c{k}"] for k, c in enumerate(columns)]
+    return counts.select(stack_rows(rows, ["column", "bad"])).selectExpr(
+        "'not_null' AS check", f"{text_sql(table)} AS table", "column", "bad = 0 AS passed",
+        "if(bad = 0, '', concat(string(bad), ' NULL values')) AS details",
     )
 
 
@@ -143,24 +134,17 @@ def _key_checks(table: S.Table, present: Mapping[str, DataFrame]) -> list[_KeyCh
     return out
 
 
-def _key_cell(df: DataFrame, number: int, columns: Sequence[str], check: _KeyCheck, parent: bool) -> Column:
-    """One key of one row: a lone integer key as bigint, anything else as an array of texts."""
-    types = [df.schema[c].dataType for c in columns]
-    lone = len(columns) == 1 and isinstance(types[0], T.IntegralType)
-    complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
-    tested = F.lit(1) if check.nulls_count else F.when(complete, 1).otherwise(0)
-    return F.struct(
-        F.lit(number).alias("number"),
-        (F.col(columns[0]).cast("bigint") if lone else F.lit(None).cast("bigint")).alias("whole"),
-        (
-            F.lit(None).cast("array<string>")
-            if lone
-            else F.array(*[key_value_text(F.col(c), t) for c, t in zip(columns, types, strict=True)])
-        ).alias("texts"),
-        F.lit(0 if parent else 1).alias("rows"),
-        (F.lit(0) if parent else tested).alias("tested"),
-        F.lit(1 if parent else 0).alias("parents"),
-    )
+def _key_slots(df: DataFrame, columns: Sequence[str], width: int, integral: bool) -> list[str]:
+    """Integer keys as ``width`` bigint slots, other keys as an array of texts."""
+    if integral:
+        numbers = [f"bigint({name_sql(c)})" for c in columns]
+        return [*numbers, *["bigint(NULL)"] * (width - len(numbers)), "cast(NULL AS array<string>)"]
+    texts = ", ".join(value_text(c, df.schema[c].dataType) for c in columns)
+    return [*["bigint(NULL)"] * width, f"array({texts})"]
+
+
+def _all_integral(df: DataFrame, columns: Sequence[str]) -> bool:
+    return all(isinstance(df.schema[c].dataType, T.IntegralType) for c in columns)
 
 
 def key_report(tables: Mapping[str, DataFrame], db: S.Database) -> DataFrame | None:
@@ -172,43 +156,48 @@ def key_report(tables: Mapping[str, DataFrame], db: S.Database) -> DataFrame | N
     checks = [c for t in db.tables if t.name in tables for c in _key_checks(t, tables)]
     if not checks:
         return None
-    cells: dict[str, list[Column]] = {}
+    width = max(len(c.columns) for c in checks)
+    cells: dict[str, list[list[str]]] = {}
     for number, check in enumerate(checks):
         own = tables[check.table]
-        cells.setdefault(check.table, []).append(_key_cell(own, number, check.columns, check, False))
-        if check.ref_table:
-            ref = tables[check.ref_table]
-            cells.setdefault(check.ref_table, []).append(
-                _key_cell(ref, number, check.ref_columns, check, True)
-            )
-    keys = [
-        tables[name].select(F.explode(F.array(*columns)).alias("k")).select("k.*")
-        for name, columns in cells.items()
-    ]
-    by_key = reduce(DataFrame.unionByName, keys).groupBy("number", "whole", "texts").agg(
+        ref = tables[check.ref_table] if check.ref_table else None
+        integral = _all_integral(own, check.columns) and (
+            ref is None or _all_integral(ref, check.ref_columns)
+        )
+        complete = " AND ".join(f"{name_sql(c)} IS NOT NULL" for c in check.columns)
+        tested = "1" if check.nulls_count else f"int({complete})"
+        slots = _key_slots(own, check.columns, width, integral)
+        cells.setdefault(check.table, []).append([str(number), *slots, "1", tested, "0"])
+        if ref is not None:
+            slots = _key_slots(ref, check.ref_columns, width, integral)
+            cells.setdefault(check.ref_table, []).append([str(number), *slots, "0", "0", "1"])
+    slot_names = [*[f"k{i}" for i in range(width)], "texts"]
+    names = ["number", *slot_names, "rows", "tested", "parents"]
+    keys = [tables[name].select(stack_rows(rows, names)) for name, rows in cells.items()]
+    by_key = reduce(DataFrame.unionByName, keys).groupBy("number", *slot_names).agg(
         F.sum("rows").alias("rows"), F.sum("tested").alias("tested"), F.sum("parents").alias("parents")
     )
-    references = F.array(*[F.lit(c.ref_table is not None) for c in checks])
-    is_fk = F.get(references, F.col("number"))
+    is_fk = F.expr(f"get({array_sql([c.ref_table is not None for c in checks])}, number)")
     found = by_key.groupBy("number").agg(
         F.sum("rows").alias("rows"),
         F.sum("parents").alias("parents"),
-        F.sum(F.greatest(F.col("tested") - 1, F.lit(0))).alias("repeats"),
-        F.sum(F.when(F.col("parents") == 0, F.col("tested")).otherwise(0)).alias("orphans"),
-    ).where(F.col("rows") > 0).where(~is_fk | (F.col("parents") > 0))
+        F.sum(F.expr("greatest(tested - 1, 0)")).alias("repeats"),
+        F.sum(F.expr("if(parents = 0, tested, 0)")).alias("orphans"),
+    ).withColumn("is_fk", is_fk).where("rows > 0 AND (NOT is_fk OR parents > 0)")
 
-    def text(values: list[str]) -> Column:
-        return F.get(F.array(*[F.lit(v) for v in values]), F.col("number"))
+    def text(values: list[str], name: str) -> Column:
+        return F.expr(f"get({array_sql(values)}, number)").alias(name)
 
-    bad = F.when(is_fk, F.col("orphans")).otherwise(F.col("repeats"))
+    bad = F.expr("if(is_fk, orphans, repeats)").alias("bad")
     return found.select(
-        text([c.check for c in checks]).alias("check"),
-        text([c.table for c in checks]).alias("table"),
-        text([", ".join(c.columns) for c in checks]).alias("column"),
-        (bad == 0).alias("passed"),
-        F.when(bad == 0, "").otherwise(
-            F.concat_ws(" ", bad.cast("string"), text([c.noun for c in checks]))
-        ).alias("details"),
+        text([c.check for c in checks], "check"),
+        text([c.table for c in checks], "table"),
+        text([", ".join(c.columns) for c in checks], "column"),
+        bad,
+        text([c.noun for c in checks], "noun"),
+    ).selectExpr(
+        "check", "table", "column", "bad = 0 AS passed",
+        "if(bad = 0, '', concat_ws(' ', string(bad), noun)) AS details",
     )
 
 

@@ -123,18 +123,16 @@ def split_points(
     return sampled.groupBy(*groups).agg(F.array_sort(F.collect_set(cut)).alias("_cuts"))
 
 
-def locate(value: Column, cuts: str, steps: int):
-    """Binary search as a function df -> df that adds ``_slot``: how many cuts are <= value."""
+def slot_of(value: Column, cuts: Column, steps: int) -> Column:
+    """How many of the sorted ``cuts`` are <= value, by binary search in ``steps`` probes."""
+    widths = F.array(*[F.lit(2**k) for k in reversed(range(steps))])
 
-    def apply(df: DataFrame) -> DataFrame:
-        df = df.withColumn("_slot", F.lit(0))
-        for k in reversed(range(steps)):
-            probe = F.col("_slot") + 2**k
-            hit = (probe <= F.size(cuts)) & (F.get(F.col(cuts), probe - 1) <= value)
-            df = df.withColumn("_slot", F.when(hit, probe).otherwise(F.col("_slot")))
-        return df
+    def probe(slot: Column, width: Column) -> Column:
+        at = slot + width
+        hit = (at <= F.size(cuts)) & (F.get(cuts, at - 1) <= value)
+        return F.when(hit, at).otherwise(slot)
 
-    return apply
+    return F.aggregate(widths, F.lit(0), probe)
 
 
 def bucket_by_value(
@@ -142,16 +140,10 @@ def bucket_by_value(
 ) -> DataFrame:
     """Add ``_slot``, an order-preserving bucket of ``value`` within its group."""
     cuts = split_points(values, groups, value, target)
-    steps = target.bit_length() + 1
-    located = locate(F.col(value), "_cuts", steps)(
-        values.join(F.broadcast(cuts), list(groups), "left")  # one row per measured column
-        .withColumn("_cuts", F.coalesce("_cuts", F.array().cast(_array_of(values, value))))
-    )
-    return located.drop("_cuts")
-
-
-def _array_of(df: DataFrame, column: str) -> str:
-    return f"array<{df.schema[column].dataType.simpleString()}>"
+    steps = target.bit_length() + 1  # room for twice the expected number of cuts
+    joined = values.join(F.broadcast(cuts), list(groups), "left")  # one row per measured column
+    slot = F.coalesce(slot_of(F.col(value), F.col("_cuts"), steps), F.lit(0))
+    return joined.withColumn("_slot", slot).drop("_cuts")
 
 
 def dense_codes(

@@ -40,9 +40,9 @@ def query(name: str, sql: str | None = None) -> Callable:
 # --- SQL text of the deterministic draws --------------------------------------
 def hex_sql(table: str, column: str, row: str, part: int | str = 0) -> str:
     if isinstance(part, str):
-        return f"md5('{SEED}:{table}:{column}#' || {part}::VARCHAR || ':' || {row}::VARCHAR)"
+        return f"md5('{SEED}:{table}:{column}#' || ({part})::VARCHAR || ':' || ({row})::VARCHAR)"
     tail = f"#{part}" if part else ""
-    return f"md5('{SEED}:{table}:{column}{tail}:' || {row}::VARCHAR)"
+    return f"md5('{SEED}:{table}:{column}{tail}:' || ({row})::VARCHAR)"
 
 
 def draw_sql(table: str, column: str, row: str, part: int | str = 0) -> str:
