@@ -47,24 +47,13 @@ def unit(seed: int, table: str, column: str, row_id: Column, part: Column | int
     return draw(seed, table, column, row_id, part).cast("double") / F.lit(UNIT_SPAN)
 
 
-def letters(number: Column, count: int = LETTERS_PER_DRAW) -> Column:
-    """``count`` lowercase letters, the base-26 digits of a draw."""
-    alphabet = F.lit(LETTERS)
-    return F.concat(
-        *[
-            F.substring(alphabet, _digit(number, k) + 1, F.lit(1))
-            for k in range(count)
-        ]
-    )
-
+BASE26 = "0123456789ABCDEFGHIJKLMNOP"
 
-def _digit(number: Column, k: int) -> Column:
-    return (_div(number, 26**k) % F.lit(26)).cast("int")
 
-
-def _div(number: Column, by: int) -> Column:
-    """Integer division that stays in bigint."""
-    return F.call_function("div", number, F.lit(by).cast("bigint"))
+def letters(number: Column, count: int = LETTERS_PER_DRAW) -> Column:
+    """``count`` lowercase letters: the low base-26 digits of a draw."""
+    low = number % F.lit(26**count).cast("bigint")
+    return F.translate(F.lpad(F.conv(low.cast("string"), 10, 26), count, "0"), BASE26, LETTERS)
 
 
 @dataclass(frozen=True)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from relweave.functions import words
 from relweave.functions.draws import LETTERS_PER_DRAW, Cell, letters
+from relweave.functions.texts import array_sql
 
 Builder = Callable[[Cell], Column]
 REGISTRY: dict[str, Builder] = {}
@@ -33,13 +34,9 @@ def generator(*names: str) -> Callable[[Builder], Builder]:
     return add
 
 
-def literal_array(values: Sequence) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
 def pick(cell: Cell, values: Sequence, part: Column | int = 0) -> Column:
     """A uniform choice from a short driver-side list."""
-    return F.element_at(literal_array(values), (cell.below(len(values), part) + 1).cast("int"))
+    return F.element_at(F.expr(array_sql(values)), (cell.below(len(values), part) + 1).cast("int"))
 
 
 def truncate(value: Column, max_length: int | None) -> Column:

@@ -62,20 +62,24 @@ def finite(value: Column, dtype: T.DataType) -> Column:
 def double_text(value: Column) -> Column:
     """Shortest digits of a double; plain notation from 1e-4 up to 1e16, else ``1e+16`` style."""
     short = value.cast("string")
-    size = F.abs(value)
-    plain = F.regexp_replace(
-        short.try_cast("decimal(38,21)").cast("string"), r"(\.\d+?)0+$", "$1"
+    # some JVMs print 16 or 17 digits where fewer identify the number
+    digits = F.length(F.regexp_replace(short, r"[-.]|E.*", ""))
+    rounded = [F.upper(F.format_string(f"%.{n}e", value)) for n in (14, 15)]
+    fits = [r.try_cast("double") == value for r in rounded]
+    short = (
+        F.when(digits < 16, short).when(fits[0], rounded[0]).when(fits[1], rounded[1]).otherwise(short)
     )
-    mantissa = F.regexp_replace(F.substring_index(short, "E", 1), r"\.0$", "")
-    exponent = F.substring_index(short, "E", -1)
-    sign = F.when(F.startswith(exponent, F.lit("-")), "-").otherwise("+")
-    digits = F.lpad(F.replace(exponent, F.lit("-"), F.lit("")), 2, "0")
-    long_digits = F.replace(exponent, F.lit("-"), F.lit(""))
-    digits = F.when(F.length(long_digits) >= 2, long_digits).otherwise(digits)
+    size = F.abs(value)
+    plain = F.regexp_replace(short.try_cast("decimal(38,21)").cast("string"), r"(\.\d+?)0+$", "$1")
+    mantissa = F.regexp_replace(F.substring_index(short, "E", 1), r"\.?0*$", "")
+    power = F.substring_index(short, "E", -1).try_cast("int")
+    shown = F.abs(power).cast("string")
+    shown = F.when(F.length(shown) < 2, F.lpad(shown, 2, "0")).otherwise(shown)
+    sign = F.when(power < 0, "-").otherwise("+")
     return (
         F.when(~F.contains(short, F.lit("E")), short)
         .when((size >= 1e-4) & (size < 1e16), plain)
-        .otherwise(F.concat(mantissa, F.lit("e"), sign, digits))
+        .otherwise(F.concat(mantissa, F.lit("e"), sign, shown))
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from relweave.functions import words
 from relweave.functions.draws import draw
+from relweave.functions.texts import text_sql
 from relweave.operators.positions import dense_index
 
 # The exact lowercase names that mark a geographic column.
@@ -39,11 +40,13 @@ def geo_coherence(
             df, places, {column: kind for kind, column in found.items()},
             seed=seed, table=table, row_id=row_id, tag="geo",
         )
-    options = F.array(
-        *[
-            F.struct(F.lit(c).alias("city"), F.lit(s).alias("state"), F.lit(z).alias("zip"))
+    options = F.expr(
+        "array("
+        + ", ".join(
+            f"named_struct('city', {text_sql(c)}, 'state', {text_sql(s)}, 'zip', {text_sql(z)})"
             for c, s, z in words.PLACES
-        ]
+        )
+        + ")"
     )
     at = draw(seed, table, "geo", F.col(row_id)) % F.lit(len(words.PLACES)).cast("bigint")
     place = F.element_at(options, (at + 1).cast("int"))

@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relweave import schema as S
@@ -154,18 +154,22 @@ def check_domains(catalog: DataFrame) -> DataFrame:
     )
 
 
-def table_domains(spark, table: S.Table) -> dict[str, Domain]:
-    """Domains of one table's CHECKs; the rows collected number at most its columns."""
-    if not any(c.check for c in table.columns):
-        return {}
-    rows = check_domains(S.catalog_frame(spark, S.Database((table,)))).where("parsed").collect()
-    return {
-        r["column"]: Domain(
-            r["min_value"], r["max_value"], r["min_open"], r["max_open"],
-            tuple(r["allowed_values"]) if r["allowed_values"] is not None else None,
-        )
-        for r in rows
-    }
+def database_domains(spark: SparkSession, db: S.Database) -> dict[str, dict[str, Domain]]:
+    """table -> column -> domain of its CHECK; the rows collected number at most the columns."""
+    checked = tuple(t for t in db.tables if any(c.check for c in t.columns))
+    out: dict[str, dict[str, Domain]] = {t.name: {} for t in db.tables}
+    if checked:
+        for r in check_domains(S.catalog_frame(spark, S.Database(checked))).where("parsed").collect():
+            allowed = r["allowed_values"]
+            out[r["table"]][r["column"]] = Domain(
+                r["min_value"], r["max_value"], r["min_open"], r["max_open"],
+                None if allowed is None else tuple(allowed),
+            )
+    return out
+
+
+def table_domains(spark: SparkSession, table: S.Table) -> dict[str, Domain]:
+    return database_domains(spark, S.Database((table,)))[table.name]
 
 
 def repair_check(

@@ -216,6 +216,7 @@ def generate_database(
         name: rows if isinstance(rows, int) else rows.get(name, default_rows) for name in order
     }
     mappings = column_mappings(spark, db)
+    all_domains = C.database_domains(spark, db)
     done: dict[str, DataFrame] = {}
     for name in order:
         table, n = db.table(name), counts[name]
@@ -228,7 +229,7 @@ def generate_database(
             df = K.autoincrement(df, table.auto_columns, F.col("_row"))
         later = [fk for t, fk in deferred if t == name]
         df = _relate(df, table, db, done, counts, later, seed)
-        domains = C.table_domains(spark, table)
+        domains = all_domains[name]
         df = geo_coherence(df, seed=seed, table=name, row_id="_row", places=places)
         df = C.repair_not_null(df, table, seed=seed, row_id="_row", domains=domains)
         df = C.repair_check(df, domains, table, seed=seed, row_id="_row")

@@ -8,10 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relweave.operators.detection import detection_verdict
-from relweave.operators.fidelity import fidelity_verdict
-from relweave.operators.integrity import integrity_passed
-
 VERSION = "1.0.0"
 
 # Fixed values: (green, yellow) limits of the score colours.
@@ -62,38 +58,29 @@ def quality_report(
     """
     report = _gather(counts.select("table", "rows"), "row_counts")
     checks = _gather(integrity.select("check", "table", "column", "passed", "details"), "checks")
-    report = report.withColumns(
-        {
-            "checks": checks.scalar(),
-            "integrity_passed": integrity_passed(integrity).select("passed").scalar(),
-        }
-    )
-    parts = [F.col("integrity_passed")]
+    report = report.withColumn("checks", checks.scalar())
+    # verdicts come from the gathered rows, so every check and metric is computed once
+    intact = F.forall("checks", lambda c: c["passed"])
+    parts = [intact]
     blocks = {
-        "integrity": F.struct(F.col("integrity_passed").alias("passed"), "checks"),
+        "integrity": F.struct(intact.alias("passed"), "checks"),
         "fidelity": F.lit(None).cast("struct<passed:boolean,overall_score:double>"),
         "detection": F.lit(None).cast("struct<passed:boolean,overall_score:double>"),
     }
     optional = (
-        ("fidelity", fidelity, fidelity_verdict, fidelity_threshold),
-        ("detection", detection, detection_verdict, detection_threshold),
+        ("fidelity", fidelity, "score", 0.0, lambda overall: overall >= fidelity_threshold),
+        ("detection", detection, "accuracy", 0.5, lambda overall: overall <= detection_threshold),
     )
-    for name, rows, verdict, threshold in optional:
+    for name, rows, score, default, judge in optional:
         if rows is None:
             continue
-        result = verdict(rows, threshold)
-        report = report.withColumns(
-            {
-                f"{name}_passed": result.select("passed").scalar(),
-                f"{name}_score": result.select("overall_score").scalar(),
-                f"{name}_metrics": _gather(rows, "metrics").scalar(),
-            }
-        )
-        parts.append(F.col(f"{name}_passed"))
+        report = report.withColumn(f"{name}_metrics", _gather(rows, "metrics").scalar())
+        metrics = F.col(f"{name}_metrics")
+        total = F.aggregate(metrics[score], F.lit(0.0), lambda a, v: a + v)
+        overall = F.when(F.size(metrics) > 0, total / F.size(metrics)).otherwise(F.lit(default))
+        parts.append(judge(overall))
         blocks[name] = F.struct(
-            F.col(f"{name}_passed").alias("passed"),
-            F.col(f"{name}_score").alias("overall_score"),
-            F.col(f"{name}_metrics").alias("metrics"),
+            judge(overall).alias("passed"), overall.alias("overall_score"), metrics.alias("metrics")
         )
     stamp = F.lit(timestamp) if timestamp else F.current_timestamp().cast("string")
     metadata = F.struct(

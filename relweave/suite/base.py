@@ -59,7 +59,7 @@ def between_sql(table: str, column: str, row: str, lo: int, hi: int, part: int |
 
 def letters_sql(number: str, count: int = 10) -> str:
     return "(" + " || ".join(
-        f"substr('{LETTERS}', (({number} // {26**k}) % 26)::INT + 1, 1)" for k in range(count)
+        f"substr('{LETTERS}', (({number} // {26**k}) % 26)::INT + 1, 1)" for k in reversed(range(count))
     ) + ")"
 
 

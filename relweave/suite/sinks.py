@@ -22,7 +22,7 @@ def _values(t):
     return t.events.selectExpr(
         "event_id", r"concat(event_type, '''s \\ ', substr(event_type, 1, 1)) AS event_type", "props",
         "value", "user_id % 2 = 0 AS flag", "cast(event_type AS binary) AS raw",
-        "to_date(ts) AS day", "timestamp_micros(unix_micros(ts) - if(user_id % 2 = 0, unix_micros(ts) % 1000000, 0)) AS ts",
+        "to_date(ts) AS day", "if(user_id % 2 = 0, cast(date_trunc('second', ts) AS timestamp_ntz), ts) AS ts",
         "CASE WHEN user_id % 3 = 0 THEN NULL WHEN user_id % 3 = 1 THEN double('NaN') ELSE user_id / 4D END AS sparse",
     )
 
@@ -65,11 +65,11 @@ for _dialect in L.DIALECTS:
 
 @query(
     "snk_number_text",
-    "SELECT o_orderkey, (o_totalprice * pow(10.0::DOUBLE, (o_orderkey % 19 - 9)::DOUBLE))::VARCHAR AS number FROM orders",
+    "SELECT o_orderkey, (o_totalprice::VARCHAR || 'e' || (o_orderkey % 31 - 15))::DOUBLE::VARCHAR AS number FROM orders",
 )
 def number_text(t):
-    """Plain and exponent notation over nineteen orders of magnitude."""
-    value = F.expr("o_totalprice * pow(10D, double(o_orderkey % 19 - 9))")
+    """Plain and exponent notation over thirty orders of magnitude."""
+    value = F.expr("double(concat(o_totalprice, 'E', o_orderkey % 31 - 15))")
     return t.orders.withColumn("n", value).select("o_orderkey", L.double_text(F.col("n")).alias("number"))
 
 
