@@ -50,10 +50,10 @@ def unit(seed: int, table: str, column: str, row_id: Column, part: Column | int
 BASE26 = "0123456789ABCDEFGHIJKLMNOP"
 
 
-def letters(number: Column, count: int = LETTERS_PER_DRAW) -> Column:
-    """``count`` lowercase letters: the low base-26 digits of a draw."""
-    low = number % F.lit(26**count).cast("bigint")
-    return F.translate(F.lpad(F.conv(low.cast("string"), 10, 26), count, "0"), BASE26, LETTERS)
+def letters(digits: Column, count: int = LETTERS_PER_DRAW) -> Column:
+    """``count`` lowercase letters: the low base-26 digits of the draw in a cell's hex digits."""
+    low = F.right(F.conv(F.substring(digits, 1, 15), 16, 26), F.lit(count))
+    return F.translate(F.lpad(low, count, "0"), BASE26, LETTERS)
 
 
 @dataclass(frozen=True)

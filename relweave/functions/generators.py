@@ -141,7 +141,7 @@ def random_letters(cell: Cell, length: int, first_part: int = 0) -> Column:
     chunks = []
     for start in range(0, length, LETTERS_PER_DRAW):
         count = min(LETTERS_PER_DRAW, length - start)
-        chunks.append(letters(cell.draw(first_part + start // LETTERS_PER_DRAW), count))
+        chunks.append(letters(cell.hex(first_part + start // LETTERS_PER_DRAW), count))
     return F.concat(*chunks)
 
 
@@ -152,17 +152,15 @@ def random_string(cell: Cell) -> Column:
 
 @generator("random_text")
 def random_text(cell: Cell) -> Column:
-    """5 to 20 words of 3 to 10 letters; one draw per word gives its length and letters."""
+    """5 to 20 words of 3 to 10 letters; one digest per word gives its length and letters."""
 
-    def word(bits: Column) -> Column:
-        size = F.lit(3) + (
-            F.call_function("div", bits, F.lit(26**LETTERS_PER_DRAW).cast("bigint")) % 8
-        ).cast("int")
-        return F.substring(letters(bits), F.lit(1), size)
+    def word(digits: Column) -> Column:
+        size = F.conv(F.substring(digits, 16, 1), 16, 10).cast("int") % 8 + 3
+        return F.substring(letters(digits), F.lit(1), size)
 
     places = F.sequence(F.lit(1), cell.between(5, 20).cast("int"))
-    # two steps, so that a word's draw is computed once and not once per letter
-    return F.array_join(F.transform(F.transform(places, cell.draw), word), " ")
+    # two steps, so that a word's digest is computed once
+    return F.array_join(F.transform(F.transform(places, cell.hex), word), " ")
 
 
 @generator("random_choice")

@@ -133,7 +133,7 @@ def gen_containers(t):
 @query(
     "gen_random_text",
     f"SELECT {ROW}, array_to_string(list_transform(range(1, 1 + {_b('txt', 5, 20)}), lambda k: "
-    f"substr({letters_sql(_d('txt', 'k'))}, 1, (3 + ({_d('txt', 'k')} // {26**10}) % 8)::INT)), ' ') AS txt FROM orders",
+    f"substr({letters_sql(_d('txt', 'k'))}, 1, 3 + ('0x' || substr({hex_sql('orders', 'txt', ROW, 'k')}, 16, 1))::INT % 8)), ' ') AS txt FROM orders",
 )
 def gen_random_text(t):
     return t.orders.select(ROW, build("random_text", _cell("txt")).alias("txt"))
