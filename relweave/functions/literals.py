@@ -42,7 +42,7 @@ DIALECTS = {
 
 def dialect_named(name: str) -> Dialect:
     if name not in DIALECTS:
-        raise ValueError(f"Unsupported dialect: {name}. Must be one of: {', '.join(sorted(DIALECTS))}")
+        raise ValueError(f"unknown dialect {name!r}; known are {', '.join(DIALECTS)}")
     return DIALECTS[name]
 
 

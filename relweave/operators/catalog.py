@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from relweave import schema as S
 from relweave.functions.rules import NAME_RULES, PII_PATTERNS, TYPE_FALLBACKS
-from relweave.functions.texts import array_sql, stack_rows, text_sql, value_text
+from relweave.functions.texts import array_sql, name_sql, stack_rows, text_sql, value_text
 
 CAMEL_FACTOR = 0.9
 FALLBACK_CONFIDENCE = 0.5
@@ -103,27 +103,22 @@ def check_values(catalog: DataFrame) -> DataFrame:
 def schema_fingerprint(catalog: DataFrame) -> DataFrame:
     """(db, fingerprint): the same for any order of tables, columns and enum values.
 
-    Comments take no part.  Lines are hashed per table first, so one row per table, not
-    the columns of a whole database, meets in the second grouping.
+    Comments take no part.  Each column line is hashed and the hashes are added up in four
+    parts; sums combine on the map side, so the columns of a database never meet.
     """
-
-    def field(name: str) -> Column:
-        return F.coalesce(F.col(name).cast("string"), F.lit("\\N"))
-
-    enums = F.coalesce(F.array_join(F.array_sort("enum_values"), "\x1e"), F.lit("\\N"))
-    line = F.concat_ws(
-        "\x1f", field("column"), field("data_type"), field("nullable"), field("is_pk"),
-        field("is_unique"), field("autoincrement"), field("default"), field("max_length"),
-        field("precision"), field("scale"), enums, field("check_expr"),
-    )
-    tables = catalog.groupBy("db", "table").agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2(line, 256))), "\n"), 256).alias("_digest")
-    )
-    entry = F.concat_ws("\x1f", F.col("table"), F.col("_digest"))
-    return tables.groupBy("db").agg(
-        F.substring(
-            F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), "\n"), 256), 1, FINGERPRINT_LENGTH
-        ).alias("fingerprint")
+    fields = [
+        "table", "column", "data_type", "nullable", "is_pk", "is_unique", "autoincrement", "default",
+        "max_length", "precision", "scale", "array_join(array_sort(enum_values), '\x1e')", "check_expr",
+    ]
+    line = ", ".join(f"coalesce(string({f}), '\\\\N')" for f in fields)
+    hashed = catalog.select("db", F.expr(f"sha2(concat_ws('\x1f', {line}), 256)").alias("_line"))
+    sums = [
+        F.expr(f"string(sum(cast(conv(substring(_line, {1 + 16 * k}, 15), 16, 10) AS decimal(20, 0))))")
+        for k in range(4)
+    ]
+    totals = F.concat_ws(":", F.count("*").cast("string"), *sums)
+    return hashed.groupBy("db").agg(totals.alias("_sums")).select(
+        "db", F.substring(F.sha2("_sums", 256), 1, FINGERPRINT_LENGTH).alias("fingerprint")
     )
 
 
@@ -153,7 +148,8 @@ def column_profile(df: DataFrame, table: str, *, max_allowed: int = 20) -> DataF
         (F.col("distinct_values") <= max_allowed) & F.col("column").isin(texts)
     ).select("column")
     allowed = (
-        grouped.where("value IS NOT NULL").join(F.broadcast(small), "column", "left_semi")
+        # tested above the grouping, which is then shared with the statistics
+        grouped.where("if(n > 0, value, NULL) IS NOT NULL").join(F.broadcast(small), "column", "left_semi")
         .groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("allowed"))
     )
     filled = F.col("rows") - F.col("nulls")
@@ -195,25 +191,29 @@ def key_pairs(tables: Mapping[str, DataFrame]) -> list[tuple[str, str, str, str]
 def fk_candidates(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Inclusion of each candidate pair whose parent column is unique.
 
-    All pairs are tested by one grouping of the distinct values: a candidate holds when
-    no child value lacks in the parent and no parent value repeats.
+    Each table is read once for all its pairs, and one grouping of the values tests them
+    all: a candidate holds when no child value lacks in the parent and no parent value
+    repeats.
     """
-    parts = []
-    for child, a, parent, b in key_pairs(tables):
-        pair = [F.lit(x).alias(n) for x, n in zip((child, a, parent, b), ("child", "column", "parent", "ref_column"), strict=True)]
-        for side, df, name in ((1, tables[child], a), (0, tables[parent], b)):
-            parts.append(
-                df.where(F.col(name).isNotNull()).select(
-                    *pair, F.col(name).cast("string").alias("value"),
-                    F.lit(side).alias("in_child"), F.lit(1 - side).alias("in_parent"),
-                )
-            )
-    keys = ["child", "column", "parent", "ref_column"]
-    by_value = reduce(DataFrame.unionByName, parts).groupBy(*keys, "value").agg(
-        F.sum("in_child").alias("_c"), F.sum("in_parent").alias("_p")
+    pairs = key_pairs(tables)
+    cells: dict[str, list[list[str]]] = {}
+    for number, (child, a, parent, b) in enumerate(pairs):
+        cells.setdefault(child, []).append([str(number), f"string({name_sql(a)})", "1", "0"])
+        cells.setdefault(parent, []).append([str(number), f"string({name_sql(b)})", "0", "1"])
+    values = reduce(
+        DataFrame.unionByName,
+        [tables[t].select(stack_rows(rows, ["pair", "value", "_c", "_p"])) for t, rows in cells.items()],
     )
-    return by_value.groupBy(*keys).agg(
-        F.coalesce(F.sum(F.when(F.col("_p") == 0, F.col("_c"))), F.lit(0)).alias("orphans"),
+    by_value = values.where("value IS NOT NULL").groupBy("pair", "value").agg(
+        F.sum("_c").alias("_c"), F.sum("_p").alias("_p")
+    )
+    found = by_value.groupBy("pair").agg(
+        F.sum(F.expr("if(_p = 0, _c, 0)")).alias("_orphans"),
         F.max("_p").alias("_repeat"),
         F.sum("_c").alias("child_rows"),
-    ).where("_repeat = 1 AND orphans = 0 AND child_rows > 0").select(*keys, "child_rows")
+    ).where("_repeat = 1 AND _orphans = 0 AND child_rows > 0")
+    names = [
+        F.expr(f"get({array_sql([p[i] for p in pairs])}, pair)").alias(n)
+        for i, n in enumerate(("child", "column", "parent", "ref_column"))
+    ]
+    return found.select(*names, "child_rows")

@@ -68,6 +68,14 @@ def pick_sql(values, table: str, column: str, row: str, part: int | str = 0) ->
     return f"([{listed}])[({draw_sql(table, column, row, part)} % {len(values)})::INT + 1]"
 
 
+def base36_sql(number: str) -> str:
+    digits = "0123456789" + LETTERS
+    places = " || ".join(
+        f"substr('{digits}', (({number} // {36**k}) % 36)::INT + 1, 1)" for k in reversed(range(6))
+    )
+    return f"(CASE WHEN {number} = 0 THEN '0' ELSE ltrim({places}, '0') END)"
+
+
 # --- the star schema of the test tables ---------------------------------------
 def _table(name: str, columns: str, pk: tuple[str, ...] = (), fks=(), indexes=(), uniques=(), nullable=()) -> S.Table:
     parsed = []

@@ -214,17 +214,16 @@ def cat_pseudonymize(t):
 
 _n = "coalesce({}::VARCHAR, '\\N')".format
 _line = " || chr(31) || ".join(
-    [_n(c) for c in ("col", "data_type", "nullable", "is_pk", "is_unique", "autoincrement")] + ["'\\N'"]
+    [_n(c) for c in ("tab", "col", "data_type", "nullable", "is_pk", "is_unique", "autoincrement")] + ["'\\N'"]
     + [_n(c) for c in ("max_length", "prec", "scal")]
     + ["coalesce(array_to_string(list_sort(enums), chr(30)), '\\N')", _n("check_expr")]
 )
+_sums = " || ':' || ".join(f"sum(('0x' || substr(h, {1 + 16 * k}, 15))::BIGINT::HUGEINT)::VARCHAR" for k in range(4))
 
 
 @query(
     "cat_fingerprint",
-    "SELECT db, substr(sha256(string_agg(entry, chr(10) ORDER BY entry)), 1, 16) AS fingerprint FROM "
-    "(SELECT db, tab || chr(31) || sha256(string_agg(h, chr(10) ORDER BY h)) AS entry FROM "
-    f"(SELECT db, tab, sha256({_line}) AS h FROM {CATALOG}) GROUP BY db, tab) GROUP BY db",
+    f"SELECT db, substr(sha256(count(*)::VARCHAR || ':' || {_sums}), 1, 16) AS fingerprint FROM (SELECT db, sha256({_line}) AS h FROM {CATALOG}) GROUP BY db",
 )
 def cat_fingerprint(t):
     return C.schema_fingerprint(_catalog(t))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from relweave import schema as S
 from relweave.functions.draws import Cell
 from relweave.operators import constraints as C
-from relweave.suite.base import SEED, between_sql, draw_sql, letters_sql, pick_sql, query
+from relweave.suite.base import SEED, base36_sql, between_sql, draw_sql, letters_sql, pick_sql, query
 
 LINES = S.Table(
     "lines",
@@ -188,13 +188,7 @@ def con_unique_composite(t):
     )
 
 
-def _base36(number: str) -> str:
-    digits = "0123456789abcdefghijklmnopqrstuvwxyz"
-    places = " || ".join(f"substr('{digits}', (({number} // {36**k}) % 36)::INT + 1, 1)" for k in reversed(range(6)))
-    return f"(CASE WHEN {number} = 0 THEN '0' ELSE ltrim({places}, '0') END)"
-
-
-_suffix = f"('_' || {_base36('o_orderkey')})"
+_suffix = f"('_' || {base36_sql('o_orderkey')})"
 
 
 @query(

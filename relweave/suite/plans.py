@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from relweave import schema as S
+from relweave.functions import words
+from relweave.functions.generators import DAY, TIME_SPAN
 from relweave.operators import fidelity as Q
 from relweave.operators import integrity as I
 from relweave.operators import keys as K
 from relweave.plans import report as R
 from relweave.plans.generate import column_mappings, generate_database, generate_table
 from relweave.sources import audit as A
-from relweave.suite.base import SEED, STAR, Tables, query, star_tables
+from relweave.suite.base import (
+    SEED, STAR, Tables, base36_sql, between_sql, draw_sql, hex_sql, pick_sql, query, star_tables, unit_sql,
+)
 from relweave.suite.fidelity import EVEN, LINEITEM, ODD
 from relweave.suite.fidelity import report_sql as fidelity_sql
 from relweave.suite.integrity import report_sql as integrity_sql
@@ -179,14 +183,48 @@ def shop_rows(t):
     return R.row_counts(shop_tables(t).tables)
 
 
-@query("pipe_shop_users")
+# Generated tables have as many rows as customer (users) and lineitem (order_lines); their
+# row numbers are 0, 1, 2, ...
+_row = "(SELECT c_custkey AS r FROM customer)"
+_place = f"{draw_sql('users', 'geo', 'r')} % {len(words.PLACES)}"
+_places = ", ".join(f"({i}, '{c}', '{s}', '{z}')" for i, (c, s, z) in enumerate(words.PLACES))
+_mail = (
+    f"lower({pick_sql(words.FIRST_NAMES, 'users', 'email', 'r')}) || '_' || lower({pick_sql(words.LAST_NAMES, 'users', 'email', 'r', 1)}) "
+    f"|| {between_sql('users', 'email', 'r', 0, 9999, 2)} || '@' || {pick_sql(words.MAIL_DOMAINS, 'users', 'email', 'r', 3)}"
+)
+_age = between_sql("users", "age", "r", 18, 90)
+
+
+@query(
+    "pipe_shop_users",
+    f"SELECT r + 1 AS id, substr({_mail}, 1, 60 - length('_' || {base36_sql('r')})) || '_' || {base36_sql('r')} AS email, "
+    f"{pick_sql(words.FIRST_NAMES, 'users', 'full_name', 'r')} || ' ' || {pick_sql(words.LAST_NAMES, 'users', 'full_name', 'r', 1)} AS full_name, "
+    f"p.city, p.state, p.zip AS zip_code, (CASE WHEN {_age} BETWEEN 21 AND 65 THEN {_age} ELSE {between_sql('users', 'age:check', 'r', 21, 65)} END)::INT AS age, "
+    f"1 + {draw_sql('users', 'fk:favourite_id', 'r')} % (SELECT count(*) FROM part) AS favourite_id, "
+    f"{unit_sql('users', 'is_active', 'r')} < 0.5::DOUBLE AS is_active FROM {_row} JOIN (VALUES {_places}) p(ix, city, state, zip) ON p.ix = {_place}",
+)
 def shop_users(t):
     return shop_tables(t).tables["users"]
 
 
-@query("pipe_shop_lines")
+_uuid = hex_sql("order_lines", "uuid", "r")
+_uuid_text = (
+    f"substr({_uuid}, 1, 8) || '-' || substr({_uuid}, 9, 4) || '-4' || substr({_uuid}, 14, 3) || '-' || "
+    f"translate(substr({_uuid}, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr({_uuid}, 18, 3) || '-' || substr({_uuid}, 21, 12)"
+)
+
+
+@query(
+    "pipe_shop_lines",
+    f"SELECT 1 + {draw_sql('order_lines', 'fk:user_id', 'r')} % (SELECT count(*) FROM customer) AS user_id, "
+    f"((r::HUGEINT * {K.pair_multiplier(2**31)} + {2**31 // 3}) % {2**31})::INT AS line_no, "
+    f"1 + {draw_sql('order_lines', 'fk:product_id', 'r')} % (SELECT count(*) FROM part) AS product_id, "
+    f"{between_sql('order_lines', 'quantity', 'r', 1, 100)}::INT AS quantity, {_uuid_text} AS uuid, "
+    f"(DATE '2020-01-01' + (({draw_sql('order_lines', 'shipped', 'r')} % {TIME_SPAN}) // {DAY})::INT)::VARCHAR AS shipped "
+    "FROM (SELECT row_number() OVER () - 1 AS r FROM lineitem)",
+)
 def shop_lines(t):
-    return shop_tables(t).tables["order_lines"]
+    return shop_tables(t).tables["order_lines"].withColumn("shipped", F.col("shipped").cast("string"))
 
 
 def star_synthetic(t: Tables):
