@@ -15,6 +15,7 @@ from relweave.functions.texts import array_sql, name_sql, stack_rows, text_sql,
 CAMEL_FACTOR = 0.9
 FALLBACK_CONFIDENCE = 0.5
 FINGERPRINT_LENGTH = 16
+SKETCH_ITEMS = 1024
 
 
 def first_rule(name: str) -> Column:
@@ -126,8 +127,8 @@ def schema_fingerprint(catalog: DataFrame) -> DataFrame:
 def column_profile(df: DataFrame, table: str, *, max_allowed: int = 20) -> DataFrame:
     """Per column: rows, nulls, distinct values, nullable/unique flags and allowed values.
 
-    One grouping over the unpivoted columns.  Values are collected only for columns whose
-    distinct count has been found to be at most ``max_allowed``.
+    One grouping over the unpivoted columns.  Allowed values are listed for text columns
+    with at most ``max_allowed`` distinct values.
     """
     rows = [
         [str(k), text_sql(c), text_sql(S.data_type_of(f.dataType)), value_text(c, f.dataType)]
@@ -142,24 +143,20 @@ def column_profile(df: DataFrame, table: str, *, max_allowed: int = 20) -> DataF
         F.sum("n").alias("rows"),
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
         F.count("value").alias("distinct_values"),
-    )
-    texts = [c for c in df.columns if S.data_type_of(df.schema[c].dataType) in S.CATEGORICAL]
-    small = stats.where(
-        (F.col("distinct_values") <= max_allowed) & F.col("column").isin(texts)
-    ).select("column")
-    allowed = (
-        # tested above the grouping, which is then shared with the statistics
-        grouped.where("if(n > 0, value, NULL) IS NOT NULL").join(F.broadcast(small), "column", "left_semi")
-        .groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("allowed"))
+        # a sketch of fixed size, exact while the column has few values
+        F.expr(f"approx_top_k(value, {max_allowed + 1}, {SKETCH_ITEMS})").alias("_top"),
     )
     filled = F.col("rows") - F.col("nulls")
-    return stats.join(F.broadcast(allowed), "column", "left").select(
+    few = F.col("data_type").isin(list(S.CATEGORICAL)) & (F.col("distinct_values") <= max_allowed)
+    values = F.array_sort(F.filter(F.transform("_top", lambda t: t["item"]), lambda v: v.isNotNull()))
+    listed = F.when(few, F.array_join(values, "|"))
+    return stats.select(
         F.lit(table).alias("table"), "ordinal", "column", "data_type", "rows", "nulls",
         "distinct_values",
         (F.col("nulls") > 0).alias("nullable"),
         ((filled > 0) & (F.col("distinct_values") == filled)).alias("is_unique"),
         ((F.col("nulls") == 0) & (filled > 0) & (F.col("distinct_values") == filled)).alias("pk_candidate"),
-        F.coalesce(F.array_join("allowed", "|"), F.lit("")).alias("allowed"),
+        F.coalesce(listed, F.lit("")).alias("allowed"),
     )
 
 

@@ -65,7 +65,9 @@ def value_counts(
     return both.groupBy("_c", "num", "whole", "txt").agg(
         F.sum("ref").alias("ref_n"), F.sum("syn").alias("syn_n")
     ).selectExpr(
-        f"get({array_sql(labels)}, _c) AS column", f"get({array_sql(kinds)}, _c) AS kind",
+        # never NULL, which keeps join filters from reaching below the grouping
+        f"coalesce(get({array_sql(labels)}, _c), '') AS column",
+        f"coalesce(get({array_sql(kinds)}, _c), '') AS kind",
         "num", "whole", "txt", "ref_n", "syn_n",
     )
 
@@ -156,8 +158,9 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         + ", ".join(f"named_struct('i', {i}, 'j', {j})" for i in range(n) for j in range(i, n))
         + ")"
     )
+    # the vector first, on its own, so that it is built once per row and not once per pair
     cells = (
-        df.select(vector.alias("v"), F.explode(pairs).alias("p"))
+        df.select(vector.alias("v")).select("v", F.explode(pairs).alias("p"))
         .select("p.i", "p.j", F.get("v", F.col("p.i")).alias("x"), F.get("v", F.col("p.j")).alias("y"))
         .where("x IS NOT NULL AND y IS NOT NULL")
     )
@@ -188,23 +191,22 @@ def correlation_similarity(
         correlations(synthetic, columns).select("i", "j", none.alias("a"), F.col("r").alias("b"))
     )
     pairs = both.groupBy("i", "j").agg(F.max("a").alias("a"), F.max("b").alias("b"))
-    usable = pairs.where("i = j AND a IS NOT NULL AND b IS NOT NULL").select("i")
-    kept = pairs.join(F.broadcast(usable), "i", "left_semi").join(
-        F.broadcast(usable.withColumnRenamed("i", "j")), "j", "left_semi"
+    # one row from here on, so the moments are computed once
+    gathered = pairs.agg(F.collect_list(F.struct("i", "j", "a", "b")).alias("_all"))
+    usable = gathered.selectExpr(
+        "_all",
+        "transform(filter(_all, p -> p.i = p.j AND p.a IS NOT NULL AND p.b IS NOT NULL), p -> p.i) AS _in",
     )
-    zero = F.lit(0.0)
-    gap = F.coalesce("a", zero) - F.coalesce("b", zero)
-    on_diagonal = F.col("i") == F.col("j")
-    names = F.array(*[F.lit(c) for c in columns])
-    sums = kept.agg(
-        F.sum(F.when(on_diagonal, 1.0).otherwise(2.0) * gap * gap).alias("_squares"),
-        F.count_if(on_diagonal).cast("double").alias("_n"),
-        F.array_sort(F.collect_list(F.when(on_diagonal, F.get(names, F.col("i"))))).alias("_names"),
+    sums = usable.selectExpr(
+        "double(size(_in)) AS _n",
+        f"array_sort(transform(_in, i -> get({array_sql(columns)}, i))) AS _names",
+        "aggregate(filter(_all, p -> array_contains(_in, p.i) AND array_contains(_in, p.j)), 0D, (s, p) -> "
+        "s + if(p.i = p.j, 1D, 2D) * pow(coalesce(p.a, 0D) - coalesce(p.b, 0D), 2D)) AS _squares",
     )
     score = 1.0 - F.sqrt("_squares") / (F.sqrt(F.lit(2.0)) * F.col("_n"))
     return sums.select(
         F.array_join("_names", ", ").alias("column"),
-        F.when(F.col("_n") < 2, 1.0).otherwise(F.greatest(zero, score)).alias("correlation"),
+        F.when(F.col("_n") < 2, 1.0).otherwise(F.greatest(F.lit(0.0), score)).alias("correlation"),
         F.col("_n").cast("int").alias("columns"),
     )
 
