@@ -65,7 +65,11 @@ def _long(columns: Sequence[str]) -> Column:
 
 def category_codes(combined: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value, code): place of each distinct text value in its column's sorted order."""
-    return dense_codes(combined.select(_long(columns)).distinct(), ["column"], "value")
+    distinct = combined.select(_long(columns)).distinct().selectExpr(
+        # never NULL, which keeps join filters above the grouping, so that it is shared
+        "coalesce(column, '') AS column", "coalesce(value, '') AS value",
+    )
+    return dense_codes(distinct, ["column"], "value")
 
 
 def features(

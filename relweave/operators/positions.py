@@ -41,7 +41,7 @@ def dense_index(
 ) -> DataFrame:
     """Add a dense 0-based position, ordered by (md5 prefix of the key, key).
 
-    With ``unique=False`` the keys must be all columns of ``df``: equal rows are
+    The keys are unique, so buckets are even.  With ``unique=False`` the keys must be all columns of ``df``: equal rows are
     counted first, and a group of copies is spread again in chunks, so that a row
     repeated very often does not gather in one task.
     """
@@ -94,7 +94,8 @@ def spread_copies(grouped: DataFrame, count: str = "_copies") -> DataFrame:
     chunk = F.lit(COPIES_PER_CHUNK).cast("bigint")
     first = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1, chunk))
     small = grouped.where(F.col(count) <= chunk).withColumn("_first", F.lit(0).cast("bigint"))
-    large = grouped.where(F.col(count) > chunk).withColumn("_first", first).repartition("_first")
+    large = grouped.where(F.col(count) > chunk).withColumn("_first", first)
+    large = large.repartition(*large.columns)  # by group and chunk together
     last = F.least(F.col(count), F.col("_first") + chunk) - 1
     return (
         small.unionByName(large)

@@ -20,7 +20,7 @@ from relweave.operators import constraints as C
 from relweave.operators import keys as K
 from relweave.operators.catalog import map_columns
 from relweave.operators.coherence import geo_coherence
-from relweave.plans.spec import TableSpec, generate_table_from_spec
+from relweave.plans.spec import TableSpec, add_spec_columns
 
 _NUMBERS = {"random_int", "random_float", "random_decimal", "age", "latitude", "longitude", "price"}
 _MOMENTS = {"random_datetime", "datetime", "random_date", "date_of_birth"}
@@ -88,21 +88,33 @@ def mapped_column(column: S.Column, mapping: GeneratorMapping | None, cell: Cell
     return value if mapping.generator in STRING_GENERATORS else value.cast(column.spark_type)
 
 
-def generate_table(
-    spark: SparkSession, table: S.Table, mappings: Mapping[str, GeneratorMapping], n: int, *, seed: int
-) -> DataFrame:
-    """``_row`` plus all columns: one narrow projection, no shuffle.
+def key_frame(spark: SparkSession, table: S.Table, n: int) -> DataFrame:
+    """``_row``, the generated keys 1..n, and the foreign keys still NULL."""
+    df = spark.range(n).withColumnRenamed("id", "_row")
+    keys = [c for c in table.columns if c.name in table.fk_columns or c.name in table.auto_columns]
+    df = df.select("_row", *[F.lit(None).cast(c.spark_type).alias(c.name) for c in keys])
+    return K.autoincrement(df, table.auto_columns, F.col("_row")) if table.auto_columns else df
 
-    Foreign keys and generated keys stay NULL.
-    """
+
+def add_columns(
+    df: DataFrame, table: S.Table, mappings: Mapping[str, GeneratorMapping], *, seed: int
+) -> DataFrame:
+    """Add the generated columns to a frame of keys: one narrow projection, no shuffle."""
     out = []
     for c in table.columns:
-        if c.name in table.fk_columns or c.name in table.auto_columns:
-            value = F.lit(None).cast(c.spark_type)
+        if c.name in df.columns:
+            out.append(F.col(c.name))
         else:
-            value = mapped_column(c, mappings.get(c.name), Cell(seed, table.name, c.name, F.col("_row")))
-        out.append(value.alias(c.name))
-    return spark.range(n).withColumnRenamed("id", "_row").select("_row", *out)
+            cell = Cell(seed, table.name, c.name, F.col("_row"))
+            out.append(mapped_column(c, mappings.get(c.name), cell).alias(c.name))
+    return df.select("_row", *out)
+
+
+def generate_table(
+    spark: SparkSession, table: S.Table, mappings: Mapping[str, GeneratorMapping], n: int, *, seed: int
+) -> DataFrame:
+    """``_row`` plus all columns; foreign keys stay NULL."""
+    return add_columns(key_frame(spark, table, n), table, mappings, seed=seed)
 
 
 def _make_unique(
@@ -180,13 +192,7 @@ def _relate(
         )
         left = [fk for fk in left if fk not in pk_fks]
     for fk in left:
-        if fk.ref_table == table.name:
-            first = 1 if len(fk.columns) == 1 and fk.ref_columns[0] in table.auto_columns else None
-            df = K.self_reference(
-                df, fk.columns, fk.ref_columns, seed=seed, table=table.name, position="_row",
-                size=n, dense_first=first,
-            )
-        elif fk.ref_table in done:
+        if fk.ref_table in done:
             df = K.fill_fk(
                 df, done[fk.ref_table], fk.columns, fk.ref_columns, seed=seed, table=table.name,
                 row_id="_row", dense=_dense_key(db, rows, fk),
@@ -194,6 +200,17 @@ def _relate(
     return df
 
 
+def _relate_to_itself(df: DataFrame, table: S.Table, n: int, seed: int) -> DataFrame:
+    for fk in table.foreign_keys:
+        if fk.ref_table == table.name:
+            dense = len(fk.columns) == 1 and fk.ref_columns[0] in table.auto_columns
+            df = K.self_reference(
+                df, fk.columns, fk.ref_columns, seed=seed, table=table.name, position="_row",
+                size=n, dense_first=1 if dense else None,
+            )
+    return df
+
+
 def generate_database(
     spark: SparkSession,
     db: S.Database,
@@ -220,20 +237,20 @@ def generate_database(
     done: dict[str, DataFrame] = {}
     for name in order:
         table, n = db.table(name), counts[name]
+        later = [fk for t, fk in deferred if t == name]
+        # keys first: their joins move keys only, the wide columns are computed afterwards
+        df = _relate(key_frame(spark, table, n), table, db, done, counts, later, seed)
         if specs and name in specs:
-            df = generate_table_from_spec(spark, table, specs[name], n, seed=seed)
+            df = add_spec_columns(df, table, specs[name], seed=seed)
         else:
             own = {c.name: mappings[(name, c.name)] for c in table.columns}
-            df = generate_table(spark, table, own, n, seed=seed)
-        if table.auto_columns:
-            df = K.autoincrement(df, table.auto_columns, F.col("_row"))
-        later = [fk for t, fk in deferred if t == name]
-        df = _relate(df, table, db, done, counts, later, seed)
+            df = add_columns(df, table, own, seed=seed)
         domains = all_domains[name]
         df = geo_coherence(df, seed=seed, table=name, row_id="_row", places=places)
         df = C.repair_not_null(df, table, seed=seed, row_id="_row", domains=domains)
         df = C.repair_check(df, domains, table, seed=seed, row_id="_row")
-        done[name] = _make_unique(df, table, n, domains, seed)
+        df = _make_unique(df, table, n, domains, seed)
+        done[name] = _relate_to_itself(df, table, n, seed)  # last: it copies final key values
     for name, fk in deferred:
         if name in done and fk.ref_table in done:
             done[name] = K.fill_fk(

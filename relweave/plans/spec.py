@@ -83,20 +83,30 @@ def spec_column(cell: Cell, spec: ColumnSpec | None, *, strict: bool = True) ->
     return value
 
 
-def generate_table_from_spec(
-    spark: SparkSession, table: S.Table, spec: TableSpec, n: int, *, seed: int, strict: bool = True
+def add_spec_columns(
+    df: DataFrame, table: S.Table, spec: TableSpec, *, seed: int, strict: bool = True
 ) -> DataFrame:
-    """``_row`` plus all columns; foreign keys and generated keys stay NULL here."""
-    row = F.col("_row")
+    """Add the specified columns to a frame of ``_row`` and keys; a column without
+    specification is NULL."""
     out = []
     for c in table.columns:
-        known = c.name in table.fk_columns or c.name in table.auto_columns
-        value = None if known else spec_column(
-            Cell(seed, table.name, c.name, row), spec.columns.get(c.name), strict=strict
-        )
-        empty = F.lit(None).cast(c.spark_type)
-        out.append((empty if value is None else value.cast(c.spark_type)).alias(c.name))
-    df = spark.range(n).withColumnRenamed("id", "_row").select("_row", *out)
+        if c.name in df.columns:
+            out.append(F.col(c.name))
+        else:
+            cell = Cell(seed, table.name, c.name, F.col("_row"))
+            value = spec_column(cell, spec.columns.get(c.name), strict=strict)
+            out.append(value.cast(c.spark_type).alias(c.name))
+    df = df.select("_row", *out)
     for lookup, columns in spec.lookups:
         df = lookup_columns(df, lookup, columns, seed=seed, table=table.name, row_id="_row")
     return derive_columns(df, spec.derived) if spec.derived else df
+
+
+def generate_table_from_spec(
+    spark: SparkSession, table: S.Table, spec: TableSpec, n: int, *, seed: int, strict: bool = True
+) -> DataFrame:
+    """``_row`` plus all columns; foreign keys and generated keys stay NULL."""
+    known = [c for c in table.columns if c.name in table.fk_columns or c.name in table.auto_columns]
+    df = spark.range(n).withColumnRenamed("id", "_row")
+    df = df.select("_row", *[F.lit(None).cast(c.spark_type).alias(c.name) for c in known])
+    return add_spec_columns(df, table, spec, seed=seed, strict=strict)

@@ -105,3 +105,34 @@ def test_geo_columns_need_two():
 def test_circular_derivation(spark):
     with pytest.raises(ValueError):
         derive_columns(spark.range(1), [("a", "b", ["b"]), ("b", "a", ["a"])])
+
+
+def test_self_reference_to_a_text_key(spark):
+    table = S.Table(
+        "staff",
+        (S.Column("email", "varchar", nullable=False, primary_key=True, max_length=50), S.Column("boss", "varchar")),
+        ("email",), (S.ForeignKey(("boss",), "staff", ("email",)),),
+    )
+    db = S.Database((table,))
+    made = generate_database(spark, db, 50)
+    assert all(r["passed"] for r in I.validate_integrity(made.tables, db).collect())
+    assert made.tables["staff"].where("boss IS NULL").count() == 10
+
+
+def test_joins_move_keys_only(spark):
+    """The join for a key that is not dense carries no generated column."""
+    parent = S.Table("p", (S.Column("code", "varchar", nullable=False, primary_key=True),), ("code",))
+    child = S.Table("c", (S.Column("code", "varchar"), S.Column("email", "varchar"), S.Column("bio", "text")),
+                    foreign_keys=(S.ForeignKey(("code",), "p", ("code",)),))
+    df = generate_database(spark, S.Database((parent, child)), 20).tables["c"]
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    below = text[text.index("Join"):]
+    assert "42:c:email" not in below and "42:c:bio" not in below and "42:c:email" in text
+
+
+def test_composite_key_with_a_drawn_part(spark):
+    table = S.Table("t", (S.Column("a", "boolean", nullable=False), S.Column("b", "float", nullable=False), S.Column("c", "enum", enum_values=("x", "y"))),
+                    ("a", "b"), indexes=(S.Index(("b", "c"), True),))
+    made = generate_database(spark, S.Database((table,)), 300)
+    assert made.tables["t"].select("a", "b").distinct().count() == 300
+    assert made.tables["t"].select("b", "c").distinct().count() == 300
