@@ -37,11 +37,11 @@ def subsample(df: DataFrame, limit: int = MAX_SAMPLE, row_key: Sequence[str] | N
     if row_key:
         ranked = df.withColumn("_rank", F.md5(key_text(row_key)))
     else:
-        copies = df.groupBy(*df.columns).agg(F.count("*").alias("_copies"))
-        ranked = spread_copies(copies).select(
-            *df.columns,
-            F.md5(F.concat_ws(":", key_text(df.columns), F.col("_copy").cast("string"))).alias("_rank"),
-        )
+        # the digest of the row is made once, before the grouping; later steps only extend it
+        digested = df.withColumn("_digest", F.md5(key_text(df.columns)))
+        copies = digested.groupBy("_digest", *df.columns).agg(F.count("*").alias("_copies"))
+        rank = F.md5(F.concat_ws(":", "_digest", F.col("_copy").cast("string")))
+        ranked = spread_copies(copies).select(*df.columns, rank.alias("_rank"))
     prefix = F.substring("_rank", 1, PREFIX_LENGTH)
     histogram = ranked.groupBy(prefix.alias("_prefix")).agg(F.count("*").alias("_n"))
     # at most 16^PREFIX_LENGTH rows

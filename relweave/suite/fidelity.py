@@ -191,7 +191,7 @@ _group = "l_returnflag || chr(31) || l_linestatus"
 
 @query(
     "det_subsample_copies",
-    f"SELECT l_returnflag, l_linestatus FROM (SELECT l_returnflag, l_linestatus, md5({_group} || ':' || "
+    f"SELECT l_returnflag, l_linestatus FROM (SELECT l_returnflag, l_linestatus, md5(md5({_group}) || ':' || "
     f"(row_number() OVER (PARTITION BY l_returnflag, l_linestatus) - 1)::VARCHAR) AS rk FROM lineitem) ORDER BY rk LIMIT 10000",
 )
 def det_subsample_copies(t):
