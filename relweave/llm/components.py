@@ -11,17 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relweave.session import scratch_path
+from relweave.llm.store import stored
 
 ROUNDS = 60
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    path = scratch_path(df.sparkSession, "stars")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """links: (u, v).  large: every neighbour above u moves to u's least; else those below u and u itself."""
     if large:
@@ -41,10 +35,10 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Self links and nulls are ignored; an empty table gives an empty one.
     """
-    now = _stored(links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u != v").distinct())
+    now = stored(links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u != v").distinct(), "stars")
     last = None
     for _ in range(ROUNDS):
-        now = _stored(_star(_star(now, True), False))
+        now = stored(_star(_star(now, True), False), "stars")
         # a forest of stars no longer changes
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == last:

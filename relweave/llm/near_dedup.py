@@ -31,14 +31,13 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_type
 
 from relweave.llm.components import connected_components
+from relweave.llm.store import small, stored
 from relweave.llm.words import SPACED, mix, numbered, run_starts, runs, word_slices
-from relweave.session import scratch_path
 
 WIDTH = 5
 ROWS, BANDS, BITS = 4, 32, 4
 COUNT = ROWS * BANDS
 THRESHOLD = 75  # per cent
-FEW_IDS = 2_000_000
 SLACK = 0.22  # five standard deviations of the estimate at the threshold
 _FACTORS = (numbered(COUNT, seed=3) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _SHIFTS = (numbered(COUNT, seed=5) >> np.uint64(32)).astype(np.uint32)
@@ -150,9 +149,7 @@ def similarity(a: Column, b: Column) -> Column:
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_: str, text: str, threshold: int) -> DataFrame:
     """The pairs (a, b) whose full sets overlap enough.  Only members of pairs send their sets."""
     ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
-    if ends.count() <= FEW_IDS:  # 8 bytes each, counted; beyond that Spark shuffles both sides
-        ends = F.broadcast(ends)
-    found = docs.select(F.col(id_).alias("id"), F.col(text).alias("__text")).join(ends, "id", "left_semi")
+    found = docs.select(F.col(id_).alias("id"), F.col(text).alias("__text")).join(small(ends, 16), "id", "left_semi")
     sets = stored(found.select("id", shingle_set("__text").alias("set")).dropDuplicates(["id"]), "sets")
     one = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
     two = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
@@ -162,13 +159,6 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_: str, t
     return both.where(100 * shared >= threshold * union).select("a", "b")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Written to the session's shared folder and read back: the lineage ends here."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def near_duplicates(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """One row per document: id, ``n_shingles``, ``component_id``, ``kept``."""
     made = docs.select(F.col(id_).alias("id"), sketch(F.col(text)).alias("s"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relweave.llm import decontaminate, near_dedup
+from relweave.llm import chunk_dedup, decontaminate, language, near_dedup
 from relweave.llm.words import ALNUM, LOWER, SPACED, UPPER
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,27 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least_of USING (doc_id)
 @query("op7_near_dedup", OP7_SQL)
 def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"))
+
+
+# --- 4: substring dedup -----------------------------------------------------------
+@query("op4_substring_dedup")
+def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    out = chunk_dedup.remove_repeats(docs, spans="spans")
+    removed = F.aggregate("spans", F.lit(0), lambda n, s: n + s["stop"] - s["start"])
+    return out.select(
+        "doc_id", F.greatest(F.coalesce(F.size("spans"), F.lit(0)), F.lit(0)).cast("bigint").alias("n_spans"),
+        F.coalesce(removed, F.lit(0)).cast("bigint").alias("removed_bytes"), F.col("spans").isNotNull().alias("repeats"),
+        F.array_sort(F.array_distinct(F.flatten(F.col("spans.sources")))).alias("first_doc_ids"), "text",
+    )
+
+
+# --- 9: language ID ---------------------------------------------------------------
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = language.learn_from_documents(docs)
+    return language.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", (language.held_out(F.col("doc_id"), 5) == 0).alias("held_out"),
+        F.col("guess.lang").alias("lang_pred"), F.col("guess.score").alias("score"),
+    )
