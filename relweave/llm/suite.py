@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relweave.llm import chunk_dedup, decontaminate, language, near_dedup
+from relweave.llm import chunk_dedup, decontaminate, language, licenses, mixing, near_dedup
+from relweave.suite.base import unit_sql
 from relweave.llm.words import ALNUM, LOWER, SPACED, UPPER
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +124,96 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", (language.held_out(F.col("doc_id"), 5) == 0).alias("held_out"),
         F.col("guess.lang").alias("lang_pred"), F.col("guess.score").alias("score"),
     )
+
+
+# --- 1: license scans -------------------------------------------------------------
+_TEMPLATES_SQL = ", ".join(
+    f"({k}, '{t.label}', {t.phrase}, {t.base}, {list(t.words)})" for k, t in enumerate(licenses.TEMPLATES)
+)
+OP1_SQL = f"""
+WITH t(k, label, phrase, base, ws) AS (VALUES {_TEMPLATES_SQL}),
+tok AS (SELECT DISTINCT k, phrase, w FROM t, unnest(ws) AS u(w)),
+size_of AS (SELECT k, count(*) AS n FROM tok GROUP BY 1),
+d AS (SELECT doc_id, {words_sql('text', ALNUM)} AS ws FROM documents),
+dw AS (SELECT doc_id, i, ws[i + 1] AS w FROM d, unnest(range(0, len(ws))) AS u(i)),
+places AS (
+  SELECT doc_id, k, label, base, i AS first, i + len(t.ws) - 1 AS last
+  FROM d, t, unnest(range(0, len(d.ws))) AS u(i) WHERE phrase AND d.ws[i + 1:i + len(t.ws)] = t.ws
+),
+blocks AS (
+  SELECT doc_id, k, block, count(DISTINCT w) AS n
+  FROM (SELECT doc_id, w, unnest(CASE WHEN i >= 100 THEN [i // 100, i // 100 - 1] ELSE [0] END) AS block FROM dw) JOIN tok USING (w)
+  WHERE NOT phrase GROUP BY 1, 2, 3
+),
+met AS (
+  SELECT doc_id, label, n::DOUBLE / m AS share FROM (SELECT blocks.*, size_of.n AS m, label FROM blocks JOIN size_of USING (k) JOIN t USING (k))
+  WHERE n >= ceil({licenses.THRESHOLD}::DOUBLE * m)
+  UNION ALL SELECT doc_id, label, 1.0 FROM places
+),
+m AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM met GROUP BY 1),
+b AS (
+  SELECT doc_id, count(*) AS n_base, min(first) AS first_word, max(first) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+  FROM places WHERE base GROUP BY 1
+)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
+@query("op1_license_scan", OP1_SQL)
+def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = licenses.scan_licenses(docs).select("doc_id", "licenses.*")
+    numbers = F.array(*[F.lit(k) for k in licenses.base_numbers()])
+    base = F.filter("places", lambda p: F.array_contains(numbers, p["template"]))
+    return found.withColumn("base", base).select(
+        "doc_id", "n_words", F.size("base").cast("bigint").alias("n_base"), F.array_min("base.first").alias("first_word"),
+        F.array_max("base.first").alias("last_word"), licenses.labels(F.col("base.template")).alias("base_labels"),
+        licenses.labels(F.col("blocks.template")).alias("labels"), "score",
+    )
+
+
+# --- 10: mixing sources -------------------------------------------------------------
+_U = unit_sql("mix", "rank", "coalesce(doc_id::VARCHAR, '')")
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, source, len({words_sql('text', SPACED, lower=False)})::BIGINT AS size FROM documents),
+s AS (
+  SELECT source, source_size, 3 * source_size AS cap, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+  FROM (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1)
+),
+run AS (
+  SELECT *, sum(cap) OVER w - cap AS capped, sum(weight) OVER w - weight AS gone, sum(source_size) OVER () AS total, sum(weight) OVER () AS all_weight
+  FROM s WINDOW w AS (ORDER BY cap::DOUBLE / weight, source ROWS UNBOUNDED PRECEDING)
+),
+levels AS (SELECT *, (total - capped)::DOUBLE / (all_weight - gone)::DOUBLE AS level FROM run),
+lev AS (SELECT level FROM levels WHERE cap >= weight * level ORDER BY cap::DOUBLE / weight, source LIMIT 1),
+aim AS (SELECT source, source_size, least(weight::DOUBLE * level, cap::DOUBLE) AS target FROM s, lev),
+p AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM aim
+),
+q AS (SELECT *, target - whole * source_size AS missing FROM p),
+r AS (SELECT *, CASE WHEN source_size > 0 THEN missing / source_size ELSE 0 END AS share FROM q),
+k AS (
+  SELECT doc_id, size, d.source, source_size, target, whole, missing, share,
+    ({_U} * (1.0::DOUBLE - share)) / ((1.0::DOUBLE - {_U}) * (share * sqrt(1.0::DOUBLE + size))) AS ratio
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+),
+f AS (SELECT *, ratio / (1.0::DOUBLE + ratio) AS key FROM k),
+c AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key) AS upto, sum(size) OVER (PARTITION BY source, key) AS own
+  FROM f WHERE size > 0 AND share > 0
+),
+t AS (
+  SELECT doc_id, source, size, upto <= missing OR (upto - own <= missing AND upto - missing < missing - (upto - own)) AS extra FROM c
+)
+SELECT f.doc_id, f.size, source_size, target, (f.size * (whole + CASE WHEN extra THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM f LEFT JOIN t ON f.doc_id = t.doc_id
+"""
+
+
+@query("op10_mixing", OP10_SQL)
+def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    out = mixing.with_copies(docs).select("doc_id", "mix.*")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
