@@ -3,16 +3,20 @@
 1. Each text becomes its set of hashed 5-word shingles.  Documents with equal sets are
    one class, found by a digest, so copies never meet in pairs.
 2. Per class, ``ROWS * BANDS`` minima give one key per band (whole minima) and a packed
-   signature that keeps ``BITS`` low bits of every minimum.
+   signature that keeps 4 low bits of every minimum.
 3. In each band bucket one member, chosen by hash, leads; every other member is paired
    with it: as many pairs as members.  A pair is dropped if the similarity estimated from
    the signatures' equal fields, corrected for chance collisions, is far below the
    threshold; the rest are compared on their full sets.  Links are joined to components.
 4. Buckets that still hold several components pair each member outside their largest
-   component with the members of other components, and these pairs are judged in the
-   same way.  So every pair that shares a bucket is either joined already or compared.
+   component with the most linked member of that component: again as many as members.
+5. What is still apart: each member outside a bucket's largest component meets the members
+   of its other components.  For them a longer signature is made, one bit of each of 2048
+   minima, and only pairs whose estimate allows a link leave that join.  So every pair
+   that shares a bucket is joined already, or estimated and then compared.
 
-A pair at the threshold misses all buckets with probability (1 - 0.75^ROWS)^BANDS, 5e-6.
+A pair at the threshold misses all buckets with probability (1 - 0.75^ROWS)^BANDS, 5e-6,
+and is estimated too low with probability 1e-4.
 
 Defined cases: a text of one to four words is one shingle; null and wordless texts have
 no shingle and no link; a row without id is linked with nothing and kept; repeated rows
@@ -21,7 +25,8 @@ get equal results; tables may be empty; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +40,22 @@ from relweave.llm.store import small, stored
 from relweave.llm.words import SPACED, mix, numbered, run_starts, runs, word_slices
 
 WIDTH = 5
-ROWS, BANDS, BITS = 4, 32, 4
-COUNT = ROWS * BANDS
+ROWS, BANDS = 4, 32
 THRESHOLD = 75  # per cent
-SLACK = 0.22  # five standard deviations of the estimate at the threshold
-_FACTORS = (numbered(COUNT, seed=3) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-_SHIFTS = (numbered(COUNT, seed=5) >> np.uint64(32)).astype(np.uint32)
+
+
+@dataclass(frozen=True)
+class Signature:
+    """``bits`` low bits of ``count`` minima; estimates may fall ``slack`` below the threshold (3.7 deviations)."""
+
+    count: int
+    bits: int
+    slack: float
+
+
+COARSE, SHARP = Signature(ROWS * BANDS, 4, 0.15), Signature(2048, 1, 0.055)
+_FACTORS = (numbered(SHARP.count, seed=3) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_SHIFTS = (numbered(SHARP.count, seed=5) >> np.uint64(32)).astype(np.uint32)
 ARROW_SKETCH = pa.struct([
     ("n", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("signature", pa.list_(pa.int64())),
 ])
@@ -69,49 +84,66 @@ def shingle_sets(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield value, np.searchsorted(owner, np.arange(len(counts) + 1))
 
 
-def minima(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """COUNT minima for each non-empty set; ``starts`` are the sets' first indexes."""
+def minima(values: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
+    """``count`` minima for each non-empty set; ``starts`` are the sets' first indexes."""
     low = (values >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((COUNT, len(starts)), dtype=np.uint32)
+    out = np.empty((count, len(starts)), dtype=np.uint32)
     room = np.empty_like(low)
-    for k in range(COUNT):
+    for k in range(count):
         np.multiply(low, _FACTORS[k], out=room)
         np.add(room, _SHIFTS[k], out=room)
         np.bitwise_xor(room, room >> np.uint32(15), out=room)
         np.minimum.reduceat(room, starts, out=out[k])
-    return out.T
+    return mix(out.T.astype(np.uint64))
+
+
+def packed(least: np.ndarray, kind: Signature) -> np.ndarray:
+    """The low bits of each minimum, 64 bits to a word."""
+    fields = (least & np.uint64((1 << kind.bits) - 1)).reshape(len(least), -1, 64 // kind.bits)
+    places = np.arange(64 // kind.bits, dtype=np.uint64) * np.uint64(kind.bits)
+    return np.bitwise_or.reduce(fields << places, axis=2)
+
+
+def as_lists(rows: np.ndarray) -> pa.Array:
+    ends = pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32))
+    return pa.ListArray.from_arrays(ends, pa.array(rows.reshape(-1).view(np.int64)))
 
 
 def sketches(values: np.ndarray, rows: np.ndarray) -> pa.Array:
     sizes = np.diff(rows)
     full = np.flatnonzero(sizes > 0)
     n = len(sizes)
-    bands, packed = np.zeros((n, BANDS), dtype=np.uint64), np.zeros((n, COUNT * BITS // 64), dtype=np.uint64)
+    bands, signature = np.zeros((n, BANDS), dtype=np.uint64), np.zeros((n, COARSE.count * COARSE.bits // 64), dtype=np.uint64)
     digests: list[bytes | None] = [None] * n
     if len(full):
         starts = rows[full]
-        low = minima(values, starts)
-        wide = mix(low.astype(np.uint64))
+        least = minima(values, starts, COARSE.count)
         key = np.zeros((len(full), BANDS), dtype=np.uint64)
         for r in range(ROWS):
-            key = mix(key + wide[:, r::ROWS] + numbered(BANDS, seed=11))
-        bands[full] = key
-        fields = (wide & np.uint64((1 << BITS) - 1)).reshape(len(full), -1, 64 // BITS)
-        places = np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS)
-        packed[full] = np.bitwise_or.reduce(fields << places, axis=2)
-        sums = [np.add.reduceat(mix(values ^ s), starts) for s in numbered(2, seed=13)]
-        both = np.stack(sums, axis=1)
+            key = mix(key + least[:, r::ROWS] + numbered(BANDS, seed=11))
+        bands[full], signature[full] = key, packed(least, COARSE)
+        both = np.stack([np.add.reduceat(mix(values ^ s), starts) for s in numbered(2, seed=13)], axis=1)
         for i, row in enumerate(full.tolist()):
             digests[row] = both[i].tobytes()
-    as_list = lambda m: pa.ListArray.from_arrays(
-        pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)), pa.array(m.reshape(-1).view(np.int64))
-    )
     return pa.StructArray.from_arrays(
-        [pa.array(sizes.astype(np.int64)), pa.array(digests, type=pa.binary()), as_list(bands), as_list(packed)],
+        [pa.array(sizes.astype(np.int64)), pa.array(digests, type=pa.binary()), as_lists(bands), as_lists(signature)],
         fields=list(ARROW_SKETCH),
     )
 
 
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def sharp_signature(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        parts = []
+        for values, rows in shingle_sets(texts):
+            out = np.zeros((len(rows) - 1, SHARP.count * SHARP.bits // 64), dtype=np.uint64)
+            full = np.flatnonzero(np.diff(rows) > 0)
+            if len(full):
+                out[full] = packed(minima(values, rows[full], SHARP.count), SHARP)
+            parts.append(as_lists(out))
+        yield pa.concat_arrays(parts) if parts else pa.array([], type=pa.list_(pa.int64()))
+
+
 @F.arrow_udf(from_arrow_type(ARROW_SKETCH))
 def sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
@@ -129,28 +161,33 @@ def shingle_set(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.concat_arrays(parts) if parts else pa.array([], type=pa.list_(pa.int64()))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Jaccard similarity estimated from two packed signatures."""
-    ones = sum(1 << (k * BITS) for k in range(64 // BITS))
+def similarity(a: Sequence[Column], b: Sequence[Column], kind: Signature) -> Column:
+    """Jaccard similarity estimated from the words of two packed signatures."""
+    ones = sum(1 << (k * kind.bits) for k in range(64 // kind.bits))
     ones = ones - (1 << 64) if ones >= 1 << 63 else ones
 
     def differing(x: Column) -> Column:
         folded = x
-        for k in range(1, BITS):
+        for k in range(1, kind.bits):
             folded = folded.bitwiseOR(F.shiftrightunsigned(x, k))
-        return F.bit_count(folded.bitwiseAND(F.lit(ones).cast("bigint")))
+        return F.bit_count(folded.bitwiseAND(F.lit(ones).cast("bigint")) if kind.bits > 1 else folded)
 
-    words = [differing(a[k].bitwiseXOR(b[k])) for k in range(COUNT * BITS // 64)]
-    equal = 1.0 - sum(words[1:], words[0]) / F.lit(float(COUNT))
-    chance = 1.0 / (1 << BITS)
+    words = [differing(x.bitwiseXOR(y)) for x, y in zip(a, b, strict=True)]
+    equal = 1.0 - sum(words[1:], words[0]) / F.lit(float(kind.count))
+    chance = 1.0 / (1 << kind.bits)
     return (equal - chance) / (1.0 - chance)
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_: str, text: str, threshold: int) -> DataFrame:
+def texts_of(ids: DataFrame, docs: DataFrame, id_: str, text: str) -> DataFrame:
+    """(id, __text) of the given ids; few ids, counted first, are broadcast, more are joined by a shuffle."""
+    ids = small(stored(ids, "ids"), 16)
+    return docs.select(F.col(id_).alias("id"), F.col(text).alias("__text")).join(ids, "id", "left_semi")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, id_: str, text: str, threshold: int) -> DataFrame:
     """The pairs (a, b) whose full sets overlap enough.  Only members of pairs send their sets."""
-    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
-    found = docs.select(F.col(id_).alias("id"), F.col(text).alias("__text")).join(small(ends, 16), "id", "left_semi")
-    sets = stored(found.select("id", shingle_set("__text").alias("set")).dropDuplicates(["id"]), "sets")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = stored(texts_of(ends, docs, id_, text).select("id", shingle_set("__text").alias("set")).dropDuplicates(["id"]), "sets")
     one = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
     two = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
     both = pairs.select("a", "b").join(one, "a").join(two, "b")
@@ -173,13 +210,18 @@ def near_duplicates(docs: DataFrame, *, id_: str = "doc_id", text: str = "text",
     rank = F.struct(F.xxhash64("id", "bucket").alias("h"), F.col("id").alias("leader"))
     leaders = members.groupBy("bucket").agg(F.min(rank).alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1")
     shared = stored(members.join(leaders, "bucket").select("bucket", "id", F.col("lead.leader").alias("leader")), "buckets")
-    first = judged(shared.where("id != leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")), classes, threshold)
-    links = stored(confirmed(first, classes, docs, id_, text, threshold), "links")
+    first = judged(shared.where("id != leader").select("id", F.col("leader").alias("other")), classes, threshold)
+    links = stored(confirmed(stored(first, "pairs"), docs, id_, text, threshold), "links")
     groups = stored(connected_components(links), "groups")
-    rest = stored(judged(outside_pairs(shared, groups), classes, threshold), "rest")
-    if not rest.isEmpty():
-        links = links.unionByName(confirmed(rest, classes, docs, id_, text, threshold))
-        groups = stored(connected_components(stored(links, "links")), "groups")
+    def sharp(ids: DataFrame) -> DataFrame:
+        return texts_of(ids, docs, id_, text).select("id", sharp_signature("__text").alias("signature")).dropDuplicates(["id"])
+
+    for pairs_of in (hub_pairs, lambda *known: outside_pairs(*known, sharp)):
+        pairs = stored(pairs_of(shared, groups, links, classes, threshold), "pairs")
+        if not pairs.isEmpty():
+            more = stored(confirmed(pairs, docs, id_, text, threshold), "links")
+            joint = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+            links, groups = links.unionByName(more), stored(connected_components(joint), "groups")
     named = classes.select("digest", "n", F.col("id").alias("node")).join(groups, "node", "left")
     named = named.select("digest", "n", F.coalesce("component", "node").alias("component_id"))
     out = made.select("id", "n", "digest").join(named, ["digest", "n"], "left")
@@ -190,22 +232,67 @@ def near_duplicates(docs: DataFrame, *, id_: str = "doc_id", text: str = "text",
     )
 
 
+def alike(x: Column, y: Column, threshold: int) -> Column:
+    """Whether sizes and signatures (n, signature of two structs) allow the threshold."""
+    words = range(COARSE.count * COARSE.bits // 64)
+    estimate = similarity([x["signature"][k] for k in words], [y["signature"][k] for k in words], COARSE)
+    return sizes_allow(x["n"], y["n"], threshold) & (estimate >= threshold / 100 - COARSE.slack)
+
+
+def sizes_allow(n: Column, m: Column, threshold: int) -> Column:
+    return 100 * F.least(n, m) >= threshold * F.greatest(n, m)
+
+
+def profiles(classes: DataFrame, node: str, profile: str) -> DataFrame:
+    return classes.select(F.col("id").alias(node), F.struct("n", "signature").alias(profile))
+
+
+def ordered(x: str, y: str) -> tuple[Column, Column]:
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+
 def judged(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """Distinct pairs whose sizes and signatures allow the threshold."""
-    side = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("signature").alias(f"s_{c}"))
-    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-    lengths = 100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")
-    return both.where(lengths & (similarity(F.col("s_a"), F.col("s_b")) >= threshold / 100 - SLACK)).select("a", "b")
+    """Distinct pairs (id, other) whose estimate allows a link, as (a, b)."""
+    distinct = pairs.select(*ordered("id", "other")).distinct()
+    both = distinct.join(profiles(classes, "a", "pa"), "a").join(profiles(classes, "b", "pb"), "b")
+    return both.where(alike(F.col("pa"), F.col("pb"), threshold)).select("a", "b")
 
 
-def outside_pairs(shared: DataFrame, groups: DataFrame) -> DataFrame:
-    """In buckets of several components: members outside the largest with members of other components."""
+def mixed_buckets(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, with the largest component there."""
     placed = shared.select("bucket", F.col("id").alias("node")).join(groups, "node", "left")
     placed = placed.select("bucket", "node", F.coalesce("component", "node").alias("component"))
     counts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
     mixed = counts.groupBy("bucket").agg(F.max(F.struct("m", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    open_ = stored(placed.join(mixed.select("bucket", F.col("top.component").alias("top")), "bucket"), "open")
-    few = open_.where("component != top").select("bucket", F.col("node").alias("x"), F.col("component").alias("cx"))
-    return few.join(open_.select("bucket", "node", "component"), "bucket").where("cx != component").select(
-        F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")
+    return stored(placed.join(mixed.select("bucket", F.col("top.component").alias("top")), "bucket"), "mixed")
+
+
+def hub_pairs(shared: DataFrame, groups: DataFrame, links: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """Members outside a bucket's largest component, each with that component's most linked member there."""
+    members = mixed_buckets(shared, groups)
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    inner = members.where("component = top").join(degree, "node", "left")
+    hubs = inner.groupBy("bucket").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("d"), "node")).alias("hub"))
+    pairs = members.where("component != top").join(hubs, "bucket").select(F.col("node").alias("id"), F.col("hub.node").alias("other"))
+    return judged(pairs, classes, threshold)
+
+
+def outside_pairs(
+    shared: DataFrame, groups: DataFrame, links: DataFrame, classes: DataFrame, threshold: int, sharp: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """Members outside a bucket's largest component with members of its other components, where the estimate allows a link."""
+    members = mixed_buckets(shared, groups)
+    known = sharp(members.select(F.col("node").alias("id")).distinct()).join(classes.select("id", "n"), "id").withColumnRenamed("id", "node")
+    members = stored(members.join(known, "node"), "mixed")
+    # one plain column for each word of a signature keeps the join's code short
+    words = range(SHARP.count * SHARP.bits // 64)
+
+    def side(mark: str) -> list[Column]:
+        own = [F.coalesce(F.get("signature", F.lit(k)), F.lit(0)).alias(f"{mark}{k}") for k in words]
+        return ["bucket", F.col("node").alias(f"{mark}node"), F.col("component").alias(f"{mark}component"), F.col("n").alias(f"{mark}n"), *own]
+
+    estimate = similarity([F.col(f"x{k}") for k in words], [F.col(f"y{k}") for k in words], SHARP)
+    met = members.where("component != top").select(*side("x")).join(members.select(*side("y")), "bucket").where(
+        (F.col("xcomponent") != F.col("ycomponent")) & sizes_allow(F.col("xn"), F.col("yn"), threshold) & (estimate >= threshold / 100 - SHARP.slack)
     )
+    return met.select(*ordered("xnode", "ynode")).distinct()
