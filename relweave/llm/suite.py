@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relweave.llm import chunk_dedup, decontaminate, language, licenses, mixing, near_dedup
+from relweave.llm import chat, chunk_dedup, decontaminate, language, licenses, mixing, near_dedup, quality, url_templates
 from relweave.suite.base import unit_sql
 from relweave.llm.words import ALNUM, LOWER, SPACED, UPPER
 
@@ -217,3 +217,153 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
     out = mixing.with_copies(docs).select("doc_id", "mix.*")
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+# --- 2: chat formatting -------------------------------------------------------------
+def _escape_sql(text: str) -> str:
+    for first, rests in chat.first_characters(chat.INSTRUCT).items():
+        pattern = f"([{first}])(\\\\*)({'|'.join(r.replace(']', '[]]') for r in rests)})"
+        text = f"regexp_replace({text}, '{pattern}', '\\1\\\\\\2\\3', 'g')"
+    return text
+
+
+def _around_sql(text: str) -> str:
+    marks = chat.INSTRUCT.marks
+    known = "".join(f" WHEN '{r}' THEN '{a}' || {text} || '{b}'" for r, (a, b) in marks.items())
+    o = chat.INSTRUCT.other
+    return f"CASE role{known} ELSE '{o[0]}' || {_escape_sql('role')} || '{o[1]}' || {text} || '{o[2]}' END"
+
+
+OP2_SQL = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+e AS (SELECT *, {_around_sql(_escape_sql('text'))} AS piece FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length(piece))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+PROBE = "</s>[INST] ok [/INST]"
+
+
+@query("op2_chat_format", OP2_SQL)
+def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.sql(f"SELECT -7L AS conv_id, k AS turn, r AS role, '{PROBE}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(k, r)")
+    made = chat.format_chats(rows.unionByName(probe))
+    turns = F.transform(chat.read_back(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: chat.unescape(s["text"], chat.INSTRUCT)), "")
+    made = made.withColumn("turns", turns).withColumn("loss", loss)
+    return made.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(F.array_join("turns", "").cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
+# --- 3: URL filters -----------------------------------------------------------------
+def _rule_sql(of: str) -> str:
+    ordered = sorted(url_templates.RULES, key=lambda r: -len(r.text))
+    cases = " ".join(
+        f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{getattr(r, of)}'" for r in ordered
+    )
+    return f"CASE {cases} END"
+
+
+def _op3_sql() -> str:
+    u = url_templates
+    levels = ", ".join(f"coalesce(parts[{d + 1}], '') AS g{d + 1}" for d in range(u.DEPTH))
+    steps, tree = [], "t0"
+    for d in range(1, u.DEPTH + 1):
+        keys = ", ".join(["host", *u.LEVELS[: d - 1]])
+        own = f"g{d}"
+        others = ", ".join(c for c in ["host", "shape", "n", "labelled", "blocked", *u.LEVELS, "tail"] if c != own)
+        steps.append(f"""
+w{d} AS (
+  SELECT {keys} FROM (SELECT {keys}, {own}, sum(n) AS n FROM {tree} WHERE {own} != '' GROUP BY ALL) GROUP BY {keys}
+  HAVING count(*) > {u.MOST_CHILDREN} AND sum(n) < {u.LEAST_REPEAT} * count(*)
+),
+x{d} AS (SELECT {others}, CASE WHEN {own} != '' AND concat_ws(chr(31), {keys}) IN (SELECT concat_ws(chr(31), {keys}) FROM w{d}) THEN '*' ELSE {own} END AS {own} FROM {tree}),
+k{d} AS (SELECT {keys}, {own}, sum(labelled) AS l, sum(blocked) AS b FROM x{d} WHERE {own} != '' GROUP BY ALL),
+p{d} AS (SELECT *, sum(l) OVER (PARTITION BY {keys}) AS pl, sum(b) OVER (PARTITION BY {keys}) AS pb FROM k{d}),
+m{d} AS (
+  SELECT {keys}, {own} FROM p{d} WHERE l > 0 AND pl > l
+  AND (b * (pl - l) - (pb - b) * l)::DOUBLE * (b * (pl - l) - (pb - b) * l)::DOUBLE
+    > {u.DEVIATIONS ** 2}::DOUBLE * ((pb + 1.0::DOUBLE) / (pl + 2.0::DOUBLE)) * (1.0::DOUBLE - (pb + 1.0::DOUBLE) / (pl + 2.0::DOUBLE)) * l * (pl - l) * pl
+),
+t{d} AS (SELECT {others}, CASE WHEN {own} = '' OR concat_ws(chr(31), {keys}, {own}) IN (SELECT concat_ws(chr(31), {keys}, {own}) FROM m{d}) THEN {own} ELSE '*' END AS {own} FROM x{d})""")
+        tree = f"t{d}"
+    template = ", ".join(["host", *u.LEVELS, "tail"])
+    return f"""
+WITH a AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '{u.SPLIT}', 1), ''), '{UPPER}', '{LOWER}') AS host,
+         coalesce(regexp_extract(url, '{u.SPLIT}', 2), '') AS path FROM pages
+),
+r AS (
+  SELECT *, {_rule_sql('text')} AS rule, {_rule_sql('verdict')} AS ruled,
+         [regexp_replace(x, '[0-9]+', '#', 'g') FOR x IN string_split(path, '/') IF x != ''] AS parts FROM a
+),
+s AS (SELECT *, {levels}, CASE WHEN len(parts) > {u.DEPTH} THEN '**' ELSE '' END AS tail FROM r),
+q AS (SELECT *, concat_ws('/', {', '.join(u.LEVELS)}, tail) AS shape FROM s),
+t0 AS (
+  SELECT host, shape, {', '.join(u.LEVELS)}, tail, count(*) AS n, count(ruled) AS labelled, count(*) FILTER (ruled = 'block') AS blocked FROM q GROUP BY ALL
+),{','.join(steps)},
+hosts AS (SELECT host, (sum(blocked) + 1.0::DOUBLE) / (sum(labelled) + 2.0::DOUBLE) AS h FROM {tree} GROUP BY host),
+per AS (SELECT {template}, sum(labelled) AS l, sum(blocked) AS b FROM {tree} GROUP BY ALL),
+bad AS (SELECT {template} FROM per JOIN hosts USING (host) WHERE (b + 2.0::DOUBLE * h) / (l + 2.0::DOUBLE) >= {u.PURITY}::DOUBLE),
+bad_shapes AS (SELECT host, shape FROM {tree} SEMI JOIN bad USING ({template}))
+SELECT page_id, q.host, path, rule, coalesce(ruled, CASE WHEN z.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM q LEFT JOIN bad_shapes z ON q.host = z.host AND q.shape = z.shape
+"""
+
+
+OP3_SQL = _op3_sql()
+
+
+@query("op3_url_filter", OP3_SQL)
+def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_templates.filter_urls(table(spark, folder, "pages").select("page_id", "url")).select("page_id", "url_filter.*")
+
+
+# --- 5: quality rules ---------------------------------------------------------------
+def _op5_sql() -> str:
+    q = quality
+    count = lambda text, pattern: f"len(regexp_extract_all({text}, '{pattern}'))"
+    closed = q.CLOSED.replace("'", "''")
+    fails = f"""(({count('x', SPACED)} < {q.SHORT_LINE} AND NOT regexp_matches(x, '{closed}'))
+      OR {count('x', q.BAR)} >= {q.BARS} OR ({count('x', q.BAR)} > 0 AND 3 * {count('x', q.BAR)} >= {count('x', SPACED)})
+      OR regexp_matches(lower(x), '{'|'.join(q.FURNITURE)}')
+      OR 100 * {count('x', q.SYMBOLS)} > {q.SYMBOL_SHARE} * (length(x) - {count('x', q.SPACE)}))"""
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '{SPACED}') AS ws, [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '{SPACED}')] AS ls FROM d),
+v AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS win FROM w, unnest(range(1, len(ws) - 3)) AS t(i)),
+again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS n FROM v) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, unnest(range(0, 5)) AS t(k) GROUP BY 1),
+ln AS (SELECT doc_id, x FROM w, unnest(ls) AS t(x)),
+good AS (SELECT doc_id, sum({count('x', SPACED)}) AS n FROM ln WHERE NOT {fails} GROUP BY 1),
+r AS (
+  SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(text) - {count('text', q.SPACE)} AS word_chars, {count('text', q.SYMBOLS)} AS n_symbols,
+         len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(good.n, 0) AS n_good
+  FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN good USING (doc_id)
+),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM r)
+SELECT doc_id, n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+       n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND 100 * (n_words - n_good) <= {q.MOST_LOST} * n_words AS kept
+FROM f
+"""
+
+
+OP5_SQL = _op5_sql()
+
+
+@query("op5_quality_rules", OP5_SQL)
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality.judge(docs).select("doc_id", *[F.col(f"quality.{n}").alias(n) for n in names])
