@@ -12,8 +12,9 @@
    component with the most linked member of that component: again as many as members.
 5. What is still apart: each member outside a bucket's largest component meets the members
    of its other components.  For them a longer signature is made, one bit of each of 2048
-   minima, and only pairs whose estimate allows a link leave that join.  So every pair
-   that shares a bucket is joined already, or estimated and then compared.
+   minima, and only pairs whose estimate allows a link leave that join, each from the first
+   bucket it shares.  So every pair that shares a bucket is joined already, or estimated and
+   then compared.
 
 A pair at the threshold misses all buckets with probability (1 - 0.75^ROWS)^BANDS, 5e-6,
 and is estimated too low with probability 1e-4.
@@ -206,10 +207,10 @@ def near_duplicates(docs: DataFrame, *, id_: str = "doc_id", text: str = "text",
         known.groupBy("digest", "n").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("signature").alias("signature")),
         "classes",
     )
-    members = classes.select("id", "n", F.explode("bands").alias("bucket"))
+    members = classes.select("id", F.posexplode("bands").alias("band", "bucket"))
     rank = F.struct(F.xxhash64("id", "bucket").alias("h"), F.col("id").alias("leader"))
     leaders = members.groupBy("bucket").agg(F.min(rank).alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    shared = stored(members.join(leaders, "bucket").select("bucket", "id", F.col("lead.leader").alias("leader")), "buckets")
+    shared = stored(members.join(leaders, "bucket").select("bucket", "band", "id", F.col("lead.leader").alias("leader")), "buckets")
     first = judged(shared.where("id != leader").select("id", F.col("leader").alias("other")), classes, threshold)
     links = stored(confirmed(stored(first, "pairs"), docs, id_, text, threshold), "links")
     groups = stored(connected_components(links), "groups")
@@ -260,8 +261,8 @@ def judged(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
 
 def mixed_buckets(shared: DataFrame, groups: DataFrame) -> DataFrame:
     """Members of the buckets that hold several components, with the largest component there."""
-    placed = shared.select("bucket", F.col("id").alias("node")).join(groups, "node", "left")
-    placed = placed.select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    placed = shared.select("bucket", "band", F.col("id").alias("node")).join(groups, "node", "left")
+    placed = placed.select("bucket", "band", "node", F.coalesce("component", "node").alias("component"))
     counts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
     mixed = counts.groupBy("bucket").agg(F.max(F.struct("m", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     return stored(placed.join(mixed.select("bucket", F.col("top.component").alias("top")), "bucket"), "mixed")
@@ -282,17 +283,27 @@ def outside_pairs(
 ) -> DataFrame:
     """Members outside a bucket's largest component with members of its other components, where the estimate allows a link."""
     members = mixed_buckets(shared, groups)
-    known = sharp(members.select(F.col("node").alias("id")).distinct()).join(classes.select("id", "n"), "id").withColumnRenamed("id", "node")
-    members = stored(members.join(known, "node"), "mixed")
+    low, halves = F.lit(0xFFFFFFFF).cast("bigint"), range(BANDS // 2)
+    keys = [F.get("bands", F.lit(2 * k)).bitwiseAND(low).bitwiseOR(F.shiftleft(F.get("bands", F.lit(2 * k + 1)), 32)) for k in halves]
+    known = sharp(members.select(F.col("node").alias("id")).distinct()).join(classes.select("id", "n", F.array(*keys).alias("keys")), "id")
+    members = stored(members.join(known.withColumnRenamed("id", "node"), "node"), "mixed")
     # one plain column for each word of a signature keeps the join's code short
     words = range(SHARP.count * SHARP.bits // 64)
 
     def side(mark: str) -> list[Column]:
         own = [F.coalesce(F.get("signature", F.lit(k)), F.lit(0)).alias(f"{mark}{k}") for k in words]
-        return ["bucket", F.col("node").alias(f"{mark}node"), F.col("component").alias(f"{mark}component"), F.col("n").alias(f"{mark}n"), *own]
-
+        own += [F.coalesce(F.get("keys", F.lit(k)), F.lit(0)).alias(f"{mark}key{k}") for k in halves]
+        own += [F.col(c).alias(f"{mark}{c}") for c in ("node", "component", "n")]
+        return ["bucket", *([F.coalesce("band", F.lit(0)).alias("band")] if mark == "x" else []), *own]
+
+    # a bucket before this one that the pair shares too has emitted it already
+    news = F.lit(True)
+    for k in halves:
+        differ = F.col(f"xkey{k}").bitwiseXOR(F.col(f"ykey{k}"))
+        news = news & ((F.col("band") <= 2 * k) | (differ.bitwiseAND(low) != 0)) & ((F.col("band") <= 2 * k + 1) | (F.shiftrightunsigned(differ, 32) != 0))
     estimate = similarity([F.col(f"x{k}") for k in words], [F.col(f"y{k}") for k in words], SHARP)
     met = members.where("component != top").select(*side("x")).join(members.select(*side("y")), "bucket").where(
-        (F.col("xcomponent") != F.col("ycomponent")) & sizes_allow(F.col("xn"), F.col("yn"), threshold) & (estimate >= threshold / 100 - SHARP.slack)
+        (F.col("xcomponent") != F.col("ycomponent")) & sizes_allow(F.col("xn"), F.col("yn"), threshold)
+        & (estimate >= threshold / 100 - SHARP.slack) & news
     )
     return met.select(*ordered("xnode", "ynode")).distinct()

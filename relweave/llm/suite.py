@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relweave.llm import chat, chunk_dedup, decontaminate, language, licenses, mixing, near_dedup, quality, url_templates
+from relweave.llm import chat, chunk_dedup, decontaminate, language, language_model, licenses, mixing, near_dedup, quality, url_templates
 from relweave.suite.base import unit_sql
 from relweave.llm.words import ALNUM, LOWER, SPACED, UPPER
 
@@ -367,3 +367,11 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return quality.judge(docs).select("doc_id", *[F.col(f"quality.{n}").alias(n) for n in names])
+
+
+# --- 8: language-model scores ---------------------------------------------------------
+@query("op8_lm_score")
+def op8_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = language_model.score_texts(docs, language.held_out(F.col("doc_id"), 7) != 2)
+    return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
