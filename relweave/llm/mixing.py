@@ -111,14 +111,16 @@ def with_copies(
     sized = stored(docs.select(F.col(id_).alias("id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size")), "sizes")
     aims = stored(plan(targets(sized, weights, most_copies)), "targets")
     drawn = sized.join(small(aims, 64), F.col("source").eqNullSafe(F.col("t_source"))).where("size > 0 AND share > 0")
-    ranked = drawn.select("source", "size", "missing", key(F.col("id"), pull(F.col("size")), F.col("share"), seed).alias("key"))
+    own = F.when(F.col("share") > 0, key(F.col("id"), pull(F.col("size")), F.col("share"), seed))
+    ranked = drawn.select("source", "size", "missing", own.alias("key"))
     ranked = ranked.withColumn("coarse", F.floor(F.col("key") * slices)).withColumn("fine", F.floor((F.col("key") * slices - F.col("coarse")) * slices))
     joined = aims.join(cut_keys(ranked), F.col("t_source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source")
     aims = stored(joined.select(F.struct(*joined.columns).alias("__aim")), "targets")
     aim, size = F.col("__aim"), F.col("__size")
-    own = key(F.col("__id"), pull(size), aim["share"], seed)
+    sampled = (size > 0) & (aim["share"] > 0)
+    own = F.when(sampled, key(F.col("__id"), pull(size), aim["share"], seed))
     inside = (own < aim["cut_key"]) | ((own == aim["cut_key"]) & aim["with_cut"])
-    extra = F.when((size > 0) & (aim["share"] > 0) & F.coalesce(inside, F.lit(True)), 1).otherwise(0)
+    extra = F.when(sampled & F.coalesce(inside, F.lit(True)), 1).otherwise(0)
     named = docs.withColumns({"__id": F.col(id_), "__source": F.col(source), "__size": size_of(F.col(text))})
     out = named.join(small(aims, 128), F.col("__source").eqNullSafe(aim["t_source"]))
     made = F.struct(size.alias("size"), aim["source_size"].alias("source_size"), aim["target"].alias("target"), (aim["whole"] + extra).alias("copies"))
