@@ -33,15 +33,19 @@ def array_sql(values: Sequence) -> str:
 
 def value_text(column: str, dtype: T.DataType) -> str:
     """Text equal exactly where the values are; long texts by the digest of the whole text."""
-    name = name_sql(column)
+    return sql_value_text(name_sql(column), dtype)
+
+
+def sql_value_text(value: str, dtype: T.DataType) -> str:
+    """The same for any SQL expression of type ``dtype``."""
     if isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)):
-        text = f"to_json({name})"
+        text = f"to_json({value})"
     elif isinstance(dtype, T.BinaryType):
-        text = f"hex({name})"
+        text = f"hex({value})"
     elif isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return f"string({name} + 0.0D)"
+        return f"string({value} + 0.0D)"
     else:
-        text = f"string({name})"
+        text = f"string({value})"
         if not isinstance(dtype, T.StringType):
             return text
     return f"if(length({text}) > {LONG_TEXT}, concat('#', sha2({text}, 256)), {text})"

@@ -11,12 +11,13 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relweave import schema as S
-from relweave.functions.texts import array_sql, name_sql, stack_rows, text_sql, value_text
+from relweave.functions.texts import array_sql, name_sql, sql_value_text, stack_rows, text_sql
 
 
 def _row(check: str, table: str, column: str, bad: Column, noun: str) -> list[Column]:
@@ -134,85 +135,103 @@ def _key_checks(table: S.Table, present: Mapping[str, DataFrame]) -> list[_KeyCh
     return out
 
 
-def _key_slots(df: DataFrame, columns: Sequence[str], width: int, integral: bool) -> list[str]:
-    """Integer keys as ``width`` bigint slots, other keys as an array of texts."""
-    if integral:
-        numbers = [f"bigint({name_sql(c)})" for c in columns]
+def _common_type(own: DataFrame, column: str, ref: DataFrame, ref_column: str) -> T.DataType:
+    """The type in which both sides are compared: what a union makes of them; text if one side is text or nothing fits."""
+    left, right = own.schema[column].dataType, ref.schema[ref_column].dataType
+    if left == right:
+        return left
+    if isinstance(left, T.StringType) or isinstance(right, T.StringType):
+        return T.StringType()
+    try:
+        both = own.select(F.col(name_sql(column)).alias("k")).union(ref.select(F.col(name_sql(ref_column)).alias("k")))
+        return both.schema["k"].dataType
+    except AnalysisException:
+        return T.StringType()
+
+
+def _key_slots(df: DataFrame, columns: Sequence[str], types: Sequence[T.DataType], width: int) -> list[str]:
+    """A key in the given types: integers as ``width`` bigint slots, others as an array of texts."""
+    values = [
+        name_sql(c) if df.schema[c].dataType == t else f"CAST({name_sql(c)} AS {t.simpleString()})"
+        for c, t in zip(columns, types, strict=True)
+    ]
+    if all(isinstance(t, T.IntegralType) for t in types):
+        numbers = [f"bigint({v})" for v in values]
         return [*numbers, *["bigint(NULL)"] * (width - len(numbers)), "cast(NULL AS array<string>)"]
-    texts = ", ".join(value_text(c, df.schema[c].dataType) for c in columns)
-    return [*["bigint(NULL)"] * width, f"array({texts})"]
+    texts = ", ".join(sql_value_text(v, t) for v, t in zip(values, types, strict=True))
+    return [*["bigint(NULL)"] * width, _texts(texts)]
 
 
-def _all_integral(df: DataFrame, columns: Sequence[str]) -> bool:
-    return all(isinstance(df.schema[c].dataType, T.IntegralType) for c in columns)
+def _texts(texts: str) -> str:
+    """An array whose elements may be NULL in every row, so that all slots have one type."""
+    return f"array({texts}, string(NULL))"
 
 
-def key_report(tables: Mapping[str, DataFrame], db: S.Database) -> DataFrame | None:
-    """Primary-key, UNIQUE and foreign-key checks of all tables in one grouping.
+def validate_integrity(tables: Mapping[str, DataFrame], db: S.Database) -> DataFrame:
+    """All checks of all tables; a missing or empty table, or parent, is skipped.
 
-    Each table is read once, for the keys it owns and those others refer to.  The keys of
-    all checks meet in one exchange, combined on the map side.
+    Each table is read once, for the keys it owns, those others refer to, and its NOT NULL
+    columns.  The keys of all checks meet in one exchange, combined on the map side.  Keys of
+    a foreign key are compared in the common type of both sides.  A row's NOT NULL columns
+    are one key too: the list of those that are NULL, nearly always empty.
     """
-    checks = [c for t in db.tables if t.name in tables for c in _key_checks(t, tables)]
-    if not checks:
-        return None
-    width = max(len(c.columns) for c in checks)
+    known = [t for t in db.tables if t.name in tables]
+    checks = [c for t in known for c in _key_checks(t, tables)]
+    required = {t.name: [c.name for c in t.columns if not c.nullable] for t in known}
+    required = {name: columns for name, columns in required.items() if columns}
+    if not checks and not required:
+        raise ValueError("no table of the schema has data")
+    width = max((len(c.columns) for c in checks), default=1)
     cells: dict[str, list[list[str]]] = {}
     for number, check in enumerate(checks):
         own = tables[check.table]
         ref = tables[check.ref_table] if check.ref_table else None
-        integral = _all_integral(own, check.columns) and (
-            ref is None or _all_integral(ref, check.ref_columns)
-        )
+        if ref is None:
+            types = [own.schema[c].dataType for c in check.columns]
+        else:
+            types = [_common_type(own, c, ref, r) for c, r in zip(check.columns, check.ref_columns, strict=True)]
         complete = " AND ".join(f"{name_sql(c)} IS NOT NULL" for c in check.columns)
         tested = "1" if check.nulls_count else f"int({complete})"
-        slots = _key_slots(own, check.columns, width, integral)
+        slots = _key_slots(own, check.columns, types, width)
         cells.setdefault(check.table, []).append([str(number), *slots, "1", tested, "0"])
         if ref is not None:
-            slots = _key_slots(ref, check.ref_columns, width, integral)
+            slots = _key_slots(ref, check.ref_columns, types, width)
             cells.setdefault(check.ref_table, []).append([str(number), *slots, "0", "0", "1"])
+    # rows of the report: the key checks, then one for each NOT NULL column
+    rows = [(c.check, c.table, ", ".join(c.columns), c.noun) for c in checks]
+    spread = []
+    for number, (name, columns) in enumerate(required.items(), len(checks)):
+        flags = ", ".join(f"if({name_sql(c)} IS NULL, '{k}', NULL)" for k, c in enumerate(columns))
+        slots = [*["bigint(NULL)"] * width, _texts(f"concat_ws(',', {flags})")]
+        cells.setdefault(name, []).append([str(number), *slots, "1", "0", "0"])
+        spread.append(
+            f"WHEN number = {number} THEN transform(sequence(0, {len(columns) - 1}), k -> named_struct('number', {len(rows)} + k, "
+            "'bad', if(array_contains(split(texts[0], ','), string(k)), rows, 0L)))"
+        )
+        rows += [("not_null", name, c, "NULL values") for c in columns]
     slot_names = [*[f"k{i}" for i in range(width)], "texts"]
     names = ["number", *slot_names, "rows", "tested", "parents"]
-    keys = [tables[name].select(stack_rows(rows, names)) for name, rows in cells.items()]
+    keys = [tables[name].select(stack_rows(entries, names)) for name, entries in cells.items()]
     by_key = reduce(DataFrame.unionByName, keys).groupBy("number", *slot_names).agg(
         F.sum("rows").alias("rows"), F.sum("tested").alias("tested"), F.sum("parents").alias("parents")
     )
-    is_fk = F.expr(f"get({array_sql([c.ref_table is not None for c in checks])}, number)")
-    found = by_key.groupBy("number").agg(
-        F.sum("rows").alias("rows"),
-        F.sum("parents").alias("parents"),
-        F.sum(F.expr("greatest(tested - 1, 0)")).alias("repeats"),
-        F.sum(F.expr("if(parents = 0, tested, 0)")).alias("orphans"),
-    ).withColumn("is_fk", is_fk).where("rows > 0 AND (NOT is_fk OR parents > 0)")
-
-    def text(values: list[str], name: str) -> Column:
-        return F.expr(f"get({array_sql(values)}, number)").alias(name)
-
-    bad = F.expr("if(is_fk, orphans, repeats)").alias("bad")
-    return found.select(
-        text([c.check for c in checks], "check"),
-        text([c.table for c in checks], "table"),
-        text([", ".join(c.columns) for c in checks], "column"),
-        bad,
-        text([c.noun for c in checks], "noun"),
-    ).selectExpr(
-        "check", "table", "column", "bad = 0 AS passed",
-        "if(bad = 0, '', concat_ws(' ', string(bad), noun)) AS details",
+    is_fk = f"coalesce(get({array_sql([c.ref_table is not None for c in checks])}, number), false)" if checks else "false"
+    own_row = f"array(named_struct('number', number, 'bad', if({is_fk}, if(parents = 0, tested, 0L), greatest(tested - 1, 0L))))"
+    found = by_key.select(
+        "rows", "parents", F.expr(is_fk).alias("is_fk"),
+        F.expr(f"inline(CASE {' '.join(spread)} ELSE {own_row} END)" if spread else f"inline({own_row})"),
+    ).groupBy("number", "is_fk").agg(
+        F.sum("rows").alias("rows"), F.sum("parents").alias("parents"), F.sum("bad").alias("bad"),
+    ).where("rows > 0 AND (NOT is_fk OR parents > 0)")
+
+    def text(k: int, name: str) -> Column:
+        return F.expr(f"get({array_sql([r[k] for r in rows])}, number)").alias(name)
+
+    return found.select(text(0, "check"), text(1, "table"), text(2, "column"), "bad", text(3, "noun")).selectExpr(
+        "check", "table", "column", "bad = 0 AS passed", "if(bad = 0, '', concat_ws(' ', string(bad), noun)) AS details",
     )
 
 
-def validate_integrity(tables: Mapping[str, DataFrame], db: S.Database) -> DataFrame:
-    """All checks of all tables; a missing or empty table, or parent, is skipped."""
-    parts = [] if (keys := key_report(tables, db)) is None else [keys]
-    for table in db.tables:
-        required = [c.name for c in table.columns if not c.nullable]
-        if table.name in tables and required:
-            parts.append(not_null(tables[table.name], table.name, required))
-    if not parts:
-        raise ValueError("no table of the schema has data")
-    return reduce(DataFrame.unionByName, parts)
-
-
 def integrity_passed(report: DataFrame) -> DataFrame:
     """One row: number of checks, failures, overall verdict (true when there are no checks)."""
     return report.agg(
