@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLOCK = 64
-DIGEST_LENGTH = 12
+DIGEST_LENGTH = 12  # of catalog names; two of some 10^7 names would share so short a hash
 
 
 def _pads(salt: bytes) -> tuple[bytes, bytes]:
@@ -24,7 +24,7 @@ def hmac_sha256(value: Column, salt: bytes) -> Column:
     return F.sha2(F.concat(F.lit(outer_pad), F.unhex(inner)), 256)
 
 
-def hashed_name(value: Column, prefix: str, salt: bytes) -> Column:
-    """``prefix`` and the first 12 digits; NULL stays NULL."""
-    digits = F.substring(hmac_sha256(value, salt), 1, DIGEST_LENGTH)
+def hashed_name(value: Column, prefix: str, salt: bytes, digits: int = DIGEST_LENGTH) -> Column:
+    """``prefix`` and the first ``digits`` digits; NULL stays NULL."""
+    digits = F.substring(hmac_sha256(value, salt), 1, digits)
     return F.when(value.isNotNull(), F.concat(F.lit(prefix), digits))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from relweave.functions.hashing import hashed_name
 
+VALUE_DIGITS = 64  # the whole digest: values, unlike names, may be many
+
 
 def new_salt() -> bytes:
     return os.urandom(16)
@@ -100,4 +102,4 @@ def de_redact(df: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def pseudonymize(df: DataFrame, columns: Sequence[str], salt: bytes) -> DataFrame:
     """Replace values by keyed hashes; equal values stay equal, so keys still join."""
-    return df.withColumns({c: hashed_name(F.col(c).cast("string"), "val_", salt) for c in columns})
+    return df.withColumns({c: hashed_name(F.col(c).cast("string"), "val_", salt, VALUE_DIGITS) for c in columns})

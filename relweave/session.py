@@ -9,11 +9,14 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is configured."""
+    """The cluster's checkpoint folder; a temporary one only on a local master that names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    folder = folder or context.getCheckpointDir()
     if not folder:
-        folder = context.getCheckpointDir() or tempfile.mkdtemp(prefix="relweave-")
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="relweave-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder

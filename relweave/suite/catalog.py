@@ -138,11 +138,11 @@ def cat_pii(t):
 SALT = b"test-salt-16byte"
 
 
-def hash_sql(value: str, prefix: str, salt: bytes = SALT) -> str:
+def hash_sql(value: str, prefix: str, salt: bytes = SALT, digits: int = 12) -> str:
     key = salt.ljust(64, b"\0")
     inner, outer = (bytes(b ^ pad for b in key).hex() for pad in (0x36, 0x5C))
     first = f"sha256(unhex('{inner}') || ({value})::BLOB)"
-    return f"'{prefix}' || substr(sha256(unhex('{outer}') || unhex({first})), 1, 12)"
+    return f"'{prefix}' || substr(sha256(unhex('{outer}') || unhex({first})), 1, {digits})"
 
 
 @query(
@@ -204,7 +204,7 @@ def cat_de_redact(t):
 
 @query(
     "cat_pseudonymize",
-    f"SELECT c_custkey, {hash_sql('c_name', 'val_')} AS c_name, {hash_sql('c_nationkey::VARCHAR', 'val_')} AS c_nationkey, c_acctbal FROM customer",
+    f"SELECT c_custkey, {hash_sql('c_name', 'val_', digits=64)} AS c_name, {hash_sql('c_nationkey::VARCHAR', 'val_', digits=64)} AS c_nationkey, c_acctbal FROM customer",
 )
 def cat_pseudonymize(t):
     return P.pseudonymize(
