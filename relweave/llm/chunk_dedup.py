@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
-from relweave.llm.store import small, stored
+from relweave.llm.store import short_batches, small, stored
 from relweave.llm.words import CLASSES, SPACED, numbered, slices
 
 WINDOW_BITS = 16
@@ -94,6 +94,7 @@ def chunks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def repeats(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", least_run: int = LEAST_RUN) -> DataFrame:
     """One row per document that repeats something: id, ``spans`` (start, stop in bytes; document of the first occurrence)."""
+    short_batches(docs.sparkSession)
     listed = docs.where(F.col(id_).isNotNull()).select(F.col(id_).alias("id"), F.inline(chunks(F.col(text))))
     first = listed.groupBy("digest").agg(
         F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.max(F.col("again").cast("int")).alias("twice")

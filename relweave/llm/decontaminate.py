@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
+from relweave.llm.store import short_batches
 from relweave.llm.words import ALNUM, lower_ascii, run_starts, runs, word_array, word_slices
 
 WIDTH = 10
@@ -135,6 +136,7 @@ def mark_contamination(
 ) -> DataFrame:
     """``docs`` with ``mark``: number of words, hit word ranges, ids of the items found."""
     spark = docs.sparkSession
+    short_batches(spark)
     found = windows(benchmark, item=item, text=item_text, width=width)
     parts: list[Column] = [scanner(rows, spark)(F.col(text)) for rows in blocks_of(found, block_bytes)]
     names = [f"__mark{k}" for k in range(len(parts))]

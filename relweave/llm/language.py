@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
-from relweave.llm.store import stored
+from relweave.llm.store import short_batches, stored
 from relweave.llm.words import ALNUM, Words, mix, numbered, word_slices
 
 UNKNOWN = "und"
@@ -155,6 +155,7 @@ class Model:
 def learn(labelled: DataFrame, *, text: str, lang: str, id_: str, sample: int = SAMPLE,
           most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS, most_langs: int = MOST_LANGS) -> Model:
     """Fit on about ``sample`` labelled documents, chosen evenly by a hash of their id."""
+    short_batches(labelled.sparkSession)
     known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.col(id_).alias("id")
     )
@@ -220,6 +221,7 @@ def guesser(model: Model, spark) -> Column:
 
 def identify(docs: DataFrame, model: Model, *, text: str = "text", guess: str = "guess") -> DataFrame:
     """``docs`` with ``guess``: a struct of ``lang`` and ``score`` (0 to 1)."""
+    short_batches(docs.sparkSession)
     return docs.withColumn(guess, guesser(model, docs.sparkSession)(F.col(text)))
 
 

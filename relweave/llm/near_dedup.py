@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_type
 
 from relweave.llm.components import connected_components
-from relweave.llm.store import small, stored
+from relweave.llm.store import short_batches, small, stored
 from relweave.llm.words import SPACED, mix, numbered, run_starts, runs, word_slices
 
 WIDTH = 5
@@ -199,6 +199,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_: str, text: str, threshold:
 
 def near_duplicates(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """One row per document: id, ``n_shingles``, ``component_id``, ``kept``."""
+    short_batches(docs.sparkSession)
     made = docs.select(F.col(id_).alias("id"), sketch(F.col(text)).alias("s"))
     made = stored(made.select("id", "s.*"), "sketches")
     known = made.where(F.col("id").isNotNull() & (F.col("n") > 0))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relweave.session import scratch_path
 
 BROADCAST_BYTES = 32 << 20
+BATCH_ROWS = 1000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -16,6 +18,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Send texts to Arrow functions at most ``BATCH_ROWS`` at a time; the session keeps a smaller setting of its own.
+
+    A batch lies in the memory of the executor and of its worker at once, and a worker keeps
+    much of its peak between stages.
+    """
+    now = int(spark.conf.get(_BATCH_SETTING))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(_BATCH_SETTING, BATCH_ROWS)
+
+
 def small(df: DataFrame, row_bytes: int | None = None, most: int = BROADCAST_BYTES) -> DataFrame:
     """A stored table, marked for broadcast if its measured size is at most ``most`` bytes; unmarked beyond that.
 
