@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over ``documents``, each written and read again as the next one's input.
 
 Every stage works on all rows its predecessor kept.  All but the last return the columns
-of ``documents``; the last adds what the mix takes of each document.
+of ``documents``; the last drops and repeats documents as the mix decides and adds its figures.
 """
 
 from __future__ import annotations
@@ -48,10 +48,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their size, their source's size and target, and the words the mix takes."""
+    """The mix: a row per copy it takes of a document, none for one left out; with the document's size, its source's
+    size and target, and the words of all its copies together (``taken``)."""
     mixed = mixing.with_copies(docs, mix="__mix")
     mix = F.col("__mix")
-    return mixed.select(
+    copies = F.explode(F.array_repeat(F.lit(0), mix["copies"].cast("int")))
+    return mixed.withColumn("__copy", copies).select(
         *docs.columns, mix["size"].alias("size"), mix["source_size"].alias("source_size"), mix["target"].alias("target"),
         (mix["copies"] * mix["size"]).alias("taken"),
     )

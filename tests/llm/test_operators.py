@@ -273,6 +273,16 @@ def test_mixing_meets_targets(spark):
     assert sorted(again) == sorted((r["doc_id"], r["copies"]) for r in made)
 
 
+def test_pipeline_mix_takes_effect(spark):
+    rows = [(i, words(i, 10 + i % 40), "en", "a" if i < 300 else "b" if i < 360 else "c", 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    copies = {r["doc_id"]: r["copies"] for r in mixing.with_copies(docs).select("doc_id", "mix.copies").collect()}
+    made = corpus_pipeline.mix_sources(spark, docs, "").collect()
+    assert 0 in copies.values() and max(copies.values()) > 1
+    assert Counter(r["doc_id"] for r in made) == Counter({i: n for i, n in copies.items() if n})
+    assert all(r["taken"] == copies[r["doc_id"]] * r["size"] for r in made)
+
+
 def test_pipeline_stages(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:
