@@ -2,8 +2,9 @@
 
 A gear hash rolls over the bytes: every step shifts left by one and adds a fixed value of
 the byte, so a hash of ``WINDOW_BITS`` bits sees that many last bytes only.  A space
-whose hash has zeros under the mask ends a chunk.  Cuts depend on the bytes around them
-alone, so an insertion moves the cuts near it and no others.  Chunks are known by a
+whose hash has zeros under the mask ends a chunk; where none of the bytes the hash sees is
+a space, so does any character whose hash has zeros under a longer mask.  Cuts depend on
+the bytes around them alone, so an insertion moves the cuts near it and no others.  Chunks are known by a
 128-bit digest.  The first occurrence of a chunk in (document, position) order stays;
 later ones are removed where neighbouring repeats together reach ``least_run`` bytes, so
 short chance repeats are left alone.
@@ -14,8 +15,9 @@ plain join.  Texts move only for documents that lose something.
 
 Defined cases: null and empty texts have no chunks and are kept as they are; a document
 without id takes no part; repeated rows of one id count as one document, whose repeats
-inside itself are removed alike in each row; text without any cut is a chunk per
-``LONGEST`` bytes, shortened to whole characters; other columns pass through.
+inside itself are removed alike in each row; text without any cut, such as one character
+over and over, is a chunk per ``LONGEST`` bytes, shortened to whole characters; other
+columns pass through.
 """
 
 from __future__ import annotations
@@ -34,10 +36,12 @@ from relweave.llm.words import CLASSES, SPACED, numbered, slices
 
 WINDOW_BITS = 16
 MASK_BITS = 2  # a cut about every fourth word
+DENSE_BITS = 5  # a cut about every 32nd character where there are no spaces
 SHORTEST, LONGEST = 16, 512
 LEAST_RUN = 110  # about 20 words
 _GEAR = (numbered(256, seed=29) >> np.uint64(48)).astype(np.uint16)
 _MASK = np.uint16(((1 << MASK_BITS) - 1) << (WINDOW_BITS - MASK_BITS))
+_DENSE_MASK = np.uint16(((1 << DENSE_BITS) - 1) << (WINDOW_BITS - DENSE_BITS))
 _SPACE = ~CLASSES[SPACED]
 ARROW_CHUNKS = pa.list_(pa.struct([("pos", pa.int32()), ("size", pa.int32()), ("digest", pa.binary()), ("again", pa.bool_())]))
 
@@ -53,10 +57,23 @@ def gear_hash(flat: np.ndarray) -> np.ndarray:
     return h
 
 
+def may_end(own: np.ndarray) -> np.ndarray:
+    """Where the bytes up to there let a chunk end."""
+    h, space = gear_hash(own), _SPACE[own]
+    near, reach = space.copy(), 1  # a space among the bytes the hash sees
+    while reach < WINDOW_BITS:
+        later = near.copy()
+        later[reach:] |= near[:-reach]
+        near, reach = later, reach * 2
+    whole = np.ones(len(own), dtype=bool)  # the next byte begins a character
+    whole[:-1] = (own[1:] & 0xC0) != 0x80
+    return np.flatnonzero((space & ((h & _MASK) == 0)) | (~near & whole & ((h & _DENSE_MASK) == 0))) + 1
+
+
 def cuts(own: np.ndarray) -> Iterator[tuple[int, int]]:
     """(start, stop) of a text's chunks."""
     length, start = len(own), 0
-    ends = np.flatnonzero(((gear_hash(own) & _MASK) == 0) & _SPACE[own]) + 1 if length else own
+    ends = may_end(own) if length else own
     for end in [*ends.tolist(), length]:
         if end - start < SHORTEST and end < length:
             continue

@@ -181,6 +181,19 @@ def test_chunks_against_brute_force(spark, text):
     assert [(c["pos"], c["pos"] + c["size"]) for c in row["c"]] == brute_chunks(text.encode())
 
 
+@pytest.mark.parametrize("letters", ["".join(map(chr, range(0x4E00, 0x4E00 + 900))), "abcdefghijklmnopqrstuvwxyz0123456789+/"])
+def test_spaceless_passage_behind_any_prefix(spark, letters):
+    pick = random.Random(17)
+    text = lambda n: "".join(pick.choice(letters) for _ in range(n))
+    passage = text(2000)
+    rows = [(i, text(before) + passage + text(300)) for i, before in enumerate((0, 1, 7, 100, 611))]
+    made = {r["doc_id"]: r["text"] for r in chunk_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert made[0] == rows[0][1]
+    for (i, whole), before in zip(rows[1:], (1, 7, 100, 611), strict=True):
+        assert made[i].startswith(whole[:before]) and made[i].endswith(whole[-300:])
+        assert len(made[i]) <= len(whole) - 1600 and passage[200:1800] not in made[i]
+
+
 def test_repeated_passages_go_and_the_rest_stays(docs):
     rows = {r["doc_id"]: r for r in chunk_dedup.remove_repeats(docs, spans="quality").collect()}
     kept = {i: t for i, t, *_ in ROWS}
