@@ -4,10 +4,13 @@ A gear hash rolls over the bytes: every step shifts left by one and adds a fixed
 the byte, so a hash of ``WINDOW_BITS`` bits sees that many last bytes only.  A space
 whose hash has zeros under the mask ends a chunk; where none of the bytes the hash sees is
 a space, so does any character whose hash has zeros under a longer mask.  Cuts depend on
-the bytes around them alone, so an insertion moves the cuts near it and no others.  Chunks are known by a
-128-bit digest.  The first occurrence of a chunk in (document, position) order stays;
-later ones are removed where neighbouring repeats together reach ``least_run`` bytes, so
-short chance repeats are left alone.
+the bytes around them alone, so an insertion moves the cuts near it and no others.
+
+Neighbouring chunks that together just reach ``least_run`` bytes are a run, known by a
+128-bit digest of its whole text; from each chunk one run goes forward and one back, so
+that runs reach both ends of a repeated passage.  The first occurrence of a run in
+(document, position) order stays; later ones are removed.  Chunks repeated one by one,
+each from another place, are left alone.
 
 Only digests are shuffled, twice: once to find each repeated digest's first place (with
 map-side combine, so a common passage is no hot group), once to mark the later places by a
@@ -22,7 +25,7 @@ columns pass through.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -88,31 +91,60 @@ def cuts(own: np.ndarray) -> Iterator[tuple[int, int]]:
             start = end
 
 
+def runs(own: np.ndarray, least_run: int) -> list[tuple[int, int]]:
+    """(start, stop), in order, of the shortest runs of at least ``least_run`` bytes that begin or end with each chunk."""
+    edges = np.array([0, *(stop for _, stop in cuts(own))])
+    after = np.searchsorted(edges, edges[:-1] + least_run)  # first edge that far behind
+    ahead = np.flatnonzero(after < len(edges))
+    before = np.searchsorted(edges, edges[1:] - least_run, side="right") - 1  # last edge that far in front
+    back = np.flatnonzero(before >= 0)
+    ends = [np.concatenate([ahead, before[back]]), np.concatenate([after[ahead], back + 1])]
+    place = np.unique(ends[0] * len(edges) + ends[1])
+    return list(zip(edges[place // len(edges)].tolist(), edges[place % len(edges)].tolist(), strict=True))
+
+
+def named(parts: Callable[[np.ndarray], Iterable[tuple[int, int]]]) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+    def name_parts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            place, size, digest, again, rows = [], [], [], [], [0]
+            for flat, offsets in slices(texts):
+                for first, last in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                    own, seen = flat[first:last], set()
+                    data = own.tobytes()
+                    for start, stop in parts(own):
+                        name = blake2b(data[start:stop], digest_size=16).digest()
+                        place.append(start)
+                        size.append(stop - start)
+                        digest.append(name)
+                        again.append(name in seen)
+                        seen.add(name)
+                    rows.append(len(place))
+            fields = [pa.array(place, pa.int32()), pa.array(size, pa.int32()), pa.array(digest, pa.binary()), pa.array(again, pa.bool_())]
+            yield pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(ARROW_CHUNKS.value_type)))
+
+    return name_parts
+
+
 @F.arrow_udf(from_arrow_type(ARROW_CHUNKS))
 def chunks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Position and size (in bytes) and digest of each chunk of each text, and whether the text had it before."""
-    for texts in batches:
-        place, size, digest, again, rows = [], [], [], [], [0]
-        for flat, offsets in slices(texts):
-            for first, last in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                own, seen = flat[first:last], set()
-                data = own.tobytes()
-                for start, stop in cuts(own):
-                    name = blake2b(data[start:stop], digest_size=16).digest()
-                    place.append(start)
-                    size.append(stop - start)
-                    digest.append(name)
-                    again.append(name in seen)
-                    seen.add(name)
-                rows.append(len(place))
-        fields = [pa.array(place, pa.int32()), pa.array(size, pa.int32()), pa.array(digest, pa.binary()), pa.array(again, pa.bool_())]
-        yield pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(ARROW_CHUNKS.value_type)))
+    yield from named(cuts)(batches)
+
+
+def chunk_runs(text: Column, least_run: int) -> Column:
+    """The same of each run of chunks."""
+
+    @F.arrow_udf(from_arrow_type(ARROW_CHUNKS))
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from named(lambda own: runs(own, least_run))(batches)
+
+    return found(text)
 
 
 def repeats(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", least_run: int = LEAST_RUN) -> DataFrame:
     """One row per document that repeats something: id, ``spans`` (start, stop in bytes; document of the first occurrence)."""
     short_batches(docs.sparkSession)
-    listed = docs.where(F.col(id_).isNotNull()).select(F.col(id_).alias("id"), F.inline(chunks(F.col(text))))
+    listed = docs.where(F.col(id_).isNotNull()).select(F.col(id_).alias("id"), F.inline(chunk_runs(F.col(text), least_run)))
     first = listed.groupBy("digest").agg(
         F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.max(F.col("again").cast("int")).alias("twice")
     ).where("first_id < last_id OR twice = 1").select("digest", "first_id")
@@ -120,20 +152,19 @@ def repeats(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", least_r
     per_doc = later.groupBy("id").agg(F.array_sort(F.collect_set(
         F.struct("pos", (F.col("pos") + F.col("size")).alias("stop"), "first_id")
     )).alias("found"))
-    spans = F.filter(joined(F.col("found")), lambda s: s["stop"] - s["start"] >= least_run)
-    return per_doc.select("id", spans.alias("spans")).where(F.size("spans") > 0)
+    return per_doc.select("id", joined(F.col("found")).alias("spans"))
 
 
 def joined(found: Column) -> Column:
-    """Neighbouring chunks as one span each, with the documents they come from."""
+    """Runs that meet or overlap as one span each, with the documents they come from."""
     kind = "array<struct<start:int,stop:int,sources:array<bigint>>>"
 
     def add(done: Column, x: Column) -> Column:
         last = F.element_at(done, -1)
         new = F.struct(x["pos"].alias("start"), x["stop"].alias("stop"), F.array(x["first_id"].cast("bigint")).alias("sources"))
-        grown = F.struct(last["start"].alias("start"), x["stop"].alias("stop"), F.array_union(last["sources"], new["sources"]).alias("sources"))
+        grown = F.struct(last["start"].alias("start"), F.greatest(last["stop"], x["stop"]).alias("stop"), F.array_union(last["sources"], new["sources"]).alias("sources"))
         return F.when(F.size(done) == 0, F.array(new)).when(
-            last["stop"] == x["pos"], F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))
+            last["stop"] >= x["pos"], F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))
         ).otherwise(F.concat(done, F.array(new))).cast(kind)
 
     return F.aggregate(found, F.array().cast(kind), add)

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,6 +195,29 @@ def test_spaceless_passage_behind_any_prefix(spark, letters):
         assert len(made[i]) <= len(whole) - 1600 and passage[200:1800] not in made[i]
 
 
+def test_chunks_from_different_documents_are_no_passage(spark):
+    pool = words(21, 3000)
+    data = pool.encode()
+    parts = [data[a:b].decode() for a, b in chunk_dedup.cuts(np.frombuffer(data, dtype=np.uint8))]
+    parts = list(dict.fromkeys(parts))[:60]
+    rows = [(i, p + f"{i} nowhere else " * 3) for i, p in enumerate(parts)]
+    rows.append((1000, "".join(parts)))  # each chunk was seen, no two of them together
+    rows.append((1001, "x " + "".join(parts[10:40])))  # a passage of 1000
+    made = {r["doc_id"]: r["text"] for r in chunk_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert made[1000] == rows[-2][1]
+    assert len(made[1001]) < 100 and made[1001].startswith("x ")
+
+
+def test_runs_cover_a_passage_to_its_last_chunk():
+    own = np.frombuffer(words(22, 400).encode(), dtype=np.uint8)
+    edges = [0, *(stop for _, stop in chunk_dedup.cuts(own))]
+    got = set(chunk_dedup.runs(own, 110))
+    assert all(b - a >= 110 for a, b in got)
+    for i, j in ((0, 9), (5, 30), (17, 24)):
+        inside = [(a, b) for a, b in got if a >= edges[i] and b <= edges[j]]
+        assert min(a for a, _ in inside) == edges[i] and max(b for _, b in inside) == edges[j]
+
+
 def test_repeated_passages_go_and_the_rest_stays(docs):
     rows = {r["doc_id"]: r for r in chunk_dedup.remove_repeats(docs, spans="quality").collect()}
     kept = {i: t for i, t, *_ in ROWS}
