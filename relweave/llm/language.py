@@ -3,12 +3,17 @@
 Learning counts, per language, words and character n-grams of lengths ``LENGTHS`` in a
 bounded sample of labelled documents.  A known word scores its smoothed log frequency in
 each language.  An unseen word falls back to its n-grams, the longest first: positions
-covered by a known longer n-gram are not asked again at a shorter length.
-
-The model is broadcast.  Its size is bounded by parameters: about ``sample`` documents,
-chosen evenly by a hash of their id, at most ``most_words`` words and ``most_grams``
-n-grams of each length (those above the least count that leaves so many), and
-``most_langs`` languages.  Scoring reads whole texts.
+covered by a known longer n-gram are not asked again at a shorter length.  A key a language
+never showed scores the same floor in every language, so a small sample is no advantage.
+The mean of a text's words counts as all of them up to ``SHARPNESS`` words, and beyond that
+as the square root of ``SHARPNESS`` times their number, as words of a text are not independent.
+
+All languages with a labelled document that has words are learned.  From each come about
+``sample`` documents (all, if there are no more), chosen evenly by a hash of id and text,
+and its ``most_words`` most frequent words and ``most_grams`` n-grams of each length (those
+above the least count that leaves so many); every language's counts of a chosen key are
+kept.  The model lists for each key only the languages that have it, so it grows in
+proportion to the number of languages, and is broadcast.  Scoring reads whole texts.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, also when
 nothing could be learned; null labels are not learned from; a text of letters without any
@@ -28,13 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
-from relweave.llm.store import short_batches, stored
+from relweave.llm.store import short_batches, small, stored
 from relweave.llm.words import ALNUM, Words, mix, numbered, word_slices
 
 UNKNOWN = "und"
 LENGTHS = (5, 4, 3, 2, 1)  # characters of an n-gram, longest first
-SAMPLE, MOST_WORDS, MOST_GRAMS, MOST_LANGS = 20_000, 50_000, 20_000, 64
-SHARPNESS = 4.0  # words a text's mean score counts as, at least, when turned into a probability
+SAMPLE, MOST_WORDS, MOST_GRAMS = 20_000, 50_000, 20_000  # of each language
+SHARPNESS = 4.0  # words from which on further ones count less
 ARROW_GUESS = pa.struct([("lang", pa.string()), ("score", pa.float64())])
 
 
@@ -95,32 +100,39 @@ def counter(langs: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 class Model:
     langs: list[str]
     shares: np.ndarray
-    tables: dict[int, tuple[np.ndarray, np.ndarray]]  # length -> sorted keys, log frequency per language
+    tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # length -> sorted keys, first entry of each, language and gain of entries
 
     def look_up(self, length: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which keys are known, and their rows."""
-        known, _ = self.tables[length]
+        known = self.tables[length][0]
         if not len(known):
             return np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=np.int64)
         at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
         return known[at] == keys, at
 
-    def word_scores(self, words: Words) -> np.ndarray:
-        """Log frequency of each word in each language."""
+    def gains(self, length: int, at: np.ndarray, row: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray:
+        """Weighted sums of what the keys at ``at`` score above the floor, by row and language."""
+        _, first, lang, gain = self.tables[length]
+        many = first[at + 1] - first[at]
+        entry = np.repeat(first[at] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        cell = np.repeat(row, many) * len(self.langs) + lang[entry]
+        return np.bincount(cell, gain[entry] * np.repeat(weight, many), rows * len(self.langs)).reshape(rows, -1)
+
+    def text_scores(self, words: Words) -> np.ndarray:
+        """Sum over each text's words of their log frequency above the floor, in each language."""
+        rows, row = len(words.rows) - 1, words.row_of()
         known, at = self.look_up(0, words.hashes())
-        out = np.zeros((len(known), len(self.langs)), dtype=np.float64)
-        out[known] = self.tables[0][1][at[known]]
+        out = self.gains(0, at[known], row[known], np.ones(int(known.sum())), rows)
         unseen = np.flatnonzero(~known)
         if len(unseen):
-            out[unseen] = self.backed_off(*characters(words, unseen))
+            out += self.backed_off(*characters(words, unseen), row[unseen], rows)
         return out
 
-    def backed_off(self, value: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-        """Mean over a word's n-grams, of each position the longest known one."""
+    def backed_off(self, value: np.ndarray, firsts: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+        """The same of unseen words: the mean over a word's n-grams, of each position the longest known one."""
         open_ = np.ones(len(value), dtype=bool)
         word = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
-        total = np.zeros((len(firsts) - 1, len(self.langs)))
-        used = np.zeros(len(firsts) - 1)
+        found, used = {}, np.zeros(len(firsts) - 1)
         for length in LENGTHS:
             keys, start = grams(value, firsts, length)
             asked = open_[start]
@@ -129,22 +141,15 @@ class Model:
             start, at = start[known], at[known]
             for k in range(length):
                 open_[start + k] = False
-            owner = word[start]
-            for lang in range(len(self.langs)):
-                total[:, lang] += np.bincount(owner, self.tables[length][1][at, lang], len(used))
-            used += np.bincount(owner, minlength=len(used))
-        return total / np.maximum(used, 1)[:, None]
+            found[length] = at, word[start]
+            used += np.bincount(word[start], minlength=len(used))
+        return sum(self.gains(length, at, row[owner], 1 / used[owner], rows) for length, (at, owner) in found.items())
 
     def guesses(self, words: Words) -> list[tuple[str, float]]:
-        counts = np.diff(words.rows)
-        scores = self.word_scores(words)
-        sums = np.zeros((len(counts), len(self.langs)))
-        row = words.row_of()
-        for lang in range(len(self.langs)):
-            sums[:, lang] = np.bincount(row, scores[:, lang], len(counts))
-        mean = sums / np.maximum(counts, 1)[:, None]
-        weight = np.minimum(np.maximum(counts, 1), SHARPNESS)[:, None]
-        odds = mean * weight + np.log(self.shares) / np.maximum(counts, 1)[:, None]
+        counts = np.maximum(np.diff(words.rows), 1)[:, None]
+        mean = self.text_scores(words) / counts
+        weight = np.where(counts <= SHARPNESS, counts, np.sqrt(SHARPNESS * counts))
+        odds = mean * weight + np.log(self.shares) / counts
         odds -= odds.max(axis=1, keepdims=True)
         share = np.exp(odds)
         share /= share.sum(axis=1, keepdims=True)
@@ -153,29 +158,34 @@ class Model:
 
 
 def learn(labelled: DataFrame, *, text: str, lang: str, id_: str, sample: int = SAMPLE,
-          most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS, most_langs: int = MOST_LANGS) -> Model:
-    """Fit on about ``sample`` labelled documents, chosen evenly by a hash of their id."""
-    short_batches(labelled.sparkSession)
+          most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS) -> Model:
+    """Fit on about ``sample`` labelled documents of each language, chosen evenly by a hash of id and text."""
+    spark = labelled.sparkSession
+    short_batches(spark)
     known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.col(id_).alias("id")
     )
-    per_lang = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    langs = sorted(r["lang"] for r in per_lang.orderBy(F.desc("n"), "lang").limit(most_langs).collect())
-    total = per_lang.agg(F.sum("n")).first()[0] or 0
-    share = min(1.0, sample / max(total, 1))
-    chosen = known.where(F.shiftrightunsigned(F.xxhash64("id"), 1) / F.lit(2.0**63) < share).select("lang", "text")
-    each = chosen.mapInArrow(counter(langs), "length int, key bigint, lang int, n bigint")
-    split = [F.sum(F.when(F.col("lang") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(len(langs))]
-    per_key = stored(each.groupBy("length", "key").agg(F.sum("n").alias("total"), *split), "frequencies")
-    sums = {r["length"]: r for r in per_key.groupBy("length").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(langs))], F.lit(0).alias("none")).collect()}
-    levels = per_key.groupBy("length", "total").agg(F.count(F.lit(1)).alias("keys")).collect()  # as many rows as different counts
-    tables = {}
-    for length in (0, *LENGTHS):
-        least = least_count([(r["total"], r["keys"]) for r in levels if r["length"] == length], most_grams if length else most_words)
-        rows = per_key.where((F.col("length") == length) & (F.col("total") >= least)).drop("length", "total").toArrow()
-        tables[length] = as_table(rows, [sums[length][f"n{i}"] if length in sums else 0 for i in range(len(langs))])
-    sizes = np.array([sums[0][f"n{i}"] if 0 in sums else 0 for i in range(len(langs))], dtype=np.float64) + 1
-    return Model(langs, sizes / sizes.sum(), tables)
+    per_lang = stored(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    rows = {r["lang"]: r["n"] for r in per_lang.collect()}
+    names = sorted(rows)
+    part = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("n"))
+    drawn = F.shiftrightunsigned(F.xxhash64("id", "text"), 1) / F.lit(2.0**63) < part
+    chosen = known.join(small(per_lang.withColumnRenamed("lang", "__lang")), F.col("lang") == F.col("__lang")).where(drawn).select("lang", "text")
+    each = chosen.mapInArrow(counter(names), "length int, key bigint, lang int, n bigint")
+    per_key = stored(each.groupBy("length", "key", "lang").agg(F.sum("n").alias("n")), "frequencies")
+    totals = {(r["length"], r["lang"]): r["n"] for r in per_key.groupBy("length", "lang").agg(F.sum("n").alias("n")).collect()}
+    levels: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for r in per_key.groupBy("length", "lang", "n").agg(F.count(F.lit(1)).alias("keys")).collect():  # as many rows as different counts
+        levels.setdefault((r["length"], r["lang"]), []).append((r["n"], r["keys"]))
+    least = [(length, i, least_count(found, most_grams if length else most_words)) for (length, i), found in levels.items()]
+    limits = F.broadcast(spark.createDataFrame(least, "length int, lang int, least bigint"))  # a row per length and language
+    often = per_key.join(limits, ["length", "lang"]).where("n >= least").select("length", "key").distinct()
+    kept = stored(per_key.join(often, ["length", "key"], "left_semi").select("length", "key", "lang", "n"), "frequencies")
+    learned = [i for i in range(len(names)) if (0, i) in totals]  # a language without a word has no score
+    tables = {length: as_table(kept.where(F.col("length") == length).toArrow(), learned, [totals.get((length, i), 0) for i in learned]) for length in (0, *LENGTHS)}
+    # words of all labelled documents, from those of the sample
+    sizes = np.array([totals[(0, i)] * max(1.0, rows[names[i]] / sample) for i in learned], dtype=np.float64) + 1
+    return Model([names[i] for i in learned], sizes / sizes.sum(), tables)
 
 
 def least_count(levels: list[tuple[int, int]], most: int) -> int:
@@ -189,14 +199,15 @@ def least_count(levels: list[tuple[int, int]], most: int) -> int:
     return least
 
 
-def as_table(rows: pa.Table, totals: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    keys = rows["key"].to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    if not totals:
-        return keys[:0], np.zeros((0, 0))
-    counts = np.stack([rows[f"n{i}"].to_numpy().astype(np.float64) for i in range(len(totals))], axis=1)
-    smooth = (counts + 0.5) / (np.array(totals, dtype=np.float64) + 0.5 * (len(keys) + 1))
-    return keys[order], np.log(smooth)[order]
+def as_table(rows: pa.Table, learned: list[int], totals: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    key, lang, n = rows["key"].to_numpy().astype(np.int64).view(np.uint64), rows["lang"].to_numpy(), rows["n"].to_numpy().astype(np.float64)
+    order = np.lexsort((lang, key))
+    keys, first = np.unique(key[order], return_index=True)
+    lang = np.searchsorted(np.array(learned, dtype=np.int64), lang[order]).astype(np.int32)
+    room = np.array(totals, dtype=np.float64) + 0.5 * (len(keys) + 1)
+    # the floor, the same for all: what the language with the largest sample gives a key it never showed
+    gain = np.log(n[order] + 0.5) - np.log(room)[lang] - (np.log(0.5) - np.log(room.max(initial=1.0)))
+    return keys, np.append(first, len(key)).astype(np.int64), lang, gain.astype(np.float32)
 
 
 def guesser(model: Model, spark) -> Column:

@@ -264,6 +264,29 @@ def test_language_held_out_accuracy(spark):
     assert sum(r["a"] == r["b"] for r in rows) >= 0.98 * len(rows) and all(0 <= r["s"] <= 1 for r in rows)
 
 
+def test_every_language_is_learned_from_its_own_sample(spark):
+    own = lambda lang, seed: " ".join(w[:2] + chr(0x1000 + lang) + w[2:] for w in words(seed, 30).split())
+    rows = [(1000 * lang + i, own(lang, i), f"l{lang:02}") for lang in range(70) for i in range(400 if lang < 1 else 2)]
+    rows.append((99_999, "!!", "none"))
+    labelled = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    model = language.learn(labelled, text="text", lang="lang", id_="doc_id", sample=40)
+    assert model.langs == [f"l{lang:02}" for lang in range(70)]
+    new = spark.createDataFrame([(lang, own(lang, 999)) for lang in range(70)], "doc_id bigint, text string").repartition(2)
+    got = {r["doc_id"]: r["guess"] for r in language.identify(new, model).collect()}
+    assert all(g["lang"] == f"l{lang:02}" and g["score"] > 0.5 for lang, g in got.items())
+
+
+def test_language_evidence_grows_with_text(spark):
+    pick = random.Random(31)
+    half = len(WORDS) // 2
+    text = lambda lang, n: " ".join(pick.choices(WORDS, [2 - lang] * half + [1 + lang] * half, k=n))
+    rows = [(i, text(i % 2, 400), "ab"[i % 2]) for i in range(60)]
+    model = language.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), text="text", lang="lang", id_="doc_id")
+    new = spark.createDataFrame([(lang, text(lang, 900)) for lang in (0, 1)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["guess"] for r in language.identify(new, model).collect()}
+    assert all(got[i]["lang"] == "ab"[i] and got[i]["score"] > 0.99 for i in (0, 1))
+
+
 def test_language_of_hard_rows(docs):
     rows = {r["doc_id"]: r["guess"] for r in language.identify(docs, language.learn_from_documents(docs)).collect()}
     assert all(rows[i]["lang"] == "und" and rows[i]["score"] == 0 for i in (3, 4, 6)) and rows[5]["lang"] in ("en", "de") and rows[1]["lang"] == "en"
