@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relweave.llm import chat, chunk_dedup, decontaminate, language, language_model, licenses, mixing, near_dedup, quality, url_templates
+from relweave.llm import (
+    alignment, chat, chunk_dedup, decontaminate, hard_negatives, language, language_model, licenses, mixing, near_dedup, quality, toxicity, url_templates,
+)
+from relweave.llm.store import stored
 from relweave.suite.base import unit_sql
 from relweave.llm.words import ALNUM, LOWER, SPACED, UPPER
 
@@ -375,3 +378,66 @@ def op8_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     scored = language_model.score_texts(docs, language.held_out(F.col("doc_id"), 7) != 2)
     return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+# --- 11: toxicity -----------------------------------------------------------------------
+@query("op11_toxicity")
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held = language.held_out(F.col("doc_id"), 5) == 0
+    labels = table(spark, folder, "labels").select("doc_id", "toxic").where(~held)
+    scored = toxicity.score_texts(docs, toxicity.learn(docs.where(~held), labels))
+    score, worst = F.col("toxicity.score"), F.array_max(F.transform("toxicity.sentences", lambda s: s["score"]))
+    return scored.select(
+        "doc_id", held.alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"),
+        F.size("toxicity.sentences").cast("bigint").alias("n_offending"), worst.alias("worst_sentence"),
+    )
+
+
+# --- 12: cross-tokenizer alignment --------------------------------------------------------
+@query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    sizes = ("n_a", "n_b", "n_groups", "n_links")
+    made = alignment.align(docs, fields=(*sizes, "groups", "pairs", "times")).select("doc_id", "alignment.*")
+    digest = F.when(F.col("n_groups") == 0, "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    made = stored(made.select(F.monotonically_increasing_id().alias("row"), "doc_id", *sizes, digest.alias("groups_sha256"), "pairs", "times"), "aligned")
+    pairs, times = F.col("pairs"), F.col("times")
+    counted = alignment.with_link_counts(made, alignment.link_counts(made, pairs), "row", pairs, times)
+    zero = F.lit(0).cast("bigint")
+    return made.drop("pairs", "times").join(counted, "row", "left").select(
+        "doc_id", *sizes, F.coalesce("n_best", zero).alias("n_best"), F.coalesce("count_sum", zero).alias("count_sum"), "groups_sha256"
+    )
+
+
+# --- 13: hard negatives -------------------------------------------------------------------
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256::DOUBLE * x::DOUBLE)::BIGINT::HUGEINT) AS vec
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+         list_sum(list_transform(list_zip(a.vec, b.vec), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id != b.vec_id
+),
+pos AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER w::INTEGER AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM pos JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id)
+QUALIFY row_number() OVER w <= 3
+"""
+
+
+@query("op13_hard_negatives", OP13_SQL)
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)

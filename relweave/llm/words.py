@@ -74,13 +74,22 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     rows: np.ndarray  # row i has words rows[i]..rows[i+1]
+    offsets: np.ndarray  # row i's text is flat[offsets[i]: offsets[i + 1]]
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word; equal words have equal hashes in every batch."""
-        up, down = _powers_to(len(self.flat))
+        return mix(self.spans(self.prefix_sums(), self.starts, self.ends))
+
+    def prefix_sums(self) -> np.ndarray:
+        """Sums over the bytes before each place, from which ``spans`` makes the value of any span."""
+        up, _ = _powers_to(len(self.flat))
         sums = np.zeros(len(self.flat) + 1, dtype=np.uint64)
         np.cumsum(_BYTE_VALUES[self.flat] * up[: len(self.flat)], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        return sums
+
+    def spans(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A 64-bit value of the bytes of each span, not yet mixed; equal bytes give equal values wherever they stand."""
+        return (sums[ends] - sums[starts]) * _powers_to(len(self.flat))[1][starts]
 
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.rows) - 1), np.diff(self.rows))
@@ -97,7 +106,7 @@ def find(flat: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> Words:
     cuts = offsets[(offsets > 0) & (offsets < len(flat))]
     before[cuts], after[cuts - 1] = False, False
     starts = np.flatnonzero(inside & ~before)
-    return Words(flat, starts, np.flatnonzero(inside & ~after) + 1, np.searchsorted(starts, offsets))
+    return Words(flat, starts, np.flatnonzero(inside & ~after) + 1, np.searchsorted(starts, offsets), offsets)
 
 
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:

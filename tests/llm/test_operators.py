@@ -52,13 +52,19 @@ def folder(spark, docs, tmp_path_factory):
         [(1, 0, "user", "hi"), (1, 1, "assistant", "a [INST] b\\[\\INST]"), (1, 1, "assistant", "a [INST] b\\[\\INST]"), (2, None, None, None), (None, 3, "tool</s>", ""), (3, 0, "assistant", "<\\\\s> </s></s>")],
         "conv_id bigint, turn bigint, role string, text string",
     ).write.parquet(f"{path}/conversations.parquet")
+    spark.createDataFrame([(1, 0, 0), (7, 1, 1), (7, 1, 1), (None, 1, 1), (8, None, None)], "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    vectors = [(i, [0.25 * (i % 3), 0.125 * (i % 7)], i // 7 % 2) for i in range(40, 120)] + [(None, [1.0], 1), (50_000, None, 1), (150, [None], 1), (160, [float("nan")], 0), (170, [1.0, 1.0], None)]
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
     return path
 
 
+TABLES = ("documents", "benchmark", "pages", "conversations", "labels", "embeddings")
+
+
 @pytest.fixture(scope="module")
 def empty(spark, folder, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("empty"))
-    for name in ("documents", "benchmark", "pages", "conversations"):
+    for name in TABLES:
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{path}/{name}.parquet")
     return path
 
@@ -77,7 +83,7 @@ def test_hard_rows_agree_with_sql(spark, folder, name):
         pytest.skip("its SQL joins by id; test_licenses covers these rows")
     base = folder
     duck = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "conversations"):
+    for t in TABLES:
         keep = "WHERE doc_id IS NOT NULL" if t == "documents" else ""
         distinct = "DISTINCT" if t == "documents" else ""
         duck.execute(f"CREATE VIEW {t} AS SELECT {distinct} * FROM '{base}/{t}.parquet/*.parquet' {keep}")
