@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from relweave import schema as S
 from relweave.functions.rules import NAME_RULES, PII_PATTERNS, TYPE_FALLBACKS
-from relweave.functions.texts import array_sql, name_sql, stack_rows, text_sql, value_text
+from relweave.functions.texts import array_sql, stack_rows, text_sql, value_text
+from relweave.operators.discovery import inclusion_dependencies
 
 CAMEL_FACTOR = 0.9
 FALLBACK_CONFIDENCE = 0.5
@@ -168,49 +169,10 @@ def infer_catalog(tables: Mapping[str, DataFrame], *, max_allowed: int = 20) ->
     )
 
 
-def _suffix(name: str) -> str:
-    return name.split("_", 1)[-1]
-
-
-def key_pairs(tables: Mapping[str, DataFrame]) -> list[tuple[str, str, str, str]]:
-    """(child, column, parent, column) with one type and one name after the prefix."""
-    out = []
-    for child, c in tables.items():
-        for parent, p in tables.items():
-            for a in c.schema:
-                for b in p.schema:
-                    same = a.dataType == b.dataType and _suffix(a.name) == _suffix(b.name)
-                    if child != parent and same and a.name.endswith("key"):
-                        out.append((child, a.name, parent, b.name))
-    return out
-
-
 def fk_candidates(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Inclusion of each candidate pair whose parent column is unique.
+    """Every pair (child column, parent column) that could be a foreign key, found by value alone.
 
-    Each table is read once for all its pairs, and one grouping of the values tests them
-    all: a candidate holds when no child value lacks in the parent and no parent value
-    repeats.
+    The parent's column is unique and holds all values of the child's; names take no part.
     """
-    pairs = key_pairs(tables)
-    cells: dict[str, list[list[str]]] = {}
-    for number, (child, a, parent, b) in enumerate(pairs):
-        cells.setdefault(child, []).append([str(number), f"string({name_sql(a)})", "1", "0"])
-        cells.setdefault(parent, []).append([str(number), f"string({name_sql(b)})", "0", "1"])
-    values = reduce(
-        DataFrame.unionByName,
-        [tables[t].select(stack_rows(rows, ["pair", "value", "_c", "_p"])) for t, rows in cells.items()],
-    )
-    by_value = values.where("value IS NOT NULL").groupBy("pair", "value").agg(
-        F.sum("_c").alias("_c"), F.sum("_p").alias("_p")
-    )
-    found = by_value.groupBy("pair").agg(
-        F.sum(F.expr("if(_p = 0, _c, 0)")).alias("_orphans"),
-        F.max("_p").alias("_repeat"),
-        F.sum("_c").alias("child_rows"),
-    ).where("_repeat = 1 AND _orphans = 0 AND child_rows > 0")
-    names = [
-        F.expr(f"get({array_sql([p[i] for p in pairs])}, pair)").alias(n)
-        for i, n in enumerate(("child", "column", "parent", "ref_column"))
-    ]
-    return found.select(*names, "child_rows")
+    found = inclusion_dependencies(tables).where("parent_unique")
+    return found.select("child", "column", "parent", "ref_column", "child_rows", "coverage")

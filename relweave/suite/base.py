@@ -116,3 +116,21 @@ STAR = S.Database(
 
 def star_tables(t: Tables) -> dict[str, DataFrame]:
     return {table.name: getattr(t, table.name) for table in STAR.tables}
+
+
+#: Columns of the test tables beside the star schema that are neither nested nor listed above, by class of values.
+OTHER_COLUMNS = {
+    "events": {"event_id": "exact", "ts": "timestamp", "user_id": "exact", "event_type": "text", "value": "float", "props": "text"},
+    "documents": {"doc_id": "exact", "text": "text", "lang": "text", "source": "text", "n_chars": "exact"},
+    "embeddings": {"vec_id": "exact", "label": "exact"},
+    "pages": {"page_id": "exact", "url": "text", "html": "text"},
+    "benchmark": {"item_id": "exact", "text": "text"},
+    "labels": {"doc_id": "exact", "quality": "exact", "toxic": "exact"},
+    "conversations": {"conv_id": "exact", "turn": "exact", "role": "text", "text": "text"},
+}
+_CLASS = {"integer": "exact", "bigint": "exact", "varchar": "text"}
+ALL_COLUMNS = {t.name: {c.name: _CLASS.get(c.data_type, c.data_type) for c in t.columns} for t in STAR.tables} | OTHER_COLUMNS
+
+
+def all_tables(t: Tables) -> dict[str, DataFrame]:
+    return {name: getattr(t, name) for name in ALL_COLUMNS}

@@ -6,13 +6,16 @@ the catalog grows with the data.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from relweave.functions.rules import NAME_RULES, PII_PATTERNS, TYPE_FALLBACKS
 from relweave.operators import catalog as C
 from relweave.operators import constraints as K
 from relweave.operators import privacy as P
-from relweave.suite.base import STAR, query, star_tables
+from relweave.operators.discovery import composite_foreign_keys, inclusion_dependencies, unique_column_sets
+from relweave.suite.base import ALL_COLUMNS, OTHER_COLUMNS, STAR, all_tables, query, star_tables
 
 NAMES = (
     "email", "email_address", "firstName", "emailAddress", "last_name", "userName", "name", "created_at", "createdAt",
@@ -302,21 +305,106 @@ def cat_infer(t):
     return profile.withColumn("data_type", F.expr("if(data_type = 'datetime', 'timestamp', data_type)"))
 
 
-def _inclusion_sql() -> str:
-    columns = {t.name: {c.name: c.data_type for c in t.columns} for t in STAR.tables}
-    parts = []
-    for child, own in columns.items():
-        for parent, others in columns.items():
-            for a, kind in own.items():
-                for b, other in others.items():
-                    if child != parent and kind == other and a.endswith("key") and a.split("_")[1] == b.split("_")[1]:
-                        parts.append(
-                            f"SELECT '{child}' AS child, '{a}' AS \"column\", '{parent}' AS parent, '{b}' AS ref_column, (SELECT count({a}) FROM {child}) AS child_rows "
-                            f"WHERE (SELECT count(*) = count(DISTINCT {b}) FROM {parent}) AND NOT EXISTS (SELECT 1 FROM {child} WHERE {a} NOT IN (SELECT {b} FROM {parent}))"
-                        )
-    return " UNION ALL ".join(parts)
+def inclusions_sql(columns: dict[str, dict[str, str]], sources: dict[str, str] | None = None) -> str:
+    """WITH list: ``col`` has one row to a column, ``ind`` every inclusion (a, b) of column numbers; ``sources`` are tables made here."""
+    sources = sources or {}
+    listed = [(t, c, k) for t, own in columns.items() for c, k in own.items()]
+    numbers = ", ".join(f"({n}, '{t}', '{c}')" for n, (t, c, _) in enumerate(listed))
+
+    def text(c: str, kind: str) -> str:
+        return f"({c} + 0.0::DOUBLE)::VARCHAR" if kind == "float" else f"{c}::VARCHAR"
 
+    cells = " UNION ALL ".join(f"SELECT {n} AS a, '{k}' AS k, {text(c, k)} AS v FROM {sources.get(t, t)}" for n, (t, c, k) in enumerate(listed))
+    return f"""names(a, tab, col) AS (VALUES {numbers}),
+cell AS MATERIALIZED (SELECT a, k, v, count(*) AS n FROM ({cells}) WHERE v IS NOT NULL GROUP BY ALL),
+col AS MATERIALIZED (SELECT a, tab, col, sum(n)::BIGINT AS rows, count(*) AS vals, max(n) = 1 AS uniq FROM cell JOIN names USING (a) GROUP BY ALL),
+ind AS MATERIALIZED (
+  SELECT x.a, y.a AS b FROM cell x JOIN cell y ON x.k = y.k AND x.v = y.v AND x.a <> y.a GROUP BY x.a, y.a
+  HAVING count(*) = (SELECT vals FROM col WHERE col.a = x.a)
+)"""
 
-@query("cat_infer_fks", _inclusion_sql())
+
+_FOUND = "ind JOIN col c ON c.a = ind.a JOIN col p ON p.a = ind.b"
+
+
+@query(
+    "cat_infer_fks",
+    f"WITH {inclusions_sql(ALL_COLUMNS)} SELECT c.tab AS child, c.col AS \"column\", p.tab AS parent, p.col AS ref_column, c.rows AS child_rows, "
+    f"c.vals / p.vals AS coverage FROM {_FOUND} WHERE p.uniq",
+)
 def cat_fks(t):
-    return C.fk_candidates(star_tables(t))
+    """All pairs of columns of all test tables, whatever their names."""
+    return C.fk_candidates(all_tables(t))
+
+
+_NOTES = {
+    "notes": "(SELECT doc_id * 10 AS note_id, CASE WHEN doc_id % 3 > 0 THEN doc_id END AS about, lang AS tongue, toxic FROM documents JOIN labels USING (doc_id))",
+    "words": "(SELECT DISTINCT lang AS code FROM documents WHERE lang IS NOT NULL)",
+}
+_NOTES_COLUMNS = {
+    "documents": OTHER_COLUMNS["documents"], "labels": OTHER_COLUMNS["labels"],
+    "notes": {"note_id": "exact", "about": "exact", "tongue": "text", "toxic": "exact"}, "words": {"code": "text"},
+}
+
+
+@query(
+    "cat_inclusions",
+    f"WITH {inclusions_sql(_NOTES_COLUMNS, _NOTES)} SELECT c.tab AS child, c.col AS \"column\", p.tab AS parent, p.col AS ref_column, c.rows AS child_rows, "
+    f"c.vals AS child_values, c.vals / p.vals AS coverage, p.uniq AS parent_unique FROM {_FOUND}",
+)
+def cat_inclusions(t):
+    """Keys between columns of different names and types, with NULLs, and of repeated values."""
+    documents, labels = t.documents, t.labels
+    notes = documents.join(labels, "doc_id").selectExpr(
+        "cast(doc_id * 10 AS decimal(20, 2)) AS note_id", "if(doc_id % 3 > 0, int(doc_id), NULL) AS about", "lang AS tongue", "toxic",
+    )
+    words = documents.where("lang IS NOT NULL").selectExpr("lang AS code").distinct()
+    return inclusion_dependencies({"documents": documents, "labels": labels, "notes": notes, "words": words})
+
+
+def _unique_sets_sql(columns: dict[str, dict[str, str]], width: int) -> str:
+    parts = []
+    for t, own in columns.items():
+        for w in range(1, width + 1):
+            for some in combinations(own, w):
+                values = ", ".join(f"{c} + 0.0::DOUBLE" if own[c] == "float" else c for c in some)
+                empty = " OR ".join(f"{c} IS NULL" for c in some)
+                parts.append(
+                    f"SELECT '{t}' AS \"table\", {list(some)} AS cols, {w} AS width, (SELECT count(*) FROM {t}) AS rows, "
+                    f"(SELECT count(*) FROM (SELECT DISTINCT {values} FROM {t})) AS vals, EXISTS (SELECT 1 FROM {t} WHERE {empty}) AS nullable"
+                )
+    return (
+        f"WITH s AS MATERIALIZED (SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE rows = vals AND rows > 0) "
+        "SELECT \"table\", array_to_string(cols, ',') AS columns, width, rows, nullable, NOT nullable AS pk_candidate FROM s "
+        "WHERE NOT EXISTS (SELECT 1 FROM s AS f WHERE f.\"table\" = s.\"table\" AND f.width < s.width AND list_has_all(s.cols, f.cols))"
+    )
+
+
+_KEY_TABLES = {name: own for name, own in ALL_COLUMNS.items() if name != "embeddings"}
+
+
+@query("cat_infer_keys", _unique_sets_sql(_KEY_TABLES, 2))
+def cat_infer_keys(t):
+    """Minimal unique column sets of up to two columns in all test tables: (conv_id, turn) is one, (l_orderkey, l_linenumber) is none."""
+    found = unique_column_sets({name: df for name, df in all_tables(t).items() if name in _KEY_TABLES}, max_width=2)
+    return found.withColumn("columns", F.array_join("columns", ","))
+
+
+_REPLIES = "(SELECT conv_id AS thread, turn AS place, turn - 1 AS answers, length(text) % 7 AS mark FROM conversations WHERE turn > 0)"
+
+
+@query(
+    "cat_infer_composite_fks",
+    f"""WITH r AS (SELECT * FROM {_REPLIES}), k AS (SELECT DISTINCT conv_id, turn FROM conversations),
+pairs(x, y) AS (VALUES {', '.join(f"('{a}', '{b}')" for a in ('thread', 'place', 'answers', 'mark') for b in ('thread', 'place', 'answers', 'mark') if a != b)}),
+cells AS (SELECT x, y, u.a, u.b FROM r, pairs, LATERAL (SELECT CASE x WHEN 'thread' THEN thread WHEN 'place' THEN place WHEN 'answers' THEN answers ELSE mark END AS a,
+  CASE y WHEN 'thread' THEN thread WHEN 'place' THEN place WHEN 'answers' THEN answers ELSE mark END AS b) AS u)
+SELECT 'replies' AS child, x || ',' || y AS columns, 'conversations' AS parent, 'conv_id,turn' AS ref_columns, count(*) AS child_rows
+FROM cells LEFT JOIN k ON cells.a = k.conv_id AND cells.b = k.turn GROUP BY x, y HAVING count(*) FILTER (k.conv_id IS NULL) = 0""",
+)
+def cat_composite_fks(t):
+    """Foreign keys of two columns, differently named, of the composite keys that the data have."""
+    replies = t.conversations.where("turn > 0").selectExpr("conv_id AS thread", "turn AS place", "turn - 1 AS answers", "length(text) % 7 AS mark")
+    keys = unique_column_sets({"conversations": t.conversations.select("conv_id", "turn")}, max_width=2)
+    found = composite_foreign_keys({"conversations": t.conversations.select("conv_id", "turn"), "replies": replies}, keys)
+    return found.withColumn("columns", F.array_join("columns", ",")).withColumn("ref_columns", F.array_join("ref_columns", ","))
