@@ -13,6 +13,11 @@ special tokens: strings of such tokens inside a text are plain text.
 4. Byte places where tokens of both end cut the tokens into groups.  Between two neighbouring ends of either
    side lies one link: a token of A and a token of B that overlap.
 
+Both tokenizers cut before a single space between other characters: A by its pattern, and no piece of B's
+vocabulary has a space after another character (both are looked up in the files; a pair of files
+for which this does not hold is run on whole texts).  So a text is cut there, and a task aligns each distinct
+piece once and puts the texts' alignments together from their pieces.
+
 ``link_counts`` counts for each pair of ids the documents that hold it linked.  ``with_link_counts`` looks the
 counts up again for every document: pairs found in at least a 2^19th of all (document, pair) rows, of which
 there are at most 2^19 by that rule, are sent to every task; the others, none of which is frequent, are joined by a shuffle.
@@ -25,8 +30,11 @@ may have any name but that of the one struct column added (ValueError otherwise)
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +47,7 @@ from relweave.llm.store import short_batches, stored
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SLICE_CHARS = 1 << 18
+MOST_PIECES = 200_000  # remembered in a task
 FREQUENT = 19  # bits: at most 2^FREQUENT pairs are sent to every task
 FIELDS = {
     "n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "n_links": pa.int64(), "a_ids": pa.list_(pa.int32()), "a_ends": pa.list_(pa.int64()),
@@ -94,27 +103,33 @@ class Pair:
         self.b_is_byte = np.array([self.b.is_byte(i) for i in range(len(pieces))])
         self.b_bytes = [bytes([int(p[3:5], 16)]) if one else p.replace("▁", " ").encode() for p, one in zip(pieces, self.b_is_byte, strict=True)]
         self.a_size, self.b_size = (np.array(list(map(len, t)), dtype=np.int64) for t in (self.a_bytes, self.b_bytes))
+        # whether no token of either reaches over a space between two words: by A's own cuts, by B's vocabulary
+        cuts = json.loads(files.a).get("pre_tokenizer") or {}
+        a_cuts = cuts.get("type") == "ByteLevel" and cuts.get("use_regex", True) and not cuts.get("add_prefix_space") and not json.loads(files.a).get("normalizer")
+        self.apart = a_cuts and not any(re.search("[^▁]▁", p) for p in pieces)
         # A id, then B id, each followed by the mark inside a group or the one at its end
         self.a_names = np.array([f"{i}{mark}" for i in range(len(self.a_bytes)) for mark in ",|"], dtype=object)
         self.b_names = np.array([f"{i}{mark}" for i in range(len(self.b_bytes)) for mark in ",;"], dtype=object)
 
     def encode(self, text: str, whole: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
         """Ids and ends of A's and B's tokens of a space and the text (``whole``); None if their bytes differ from it."""
+        if not text:
+            return None
         made = self.a.encode(" " + text, add_special_tokens=False)
         ids = made.ids
         if b"".join(map(self.a_bytes.__getitem__, ids)) != whole:
             return None
         spans = self.b.encode(text, return_type="proto", num_threads=1).pieces
-        b_ids = [p.id for p in spans]
+        b_ids = list(map(attrgetter("id"), spans))
         if b"".join(map(self.b_bytes.__getitem__, b_ids)) != whole:
             return None
         a, b = np.array(ids, dtype=np.int32), np.array(b_ids, dtype=np.int32)
         flat = np.frombuffer(whole, dtype=np.uint8)
         place = np.append(np.flatnonzero(flat & 0xC0 != 0x80), len(flat))  # of each character
-        offsets = np.array(made.offsets, dtype=np.int64).reshape(-1, 2)
-        meet = np.append(offsets[1:, 0], len(place) - 1)
-        a_ends = between(place[meet], offsets[:, 1] == meet, self.a_size[a])
-        begins = np.array([p.begin for p in spans], dtype=np.int64) + 1
+        start, stop = np.fromiter(chain.from_iterable(made.offsets), dtype=np.int64, count=2 * len(a)).reshape(-1, 2).T
+        meet = np.append(start[1:], len(place) - 1)
+        a_ends = between(place[meet], stop == meet, self.a_size[a])
+        begins = np.fromiter(map(attrgetter("begin"), spans), dtype=np.int64, count=len(b)) + 1
         begins[0] = 0
         byte = self.b_is_byte[b]
         meet = np.append(begins[1:], len(flat))
@@ -122,57 +137,152 @@ class Pair:
         return a, a_ends, b, b_ends
 
 
-def _align(pair: Pair, texts: Sequence[str | None], fields: Sequence[str]) -> pa.StructArray:
-    """The alignment of some texts at once: bytes of all texts are one line of places."""
-    n, base = len(texts), 0
-    parts: list[tuple] = []
-    rows, bases = [], np.zeros(n + 1, dtype=np.int64)
-    for i, text in enumerate(texts):
-        if text:
-            whole = b" " + text.encode()
-            made = pair.encode(text, whole)
-            if made is not None:
-                parts.append((made[0], made[1] + base, made[2], made[3] + base))
-                rows.append(i)
-                base += len(whole)
-        bases[i + 1] = base
-    kinds = (np.int32, np.int64, np.int32, np.int64)
-    a, a_ends, b, b_ends = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, dtype=kinds[k]) for k in range(4))
-    a_rows, b_rows = np.searchsorted(a_ends, bases, side="right"), np.searchsorted(b_ends, bases, side="right")
-    a_rows[0] = b_rows[0] = 0
-    common = np.intersect1d(a_ends, b_ends, assume_unique=True)
-    common_rows = np.searchsorted(common, bases, side="right")
-    ends = np.union1d(a_ends, b_ends)
-    end_rows = np.searchsorted(ends, bases, side="right")
-    out: dict[str, pa.Array] = {"n_a": pa.array(np.diff(a_rows)), "n_b": pa.array(np.diff(b_rows)), "n_groups": pa.array(np.diff(common_rows)), "n_links": pa.array(np.diff(end_rows))}
-
-    def lists(values: np.ndarray, edges: np.ndarray) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(values))
+def pieces_of(text: str, apart: bool) -> list[str]:
+    """The text cut where tokens of both always end: before a single space between other characters.
 
+    A space before each piece, joined, is the space and the text.
+    """
+    if not apart:
+        return [text]
+    if _WIDE.search(" " + text):
+        return [p[1:] for p in _SINGLE.split(" " + text)]
+    return text.split(" ")
+
+
+_WIDE = re.compile(r" (?:\s|$)")
+_SINGLE = re.compile(r"(?<=[^ ])(?= \S)")
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indexes of all elements of some ranges, one range after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+class Memo:
+    """Alignments of the pieces met so far, token by token; forgotten when they are ``MOST_PIECES``."""
+
+    TOKENS = ("a_ids", "a_ends", "b_ids", "b_ends", "links")
+
+    def __init__(self, pair: Pair) -> None:
+        self.pair = pair
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.whole = np.zeros(0, dtype=bool)  # tokens give back the piece
+        self.size = np.zeros(0, dtype=np.int64)  # bytes with the space before it
+        self.n_groups = np.zeros(0, dtype=np.int64)
+        self.flat = {k: np.zeros(0, dtype=np.int64) for k in self.TOKENS}
+        self.edges = {k: np.zeros(1, dtype=np.int64) for k in self.TOKENS}
+
+    def number_of(self, pieces: list[str]) -> np.ndarray:
+        fresh = [p for p in dict.fromkeys(pieces) if p not in self.number]
+        if len(self.number) + len(fresh) > MOST_PIECES and self.number:
+            self.forget()
+            fresh = list(dict.fromkeys(pieces))
+        # side by side in one text, as they stand in texts; those at an end of their text alone
+        alone = [p for p in fresh if not p or p[0].isspace() or p[-1] == " "]
+        if alone:
+            some = set(alone)
+            fresh = [p for p in fresh if p not in some]
+        if fresh:
+            self._learn(fresh)
+        for p in alone:
+            self._learn([p])
+        return np.fromiter(map(self.number.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+
+    def _learn(self, fresh: list[str]) -> None:
+        text = " ".join(fresh)
+        made = self.pair.encode(text, b" " + text.encode())
+        if made is None and len(fresh) > 1:
+            self._learn(fresh[: len(fresh) // 2])
+            self._learn(fresh[len(fresh) // 2:])
+            return
+        size = np.array([len(p.encode()) + 1 for p in fresh], dtype=np.int64)
+        none = np.zeros(0, dtype=np.int64)
+        a, a_ends, b, b_ends = made if made is not None else (none, none, none, none)
+        stops = np.cumsum(size)
+        starts = stops - size
+        everywhere = np.sort(np.concatenate([a_ends, b_ends]))
+        twice = np.zeros(len(everywhere), dtype=bool)
+        twice[1:] = everywhere[1:] == everywhere[:-1]
+        common = everywhere[twice]
+        if made is not None and not np.array_equal(common[np.minimum(np.searchsorted(common, stops), len(common) - 1)], stops):
+            raise RuntimeError("a token reaches over a space between two words")
+        ends = everywhere[~twice]
+        links = (a[np.searchsorted(a_ends, ends)].astype(np.int64) << 32) | b[np.searchsorted(b_ends, ends)]
+        rows = {k: np.append(0, np.searchsorted(x, stops, side="right")) for k, x in (("a", a_ends), ("b", b_ends), ("common", common), ("links", ends))}
+        # ids in the order of groups, A's before B's, with the mark that follows each
+        upto_a, upto_b = np.searchsorted(a_ends, common, side="right"), np.searchsorted(b_ends, common, side="right")
+        a_group, b_group = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)
+        names = np.empty(len(a) + len(b), dtype=object)
+        if len(a):
+            names[np.arange(len(a)) + np.append(0, upto_b)[a_group]] = self.pair.a_names[2 * a.astype(np.int64) + (a_ends == common[a_group])]
+            names[np.arange(len(b)) + upto_a[b_group]] = self.pair.b_names[2 * b.astype(np.int64) + (b_ends == common[b_group])]
+        words, edges = names.tolist(), (rows["a"] + rows["b"]).tolist()
+        self.groups += ["".join(words[i:j])[:-1] for i, j in zip(edges, edges[1:])]
+        for p in fresh:
+            self.number[p] = len(self.number)
+        self.whole = np.append(self.whole, np.full(len(fresh), made is not None))
+        self.size, self.n_groups = np.append(self.size, size), np.append(self.n_groups, np.diff(rows["common"]))
+        found = {"a_ids": (a, "a"), "a_ends": (a_ends, "a"), "b_ids": (b, "b"), "b_ends": (b_ends, "b"), "links": (links, "links")}
+        for k, (values, kind) in found.items():
+            if k.endswith("ends"):
+                values = values - np.repeat(starts, np.diff(rows[kind]))
+            self.edges[k] = np.append(self.edges[k], self.edges[k][-1] + rows[kind][1:])
+            self.flat[k] = np.append(self.flat[k], values)
+
+
+def _align(memo: Memo, texts: Sequence[str | None], fields: Sequence[str]) -> pa.StructArray:
+    """The alignment of some texts at once, put together from that of their pieces."""
+    n = len(texts)
+    split = [pieces_of(t, memo.pair.apart) if t else [] for t in texts]
+    counts = np.fromiter(map(len, split), dtype=np.int64, count=n)
+    number = memo.number_of([p for pieces in split for p in pieces])
+    row = np.repeat(np.arange(n), counts)
+    bad = np.bincount(row[~memo.whole[number]], minlength=n) > 0
+    if bad.any():
+        keep = ~bad[row]
+        number, row = number[keep], row[keep]
+    edges = np.searchsorted(row, np.arange(n + 1))
+
+    def total(per_piece: np.ndarray) -> np.ndarray:
+        return np.diff(np.append(0, np.cumsum(per_piece[number]))[edges])
+
+    def lists(values: np.ndarray, sizes: np.ndarray, kind) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values.astype(kind)))
+
+    size = {k: np.diff(e) for k, e in memo.edges.items()}
+    out: dict[str, pa.Array] = {
+        "n_a": pa.array(total(size["a_ids"])), "n_b": pa.array(total(size["b_ids"])), "n_groups": pa.array(total(memo.n_groups)), "n_links": pa.array(total(size["links"])),
+    }
+    if "groups" in fields:
+        words, ends = list(map(memo.groups.__getitem__, number.tolist())), edges.tolist()
+        out["groups"] = pa.array([";".join(words[i:j]) for i, j in zip(ends, ends[1:])], type=pa.string())
     if "pairs" in fields or "times" in fields:
-        link = (a[np.searchsorted(a_ends, ends)].astype(np.int64) << 32) | b[np.searchsorted(b_ends, ends)]
-        row = np.repeat(np.arange(n), np.diff(end_rows))
-        order = np.lexsort((link, row))
-        link, row = link[order], row[order]
+        some, often = np.unique(row * len(memo.size) + number, return_counts=True)
+        piece, owner = some % max(len(memo.size), 1), some // max(len(memo.size), 1)
+        many = size["links"][piece]
+        link = memo.flat["links"][_spread(memo.edges["links"][piece], many)]
+        owner, often = np.repeat(owner, many), np.repeat(often, many)
+        order = np.lexsort((link, owner))
+        link, owner, often = link[order], owner[order], often[order]
         new = np.ones(len(link), dtype=bool)
-        new[1:] = (link[1:] != link[:-1]) | (row[1:] != row[:-1])
+        new[1:] = (link[1:] != link[:-1]) | (owner[1:] != owner[:-1])
         first = np.flatnonzero(new)
-        edges = np.searchsorted(row[first], np.arange(n + 1))
-        out |= {"pairs": lists(link[first], edges), "times": lists(np.diff(np.append(first, len(link))).astype(np.int32), edges)}
-    if "groups" in fields:
-        upto_a, upto_b = np.searchsorted(a_ends, common, side="right"), np.searchsorted(b_ends, common, side="right")
-        a_group, b_group = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)
-        text = np.empty(len(a) + len(b), dtype=object)
-        text[np.arange(len(a)) + np.append(0, upto_b)[a_group]] = pair.a_names[2 * a.astype(np.int64) + (a_ends == common[a_group])] if len(a) else []
-        text[np.arange(len(b)) + upto_a[b_group]] = pair.b_names[2 * b.astype(np.int64) + (b_ends == common[b_group])] if len(b) else []
-        words, edges = text.tolist(), (a_rows + b_rows).tolist()
-        out["groups"] = pa.array(["".join(words[i:j])[:-1] for i, j in zip(edges, edges[1:])], type=pa.string())
-    for name, values, edges in (("a_ids", a, a_rows), ("b_ids", b, b_rows)):
-        if name in fields:
-            out[name] = lists(values, edges)
-    for name, values, edges in (("a_ends", a_ends, a_rows), ("b_ends", b_ends, b_rows)):
-        if name in fields:
-            out[name] = lists(values - np.repeat(bases[:-1], np.diff(edges)), edges)
+        each = np.bincount(owner[first], minlength=n)
+        out |= {"pairs": lists(link[first], each, np.int64), "times": lists(np.add.reduceat(often, first) if len(first) else first, each, np.int32)}
+    if set(fields) & {"a_ids", "a_ends", "b_ids", "b_ends"}:
+        before = np.cumsum(memo.size[number]) - memo.size[number]
+        before -= np.repeat(before[np.minimum(edges[:-1], max(len(before) - 1, 0))], np.diff(edges)) if len(before) else 0
+        for k in ("a_ids", "a_ends", "b_ids", "b_ends"):
+            many = size[k][number]
+            values = memo.flat[k][_spread(memo.edges[k][number], many)]
+            if k.endswith("ends"):
+                values = values + np.repeat(before, many)
+            out[k] = lists(values, total(size[k]), np.int64 if k.endswith("ends") else np.int32)
     return pa.StructArray.from_arrays([out[f] for f in fields], fields=[pa.field(f, FIELDS[f]) for f in fields])
 
 
@@ -204,16 +314,16 @@ def align(docs: DataFrame, files: Files | None = None, *, text: str = "text", re
 
     @F.arrow_udf(from_arrow_type(kind))
     def aligned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pair = None
+        memo = None
         for column in batches:
-            pair = pair or Pair(files)
+            memo = memo or Memo(Pair(files))
             texts, parts, first = _texts(column), [], 0
             while first < len(texts):
                 last, size = first, 0
                 while last < len(texts) and (last == first or size + len(texts[last] or "") <= SLICE_CHARS):
                     size += len(texts[last] or "")
                     last += 1
-                parts.append(_align(pair, texts[first:last], names))
+                parts.append(_align(memo, texts[first:last], names))
                 first = last
             yield pa.concat_arrays(parts) if parts else pa.array([], type=kind)
 

@@ -52,7 +52,7 @@ def as_text(groups) -> str:
 
 def test_alignment_against_brute_force(spark):
     pair, pick = alignment.Pair(FILES), random.Random(4)
-    letters = "ab é😀日本\n ▁ñß<0x0A>한‍"
+    letters = "ab é😀日本\n  ▁ñß<0x0A>한‍\t\u00a0'1"
     texts = HARD_TEXTS + ["".join(pick.choice(letters) for _ in range(pick.randrange(60))) for _ in range(80)]
     texts += [r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").where("length(text) < 1500").limit(40).collect()]
     docs = spark.createDataFrame(list(enumerate(texts)), "alignment_id int, text string").repartition(3)
@@ -74,6 +74,18 @@ def test_cuts_come_from_spans_and_are_refined_only_inside_characters():
     assert alignment.between(coarse, np.zeros(4, dtype=bool), np.array([3, 1, 1, 4])).tolist() == [3, 4, 5, 9]
 
 
+def test_pieces_equal_whole_texts(monkeypatch):
+    pair, pick = alignment.Pair(FILES), random.Random(6)
+    assert pair.apart
+    alphabet = [" ", " ", " ", "\n", "\t", "a", "the", "'s", "é", "1", "22", "\u00a0", "。", "\x1c", "\u2028", "-", "<0x20>", "▁", "😀"]
+    texts = ["".join(pick.choice(alphabet[: pick.choice((9, 19))]) for _ in range(pick.randrange(1, 25))) for _ in range(3000)]
+    made = alignment._align(alignment.Memo(pair), texts, tuple(alignment.FIELDS)).to_pylist()
+    monkeypatch.setattr(alignment, "MOST_PIECES", 40)  # forgets again and again
+    assert alignment._align(alignment.Memo(pair), texts, tuple(alignment.FIELDS)).to_pylist() == made
+    monkeypatch.setattr(pair, "apart", False)
+    assert alignment._align(alignment.Memo(pair), texts, tuple(alignment.FIELDS)).to_pylist() == made
+
+
 def test_invalid_utf8_has_no_tokens():
     raw = pa.array([b"ok", b"\xff\xfe", None], type=pa.binary())
     assert alignment._texts(raw) == ["ok", None, None]
