@@ -4,15 +4,16 @@
    one class, found by a digest, so copies never meet in pairs.
 2. Per class, ``ROWS * BANDS`` minima give one key per band (whole minima) and a packed
    signature that keeps 4 low bits of every minimum.
-3. In each band bucket one member, chosen by hash, leads; every other member is paired
-   with it: as many pairs as members.  A pair is dropped if the similarity estimated from
+3. Members are ranked by a digest of their id; the first of a band bucket leads it.  Each member is paired
+   with the first of its leaders only, so a group of near copies gathers around one of them with one pair a
+   member, whatever its size.  A pair is dropped if the similarity estimated from
    the signatures' equal fields, corrected for chance collisions, is far below the
    threshold; the rest are compared on their full sets.  Links are joined to components.
 4. Buckets that still hold several components pair each member outside their largest
-   component with the most linked member of that component: again as many as members.
+   component with one hub, the most linked member of such a component: again one pair a member.
 5. What is still apart: each member outside a bucket's largest component meets the members
-   of its other components.  For them a longer signature is made, one bit of each of 2048
-   minima, and only pairs whose estimate allows a link leave that join, each from the first
+   of its other components, in parts of at most ``PART`` members.  For them a longer signature is made, one bit
+   of each of 2048 minima, and only pairs whose estimate allows a link leave that join, each from the first
    bucket it shares.  So every pair that shares a bucket is joined already, or estimated and
    then compared.
 
@@ -43,6 +44,7 @@ from relweave.llm.words import SPACED, mix, numbered, run_starts, runs, word_sli
 WIDTH = 5
 ROWS, BANDS = 4, 32
 THRESHOLD = 75  # per cent
+PART = 512  # members of a bucket that one task meets with the others at a time
 
 
 @dataclass(frozen=True)
@@ -179,9 +181,15 @@ def similarity(a: Sequence[Column], b: Sequence[Column], kind: Signature) -> Col
     return (equal - chance) / (1.0 - chance)
 
 
+def _few(table: DataFrame) -> DataFrame:
+    """A stored table of one or two ids, marked for broadcast if it is small; ids that are texts are measured."""
+    text = any(isinstance(f.dataType, T.StringType) for f in table.schema)
+    return small(table, None if text else 16)
+
+
 def texts_of(ids: DataFrame, docs: DataFrame, id_: str, text: str) -> DataFrame:
     """(id, __text) of the given ids; few ids, counted first, are broadcast, more are joined by a shuffle."""
-    ids = small(stored(ids, "ids"), 16)
+    ids = _few(stored(ids, "ids"))
     return docs.select(F.col(id_).alias("id"), F.col(text).alias("__text")).join(ids, "id", "left_semi")
 
 
@@ -209,12 +217,13 @@ def near_duplicates(docs: DataFrame, *, id_: str = "doc_id", text: str = "text",
         "classes",
     )
     members = classes.select("id", F.posexplode("bands").alias("band", "bucket"))
-    rank = F.struct(F.xxhash64("id", "bucket").alias("h"), F.col("id").alias("leader"))
+    rank = F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("leader"))
     leaders = members.groupBy("bucket").agg(F.min(rank).alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    shared = stored(members.join(leaders, "bucket").select("bucket", "band", "id", F.col("lead.leader").alias("leader")), "buckets")
-    first = judged(shared.where("id != leader").select("id", F.col("leader").alias("other")), classes, threshold)
-    links = stored(confirmed(stored(first, "pairs"), docs, id_, text, threshold), "links")
+    shared = stored(members.join(leaders, "bucket").select("bucket", "band", "id", "lead"), "buckets")
+    first = shared.groupBy("id").agg(F.min("lead").alias("lead")).select("id", F.col("lead.leader").alias("other")).where("id != other")
+    links = stored(confirmed(stored(judged(first, classes, threshold), "pairs"), docs, id_, text, threshold), "links")
     groups = stored(connected_components(links), "groups")
+
     def sharp(ids: DataFrame) -> DataFrame:
         return texts_of(ids, docs, id_, text).select("id", sharp_signature("__text").alias("signature")).dropDuplicates(["id"])
 
@@ -255,28 +264,28 @@ def ordered(x: str, y: str) -> tuple[Column, Column]:
 
 def judged(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     """Distinct pairs (id, other) whose estimate allows a link, as (a, b)."""
-    distinct = pairs.select(*ordered("id", "other")).distinct()
-    both = distinct.join(profiles(classes, "a", "pa"), "a").join(profiles(classes, "b", "pb"), "b")
+    both = pairs.select(*ordered("id", "other")).distinct().join(profiles(classes, "a", "pa"), "a").join(profiles(classes, "b", "pb"), "b")
     return both.where(alike(F.col("pa"), F.col("pb"), threshold)).select("a", "b")
 
 
 def mixed_buckets(shared: DataFrame, groups: DataFrame) -> DataFrame:
-    """Members of the buckets that hold several components, with the largest component there."""
-    placed = shared.select("bucket", "band", F.col("id").alias("node")).join(groups, "node", "left")
+    """Members of the buckets that hold several components, with the largest component there and the bucket's size."""
+    placed = shared.select("bucket", "band", F.col("id").alias("node")).join(_few(groups), "node", "left")
     placed = placed.select("bucket", "band", "node", F.coalesce("component", "node").alias("component"))
     counts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
-    mixed = counts.groupBy("bucket").agg(F.max(F.struct("m", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    return stored(placed.join(mixed.select("bucket", F.col("top.component").alias("top")), "bucket"), "mixed")
+    mixed = counts.groupBy("bucket").agg(F.max(F.struct("m", "component")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("m").alias("size"))
+    mixed = mixed.where("parts > 1").select("bucket", F.col("top.component").alias("top"), "size")
+    return stored(placed.join(mixed, "bucket"), "mixed")
 
 
 def hub_pairs(shared: DataFrame, groups: DataFrame, links: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """Members outside a bucket's largest component, each with that component's most linked member there."""
+    """Members outside a bucket's largest component, each with one hub: the most linked member of such a component there."""
     members = mixed_buckets(shared, groups)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     inner = members.where("component = top").join(degree, "node", "left")
     hubs = inner.groupBy("bucket").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("d"), "node")).alias("hub"))
-    pairs = members.where("component != top").join(hubs, "bucket").select(F.col("node").alias("id"), F.col("hub.node").alias("other"))
-    return judged(pairs, classes, threshold)
+    pairs = members.where("component != top").join(hubs, "bucket").groupBy("node").agg(F.max("hub").alias("hub"))
+    return judged(pairs.select(F.col("node").alias("id"), F.col("hub.node").alias("other")), classes, threshold)
 
 
 def outside_pairs(
@@ -295,7 +304,10 @@ def outside_pairs(
         own = [F.coalesce(F.get("signature", F.lit(k)), F.lit(0)).alias(f"{mark}{k}") for k in words]
         own += [F.coalesce(F.get("keys", F.lit(k)), F.lit(0)).alias(f"{mark}key{k}") for k in halves]
         own += [F.col(c).alias(f"{mark}{c}") for c in ("node", "component", "n")]
-        return ["bucket", *([F.coalesce("band", F.lit(0)).alias("band")] if mark == "x" else []), *own]
+        parts = F.ceil(F.col("size") / PART).cast("int")
+        if mark == "x":  # meets every part of its bucket
+            return ["bucket", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.coalesce("band", F.lit(0)).alias("band"), *own]
+        return ["bucket", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), *own]
 
     # a bucket before this one that the pair shares too has emitted it already
     news = F.lit(True)
@@ -303,7 +315,7 @@ def outside_pairs(
         differ = F.col(f"xkey{k}").bitwiseXOR(F.col(f"ykey{k}"))
         news = news & ((F.col("band") <= 2 * k) | (differ.bitwiseAND(low) != 0)) & ((F.col("band") <= 2 * k + 1) | (F.shiftrightunsigned(differ, 32) != 0))
     estimate = similarity([F.col(f"x{k}") for k in words], [F.col(f"y{k}") for k in words], SHARP)
-    met = members.where("component != top").select(*side("x")).join(members.select(*side("y")), "bucket").where(
+    met = members.where("component != top").select(*side("x")).join(members.select(*side("y")), ["bucket", "part"]).where(
         (F.col("xcomponent") != F.col("ycomponent")) & sizes_allow(F.col("xn"), F.col("yn"), threshold)
         & (estimate >= threshold / 100 - SHARP.slack) & news
     )

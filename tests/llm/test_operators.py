@@ -150,6 +150,26 @@ def test_near_duplicates_against_brute_force(spark):
     assert {r["doc_id"]: r["component_id"] for r in made} == brute_components(texts)
 
 
+@pytest.mark.parametrize("count", [300, 1200])
+def test_pairs_of_a_large_group_follow_its_members(spark, monkeypatch, count):
+    sent, real = [], near_dedup.confirmed
+    monkeypatch.setattr(near_dedup, "confirmed", lambda pairs, *rest: sent.append(pairs.count()) or real(pairs, *rest))
+    pick, base = random.Random(6), words(200, 150).split()
+    rows = []
+    for i in range(count):
+        copy = list(base)
+        for _ in range(pick.choice((0, 1, 2))):
+            copy[pick.randrange(150)] = f"new{pick.randrange(10**6)}"
+        rows.append((i, " ".join(copy) + f" tail{i}"))
+    made = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["component_id"] for r in made} == {0} and sum(sent) < 3 * count
+
+
+def test_parts_of_a_bucket_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PART", 3)
+    test_near_duplicates_against_brute_force(spark)
+
+
 def test_near_duplicates_of_hard_rows(docs):
     rows = near_dedup.near_duplicates(docs).collect()
     by_id = {r["doc_id"]: r for r in rows}
@@ -158,10 +178,14 @@ def test_near_duplicates_of_hard_rows(docs):
     assert by_id[None]["component_id"] is None and by_id[None]["kept"]
 
 
-def test_components_of_long_chains(spark):
+@pytest.mark.parametrize("local", [components.LOCAL_LINKS, 0])
+def test_components_of_long_chains(spark, monkeypatch, local):
+    monkeypatch.setattr(components, "LOCAL_LINKS", local)
     links = [(i, i + 1) for i in range(200)] + [(1000, 1001), (1001, 1000), (5000, 5000)]
     found = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert found == {**dict.fromkeys(range(201), 0), 1000: 1000, 1001: 1000}
+    texts = spark.createDataFrame([("b", "é"), ("é", "a"), ("x", "y"), (None, "q")], "a string, b string")
+    assert {tuple(r) for r in components.connected_components(texts).collect()} == {("a", "a"), ("b", "a"), ("é", "a"), ("x", "x"), ("y", "x")}
 
 
 def brute_chunks(data: bytes) -> list[tuple[int, int]]:
