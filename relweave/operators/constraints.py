@@ -16,6 +16,7 @@ from relweave.functions.generators import (
     uniform_hundredths, uuid4,
 )
 from relweave.operators import keys
+from relweave.operators.allocation import DomainExhausted, allocate_unique, codec_of
 from relweave.session import shared_dir
 
 MAX_ATTEMPTS = 10
@@ -313,7 +314,8 @@ def repair_unique_sets(
 ) -> DataFrame:
     """UNIQUE columns, UNIQUE indexes and the primary key of a table.
 
-    Foreign-key columns are never redrawn; a set made of them alone is left to
+    Of a set's columns the one with the largest domain gets free values, in one pass; types whose
+    values cannot be counted off (uuid, json, binary, lists, times) are redrawn in rounds.  Foreign-key columns are never redrawn; a set made of them alone is left to
     :func:`relweave.operators.keys.fill_junction`.
     """
     sets = list(table.unique_sets)
@@ -326,6 +328,17 @@ def repair_unique_sets(
         if not free or auto & set(columns):
             continue
 
+        counted = {name: codec_of(table.column(name), (domains or {}).get(name)) for name in free}
+        counted = {name: codec for name, codec in counted.items() if codec is not None}
+        if counted:
+            name = max(counted, key=lambda c: counted[c].last - counted[c].first)
+            try:
+                df = allocate_unique(df, columns, name, counted[name], row_id=row_id)
+            except DomainExhausted as short:
+                kind = "UNIQUE" if len(columns) == 1 else "UNIQUE (composite)"
+                raise ConstraintError(table.name, ", ".join(columns), kind, 0) from short
+            continue
+
         def regenerate(attempt: int, columns=columns, free=free) -> dict[str, Column]:
             out = {}
             for name in free:

@@ -150,25 +150,22 @@ def ks_scores(counts: DataFrame, buckets: int = RANK_BUCKETS) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(i, j, r) for i < j plus (i, i, 1); pairwise complete rows, 0 where a side is constant."""
-    vector = F.expr("array(" + ", ".join(_number_sql(c, df.schema[c].dataType) for c in columns) + ")")
-    n = len(columns)
-    pairs = F.expr(
-        "array("
-        + ", ".join(f"named_struct('i', {i}, 'j', {j})" for i in range(n) for j in range(i, n))
-        + ")"
-    )
-    # the vector first, on its own, so that it is built once per row and not once per pair
-    cells = (
-        df.select(vector.alias("v")).select("v", F.explode(pairs).alias("p"))
-        .select("p.i", "p.j", F.get("v", F.col("p.i")).alias("x"), F.get("v", F.col("p.j")).alias("y"))
-        .where("x IS NOT NULL AND y IS NOT NULL")
-    )
-    moments = cells.groupBy("i", "j").agg(
-        F.covar_pop("x", "y").alias("_c"),
-        F.stddev_pop("x").alias("_sx"),
-        F.stddev_pop("y").alias("_sy"),
-    )
+    """(i, j, r) for i < j plus (i, i, 1); pairwise complete rows, 0 where a side is constant.
+
+    One aggregate over the rows, with the moments of every pair side by side; only its one row is spread
+    into pairs.
+    """
+    names = [f"_v{k}" for k in range(len(columns))]
+    values = df.select(*[F.expr(_number_sql(c, df.schema[c].dataType)).alias(n) for c, n in zip(columns, names, strict=True)])
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    moments = []
+    for i, j in pairs:
+        # pairs of which one side is missing take no part in any of the three
+        x, y = f"if({names[j]} IS NULL, NULL, {names[i]})", f"if({names[i]} IS NULL, NULL, {names[j]})"
+        moments.append(f"named_struct('n', count({x}), 'c', covar_pop({x}, {y}), 'sx', stddev_pop({x}), 'sy', stddev_pop({y})) AS p{i}_{j}")
+    row = values.selectExpr(*moments) if moments else values.selectExpr("count(*) AS _none")
+    cells = ", ".join(f"{i}, {j}, p{i}_{j}.n, p{i}_{j}.c, p{i}_{j}.sx, p{i}_{j}.sy" for i, j in pairs)
+    moments = row.selectExpr(f"stack({len(pairs)}, {cells}) AS (i, j, _n, _c, _sx, _sy)").where("_n > 0")
     scale = F.nullif(F.col("_sx") * F.col("_sy"), F.lit(0.0))
     r = F.when(F.col("i") == F.col("j"), F.when(F.col("_sx") > 0, 1.0).otherwise(0.0)).otherwise(
         F.coalesce(F.col("_c") / scale, F.lit(0.0))

@@ -6,13 +6,16 @@ import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from relweave.functions.draws import draw, unit
-from relweave.operators.positions import dense_index
+from relweave.operators.positions import PREFIX_LENGTH, dense_index, key_text, running_before
 
 SELF_REFERENCE_ROOTS = 5  # the first n/5 rows have no parent
 PAIR_MULTIPLIER = 1_000_003
+FEISTEL_ROUNDS = 2
+PARENTS_PER_BLOCK = 64
 
 
 def autoincrement(df: DataFrame, columns: Sequence[str], position: Column) -> DataFrame:
@@ -140,28 +143,49 @@ def pair_multiplier(total: int) -> int:
     return a
 
 
+def spread_multiplier(total: int) -> int:
+    """About total / golden ratio, without common divisor with ``total``: multiples of it lie far apart."""
+    a = max(int(total * 0.6180339887498949), 1)
+    while math.gcd(a, total) != 1:
+        a += 1
+    return a
+
+
+def spread_position(position: Column, total: int) -> Column:
+    """A bijection of 0..total-1 that sends neighbours far apart."""
+    wide = "decimal(38,0)"
+    product = position.cast("decimal(18,0)") * F.lit(spread_multiplier(total)).cast("decimal(19,0)")
+    return ((product.cast(wide) + F.lit(total // 3).cast(wide)).cast(wide) % F.lit(total).cast("decimal(19,0)")).cast("bigint")
+
+
 def junction_codes(
-    df: DataFrame, position: str, sizes: Sequence[int], n_rows: int
+    df: DataFrame, position: str, sizes: Sequence[int], n_rows: int, *, seed: int = 0, table: str = "junction"
 ) -> DataFrame:
-    """Add ``ix0, ix1, ...``: distinct index tuples by an affine permutation.
+    """Add ``ix0, ix1, ...``: distinct index tuples, spread evenly over all parents.
 
-    Position p maps to (a*p + c) mod (n0*n1*...), split in mixed radix; a has no common
-    divisor with the modulus, so tuples never repeat and nothing is shuffled.
+    The position's digits in mixed radix are the first tuple.  Then each digit in turn is moved by a draw
+    from the others, modulo its own size: a Feistel network whose halves are the digits themselves, so
+    every round is a bijection of the tuples whatever the sizes, and nothing is shuffled.
+    A parent's number of tuples follows a draw without replacement: about n_rows / size, with deviations of its root.
     """
     total = math.prod(sizes)
     if n_rows > total:
         raise ValueError(f"{n_rows} distinct pairs asked for, only {total} exist")
-    number = "decimal(38,0)"
-    code = (
-        F.col(position).cast("decimal(16,0)") * F.lit(pair_multiplier(total)).cast("decimal(8,0)")
-        + F.lit(total // 3).cast("decimal(36,0)")
-    ).cast(number) % F.lit(total).cast("decimal(36,0)")
-    df = df.withColumn("_code", code)
-    for k in reversed(range(len(sizes))):
-        n = F.lit(sizes[k]).cast("decimal(18,0)")
-        df = df.withColumn(f"ix{k}", (F.col("_code") % n).cast("bigint"))
-        df = df.withColumn("_code", ((F.col("_code") - F.col(f"ix{k}").cast("decimal(18,0)")) / n).cast(number))
-    return df.drop("_code")
+    if len(sizes) == 1:
+        return df.withColumn("ix0", spread_position(F.col(position), total))
+    rest = F.col(position).cast("bigint")
+    digits = {}
+    for k, n in enumerate(sizes):
+        size = F.lit(n).cast("bigint")
+        digits[f"ix{k}"] = rest % size
+        rest = F.call_function("div", rest, size)
+    df = df.withColumns(digits)
+    for r in range(FEISTEL_ROUNDS):
+        for k, n in enumerate(sizes):
+            others = F.concat_ws(":", *[F.col(f"ix{j}").cast("string") for j in range(len(sizes)) if j != k])
+            moved = F.col(f"ix{k}") + draw(seed, table, f"pair{r}:{k}", others)
+            df = df.withColumn(f"ix{k}", moved % F.lit(n).cast("bigint"))
+    return df
 
 
 def fill_junction(
@@ -171,6 +195,8 @@ def fill_junction(
     position: str,
     n_rows: int,
     dense: Sequence[tuple[int, int] | None] = (),
+    seed: int = 0,
+    table: str = "junction",
 ) -> DataFrame:
     """Fill the foreign keys ``(parent, columns, ref_columns)`` with distinct combinations.
 
@@ -179,7 +205,7 @@ def fill_junction(
     """
     dense = list(dense) or [None] * len(parents)
     sizes = [d[1] if d else p.count() for (p, _, _), d in zip(parents, dense, strict=True)]
-    out = junction_codes(df, position, sizes, n_rows)
+    out = junction_codes(df, position, sizes, n_rows, seed=seed, table=table)
     for k, ((parent, columns, refs), known) in enumerate(zip(parents, dense, strict=True)):
         ix = f"ix{k}"
         if known:
@@ -194,6 +220,47 @@ def fill_junction(
     return out.select(*df.columns)
 
 
+def fill_within_capacity(
+    child: DataFrame,
+    parent: DataFrame,
+    columns: Sequence[str],
+    ref_columns: Sequence[str],
+    capacity: Column | int,
+    *,
+    position: str,
+    n_rows: int,
+) -> DataFrame:
+    """Draw parents without replacement: a parent row is used at most ``capacity`` times.
+
+    Each parent has as many slots as its capacity, numbered one parent after another; positions 0..n_rows-1 of
+    the children are sent to distinct slots by a bijection.  Slots and parents meet by blocks of slots that hold about
+    PARENTS_PER_BLOCK parents.  A capacity of 1 makes a UNIQUE foreign key.  Rows of the parent with a NULL
+    in the key or without capacity are not used; ValueError if the slots do not suffice.
+    """
+    names = [f"_ref{k}" for k in range(len(columns))]
+    cap = capacity if isinstance(capacity, Column) else F.lit(capacity)
+    refs = list(ref_columns)
+    slots = parent.dropna(subset=refs).select(*refs, cap.cast("bigint").alias("_cap")).where("_cap > 0")
+    total, parents = slots.agg(F.coalesce(F.sum("_cap"), F.lit(0)), F.count("*")).first()
+    if n_rows > total:
+        raise ValueError(f"{n_rows} children for parents of capacity {total}")
+    if not n_rows:
+        return child
+    slots = slots.withColumn("_bucket", F.substring(F.md5(key_text(refs)), 1, PREFIX_LENGTH))
+    within = W.partitionBy("_bucket").orderBy(*refs).rowsBetween(W.unboundedPreceding, -1)
+    offsets = slots.groupBy("_bucket").agg(F.sum("_cap").alias("_n")).select("_bucket", running_before("_n", "_bucket").alias("_offset"))
+    slots = slots.withColumn("_before", F.coalesce(F.sum("_cap").over(within), F.lit(0)))
+    slots = slots.join(F.broadcast(offsets), "_bucket").withColumn("_start", F.col("_offset") + F.col("_before"))  # 16^PREFIX_LENGTH rows at most
+    width = max(1, PARENTS_PER_BLOCK * total // parents)
+    blocks = F.sequence(F.expr(f"_start div {width}"), F.expr(f"(_start + _cap - 1) div {width}"))
+    slots = slots.select(
+        F.explode(blocks).alias("_block"), "_start", "_cap", *[F.col(r).alias(n) for r, n in zip(refs, names, strict=True)]
+    )
+    placed = child.withColumn("_slot", spread_position(F.col(position), total)).withColumn("_block", F.expr(f"_slot div {width}"))
+    joined = placed.join(slots, (placed["_block"] == slots["_block"]) & F.expr("_slot >= _start AND _slot < _start + _cap"))
+    return _with_columns(joined, {c: F.col(n) for c, n in zip(columns, names, strict=True)}, child)
+
+
 def _with_columns(df: DataFrame, values: dict[str, Column], shape: DataFrame | None = None) -> DataFrame:
     """Set columns, in the column order and types of ``shape``."""
     shape = df if shape is None else shape

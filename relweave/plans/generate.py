@@ -20,6 +20,7 @@ from relweave.operators import constraints as C
 from relweave.operators import keys as K
 from relweave.operators.catalog import map_columns
 from relweave.operators.coherence import geo_coherence
+from relweave.operators.positions import dense_index
 from relweave.plans.spec import TableSpec, add_spec_columns
 
 _NUMBERS = {"random_int", "random_float", "random_decimal", "age", "latitude", "longitude", "price"}
@@ -99,8 +100,12 @@ def key_frame(spark: SparkSession, table: S.Table, n: int) -> DataFrame:
 def add_columns(
     df: DataFrame, table: S.Table, mappings: Mapping[str, GeneratorMapping], *, seed: int
 ) -> DataFrame:
-    """Add the generated columns to a frame of keys: one narrow projection, no shuffle."""
-    out = []
+    """Add the generated columns to a frame of keys: one narrow projection, no shuffle.
+
+    Columns that are not the table's stay.
+    """
+    named = {c.name for c in table.columns}
+    out = [F.col(c) for c in df.columns if c != "_row" and c not in named]
     for c in table.columns:
         if c.name in df.columns:
             out.append(F.col(c.name))
@@ -175,27 +180,50 @@ def _dense_key(db: S.Database, rows: Mapping[str, int], fk: S.ForeignKey) -> tup
     return None
 
 
+def _unique_key_sets(table: S.Table, left: Collection[S.ForeignKey], done: Mapping[str, DataFrame]) -> list[list[S.ForeignKey]]:
+    """Foreign keys that must be drawn without repeating: those that make up a primary key or UNIQUE set by themselves.
+
+    The smallest sets come first; a set that holds an earlier one is unique with it.
+    """
+    sets = [set(table.primary_key)] if table.primary_key else []
+    sets += [set(columns) for columns in table.unique_sets]
+    out: list[list[S.ForeignKey]] = []
+    held: list[set[str]] = []
+    for columns in sorted(sets, key=len):
+        own = [fk for fk in left if set(fk.columns) <= columns and fk.ref_table != table.name and fk.ref_table in done]
+        if columns != {c for fk in own for c in fk.columns} or any(columns >= h for h in held):
+            continue
+        if any(columns & h for h in held):
+            raise C.ConstraintError(table.name, ", ".join(sorted(columns)), "UNIQUE over foreign keys of another UNIQUE set", 0)
+        out.append(own)
+        held.append(columns)
+    return out
+
+
 def _relate(
-    df: DataFrame, table: S.Table, db: S.Database, done: Mapping[str, DataFrame],
+    df: DataFrame, table: S.Table, db: S.Database, done: Mapping[str, DataFrame], existing: Collection[str],
     rows: Mapping[str, int], deferred: Collection[S.ForeignKey], seed: int,
 ) -> DataFrame:
     n = rows[table.name]
-    left = [fk for fk in table.foreign_keys if fk not in deferred]
-    pk = set(table.primary_key)
-    pk_fks = [fk for fk in left if set(fk.columns) <= pk and fk.ref_table != table.name]
-    if table.is_junction and pk == {c for fk in pk_fks for c in fk.columns} and all(
-        fk.ref_table in done for fk in pk_fks
-    ):
-        df = K.fill_junction(
-            df, [(done[fk.ref_table], fk.columns, fk.ref_columns) for fk in pk_fks],
-            position="_row", n_rows=n, dense=[_dense_key(db, rows, fk) for fk in pk_fks],
-        )
-        left = [fk for fk in left if fk not in pk_fks]
+    left = [fk for fk in table.foreign_keys if fk not in deferred and set(fk.columns) <= set(df.columns)]
+    known = {fk: None if fk.ref_table in existing else _dense_key(db, rows, fk) for fk in left if fk.ref_table in done}
+
+    def parent(fk: S.ForeignKey) -> DataFrame:
+        return done[fk.ref_table].dropna(subset=list(fk.ref_columns)) if fk.ref_table in existing else done[fk.ref_table]
+
+    for keys in _unique_key_sets(table, left, done):
+        try:
+            df = K.fill_junction(
+                df, [(parent(fk), fk.columns, fk.ref_columns) for fk in keys], position="_row", n_rows=n,
+                dense=[known[fk] for fk in keys], seed=seed, table=table.name,
+            )
+        except ValueError as short:
+            raise C.ConstraintError(table.name, ", ".join(c for fk in keys for c in fk.columns), "UNIQUE over foreign keys", 0) from short
+        left = [fk for fk in left if fk not in keys]
     for fk in left:
         if fk.ref_table in done:
             df = K.fill_fk(
-                df, done[fk.ref_table], fk.columns, fk.ref_columns, seed=seed, table=table.name,
-                row_id="_row", dense=_dense_key(db, rows, fk),
+                df, parent(fk), fk.columns, fk.ref_columns, seed=seed, table=table.name, row_id="_row", dense=known[fk],
             )
     return df
 
@@ -221,16 +249,23 @@ def generate_database(
     exclude: Collection[str] = (),
     specs: Mapping[str, TableSpec] | None = None,
     places: DataFrame | None = None,
+    existing: Mapping[str, DataFrame] | None = None,
 ) -> Generated:
     """Tables in parent-first order: generate, fill keys, repair, then close cycles.
 
     ``rows`` is one number or a number per table.  An excluded table is absent and keys to
     it stay NULL.  ``specs`` gives some tables a specification instead of the name rules.
+
+    ``existing`` gives tables that are there already: their rows and columns stay as they are, other tables
+    refer to their keys, and columns of the schema that they lack are generated for them.  They need
+    their primary key.  UNIQUE sets made of foreign keys alone are drawn without repeating.
     """
+    existing = dict(existing or {})
     order, deferred = S.table_order(db)
     order = [name for name in order if name not in set(exclude)]
     counts = {
-        name: rows if isinstance(rows, int) else rows.get(name, default_rows) for name in order
+        name: existing[name].count() if name in existing else rows if isinstance(rows, int) else rows.get(name, default_rows)
+        for name in order
     }
     mappings = column_mappings(spark, db)
     all_domains = C.database_domains(spark, db)
@@ -238,23 +273,50 @@ def generate_database(
     for name in order:
         table, n = db.table(name), counts[name]
         later = [fk for t, fk in deferred if t == name]
+        whole, given = table, existing.get(name)
+        if given is not None:
+            table = _lacking(table, given)
+            if not table.columns:
+                done[name] = given
+                continue
+            if specs and name in specs:
+                raise ValueError(f"columns that existing table {name} lacks follow the name rules, not a specification")
+            empty = [F.lit(None).cast(c.spark_type).alias(c.name) for c in table.columns if c.name in table.fk_columns]
+            df = dense_index(given, list(whole.primary_key), index="_row").select("_row", *given.columns, *empty)
+        else:
+            df = key_frame(spark, table, n)
         # keys first: their joins move keys only, the wide columns are computed afterwards
-        df = _relate(key_frame(spark, table, n), table, db, done, counts, later, seed)
+        df = _relate(df, table, db, done, existing, counts, later, seed)
         if specs and name in specs:
             df = add_spec_columns(df, table, specs[name], seed=seed)
         else:
             own = {c.name: mappings[(name, c.name)] for c in table.columns}
             df = add_columns(df, table, own, seed=seed)
-        domains = all_domains[name]
+        domains = {c: d for c, d in all_domains[name].items() if c in {own.name for own in table.columns}}
         df = geo_coherence(df, seed=seed, table=name, row_id="_row", places=places)
         df = C.repair_not_null(df, table, seed=seed, row_id="_row", domains=domains)
         df = C.repair_check(df, domains, table, seed=seed, row_id="_row")
         df = _make_unique(df, table, n, domains, seed)
-        done[name] = _relate_to_itself(df, table, n, seed)  # last: it copies final key values
+        df = _relate_to_itself(df, table, n, seed)  # last: it copies final key values
+        done[name] = df.select("_row", *[c.name for c in whole.columns])
     for name, fk in deferred:
-        if name in done and fk.ref_table in done:
+        if name in done and fk.ref_table in done and not (name in existing and set(fk.columns) <= set(existing[name].columns)):
             done[name] = K.fill_fk(
-                done[name], done[fk.ref_table], fk.columns, fk.ref_columns, seed=seed,
-                table=name, row_id="_row", dense=_dense_key(db, counts, fk),
+                done[name], done[fk.ref_table], fk.columns, fk.ref_columns, seed=seed, table=name, row_id="_row",
+                dense=None if fk.ref_table in existing else _dense_key(db, counts, fk),
             )
-    return Generated({n: df.drop("_row") for n, df in done.items()}, order, counts)
+    made = {n: df if df is existing.get(n) else df.drop("_row") for n, df in done.items()}
+    return Generated(made, order, counts)
+
+
+def _lacking(table: S.Table, given: DataFrame) -> S.Table:
+    """The columns a given table has not, with the keys and UNIQUE sets made of them alone."""
+    if not table.primary_key or not set(table.primary_key) <= set(given.columns):
+        raise ValueError(f"existing table {table.name} needs its primary key")
+    names = {c.name for c in table.columns} - set(given.columns)
+    return replace(
+        table, columns=tuple(c for c in table.columns if c.name in names), primary_key=(),
+        foreign_keys=tuple(fk for fk in table.foreign_keys if set(fk.columns) <= names),
+        indexes=tuple(ix for ix in table.indexes if set(ix.columns) <= names),
+    )
+

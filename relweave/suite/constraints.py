@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from relweave import schema as S
 from relweave.functions.draws import Cell
 from relweave.operators import constraints as C
+from relweave.operators.allocation import allocate_unique, integers
 from relweave.suite.base import SEED, base36_sql, between_sql, draw_sql, letters_sql, pick_sql, query
 
 LINES = S.Table(
@@ -146,16 +147,13 @@ def con_unique_keepers(t):
     "(SELECT count(*) FROM (SELECT DISTINCT l_partkey FROM lineitem)) AS kept_first FROM lineitem",
 )
 def con_unique_rounds(t):
-    """Repair a column where nearly every value repeats; only the outcome is comparable."""
+    """Repair a column where nearly every value repeats: first rows stay, the others get free values of a domain of 2^31."""
     df = t.lineitem.selectExpr(
         "xxhash64(l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS row",
         "l_partkey AS code",
     )
 
-    def redraw(attempt: int):
-        return {"code": Cell(SEED, "lineitem", f"code:unique{attempt}", F.col("row")).below(2**31)}
-
-    fixed = C.repair_unique(df, ["code"], redraw, row_id="row", table="lineitem")
+    fixed = allocate_unique(df, ["code"], "code", integers(0, 2**31 - 1), row_id="row")
     before = df.select("row", F.col("code").alias("was"))
     same = F.count_if(F.col("code") == F.col("was"))
     return fixed.join(before, "row").agg(
@@ -188,6 +186,56 @@ def con_unique_composite(t):
     )
 
 
+_LINE = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate"
+
+
+@query(
+    "con_unique_tight",
+    "WITH n AS (SELECT row_number() OVER (ORDER BY o_custkey, o_orderkey) AS r, o_orderkey, o_custkey FROM orders), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1 AS kept FROM n) "
+    "SELECT code, CASE WHEN kept THEN o_custkey::VARCHAR END AS kept_key FROM "
+    "(SELECT unnest(range((SELECT count(*) FROM orders))) AS code) LEFT JOIN (SELECT * FROM k WHERE kept) ON o_custkey = code",
+)
+def con_unique_tight(t):
+    """A domain with exactly as many values as rows: afterwards every value stands once, the first rows' own ones with them."""
+    df = t.orders.selectExpr("o_orderkey AS row", "o_custkey AS code", "o_custkey AS was")
+    fixed = allocate_unique(df, ["code"], "code", integers(0, t.orders.count() - 1), row_id="row")
+    first = df.groupBy("was").agg(F.min("row").alias("row"))
+    kept = first.select("row", F.col("was").alias("kept"))
+    return fixed.join(kept, "row", "left").select("code", F.when(F.col("kept") == F.col("code"), F.col("kept").cast("string")).alias("kept_key"))
+
+
+@query(
+    "con_unique_free_values",
+    "WITH u AS (SELECT o_orderkey AS row, o_custkey AS code, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) > 1 AS extra FROM orders), "
+    "f AS (SELECT code, row_number() OVER (ORDER BY code) AS n FROM (SELECT unnest(range(2 * (SELECT count(*) FROM orders))) AS code) "
+    "WHERE code NOT IN (SELECT o_custkey FROM orders)) "
+    "SELECT code FROM u WHERE NOT extra UNION ALL SELECT code FROM f WHERE n <= (SELECT count(*) FROM u WHERE extra)",
+)
+def con_unique_free_values(t):
+    """Rows in excess take the smallest free values of the domain."""
+    df = t.orders.selectExpr("o_orderkey AS row", "o_custkey AS code")
+    return allocate_unique(df, ["code"], "code", integers(0, 2 * t.orders.count() - 1), row_id="row").select("code")
+
+
+@query(
+    "con_unique_tight_groups",
+    "WITH g AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_linenumber) AS own FROM lineitem GROUP BY 1) "
+    "SELECT l_orderkey, n AS rows, n AS distinct_numbers, own AS kept FROM g",
+)
+def con_unique_tight_groups(t):
+    """Line numbers made unique inside their order, in a domain no larger than the largest order."""
+    df = t.lineitem.selectExpr(f"xxhash64({_LINE}) AS row", "l_orderkey", "l_linenumber")
+    most = t.lineitem.groupBy("l_orderkey").count().agg(F.greatest(F.max("count"), F.lit(7))).first()[0] or 7
+    fixed = allocate_unique(df, ["l_orderkey", "l_linenumber"], "l_linenumber", integers(1, most, "int"), row_id="row")
+    was = df.select("row", F.col("l_linenumber").alias("was"))
+    first = df.groupBy("l_orderkey", "l_linenumber").agg(F.min("row").alias("row")).select("row", F.lit(1).alias("first"))
+    return fixed.join(was, "row").join(first, "row", "left").groupBy("l_orderkey").agg(
+        F.count("*").alias("rows"), F.countDistinct("l_linenumber").alias("distinct_numbers"),
+        F.count_if((F.col("was") == F.col("l_linenumber")) & F.col("first").isNotNull()).alias("kept"),
+    )
+
+
 _suffix = f"('_' || {base36_sql('o_orderkey')})"
 
 

@@ -170,15 +170,25 @@ def key_autoincrement(t):
     return K.autoincrement(df, ["id"], F.col("o_orderkey"))
 
 
-_total = "((SELECT count(*) FROM part) * (SELECT count(*) FROM supplier))"
-_code = f"((o_orderkey::HUGEINT * 1000003 + {_total} // 3) % {_total})"
+_P, _S = "(SELECT count(*) FROM part)", "(SELECT count(*) FROM supplier)"
+
+
+def _pairs_sql(row: str, source: str) -> str:
+    """Two rounds of the network over (position % parts, position // parts)."""
+    steps = f"SELECT {row} AS r, {row} % {_P} AS a, {row} // {_P} AS b FROM {source}"
+    for k in range(2):
+        steps = f"SELECT r, (a + {draw_sql('orders', f'pair{k}:0', 'b')}) % {_P} AS a, b FROM ({steps})"
+        steps = f"SELECT r, a, (b + {draw_sql('orders', f'pair{k}:1', 'a')}) % {_S} AS b FROM ({steps})"
+    return steps
+
+
+_part = index_sql("part", "p_partkey", "p_partkey")
 
 
 @query(
     "key_junction",
-    f"WITH j AS (SELECT o_orderkey, {_code} // (SELECT count(*) FROM supplier) AS a, {_code} % (SELECT count(*) FROM supplier) AS b FROM orders) "
-    f"SELECT j.o_orderkey, p.p_partkey AS part_id, s.s_suppkey AS supp_id FROM j "
-    f"JOIN ({index_sql('part', 'p_partkey', 'p_partkey')}) p ON p.pos = j.a JOIN ({_supp}) s ON s.pos = j.b",
+    f"SELECT j.r AS o_orderkey, p.p_partkey AS part_id, s.s_suppkey AS supp_id FROM ({_pairs_sql('o_orderkey', 'orders')}) j "
+    f"JOIN ({_part}) p ON p.pos = j.a JOIN ({_supp}) s ON s.pos = j.b",
 )
 def key_junction(t):
     none = F.lit(None).cast("bigint")
@@ -186,7 +196,61 @@ def key_junction(t):
     return K.fill_junction(
         df,
         [(t.part, ["part_id"], ["p_partkey"]), (t.supplier, ["supp_id"], ["s_suppkey"])],
-        position="o_orderkey", n_rows=t.orders.count(),
+        position="o_orderkey", n_rows=t.orders.count(), seed=SEED, table="orders",
+    )
+
+
+@query(
+    "key_junction_shares",
+    f"WITH j AS MATERIALIZED ({_pairs_sql('o_orderkey', 'orders')}) "
+    f"SELECT 'part' AS parent, p_partkey AS key, count(a) AS pairs FROM ({_part}) LEFT JOIN j ON a = pos GROUP BY 2 "
+    f"UNION ALL SELECT 'supplier', s_suppkey, count(b) FROM ({_supp}) LEFT JOIN j ON b = pos GROUP BY 2",
+)
+def key_junction_shares(t):
+    """How many pairs each parent got, parents without a pair included."""
+    pairs = key_junction(t)
+    out = []
+    for name, parent, key, column in (("part", t.part, "p_partkey", "part_id"), ("supplier", t.supplier, "s_suppkey", "supp_id")):
+        counts = pairs.groupBy(F.col(column).alias("key")).agg(F.count("*").alias("pairs"))
+        every = parent.select(F.col(key).alias("key")).join(counts, "key", "left")
+        out.append(every.select(F.lit(name).alias("parent"), "key", F.coalesce("pairs", F.lit(0)).alias("pairs")))
+    return out[0].unionByName(out[1])
+
+
+_slots = "(SELECT sum(5 + c_custkey % 20)::BIGINT FROM customer)"
+_multiplier = (
+    f"(SELECT min(x) FROM range(floor({_slots} * 0.6180339887498949::DOUBLE)::BIGINT, floor({_slots} * 0.6180339887498949::DOUBLE)::BIGINT + 1000) r(x) "
+    f"WHERE gcd(x, {_slots}) = 1)"
+)
+
+
+@query(
+    "key_fk_capacity",
+    "WITH p AS (SELECT c_custkey, 5 + c_custkey % 20 AS cap, sum(5 + c_custkey % 20) OVER w - (5 + c_custkey % 20) AS first FROM customer "
+    "WINDOW w AS (ORDER BY substr(md5(c_custkey::VARCHAR), 1, 4), c_custkey)), "
+    f"n AS (SELECT {_slots} AS total, {_multiplier} AS a), "
+    "o AS (SELECT o_orderkey, ((o_orderkey::HUGEINT * a + total // 3) % total)::BIGINT AS slot FROM orders, n) "
+    "SELECT o_orderkey, c_custkey AS buyer FROM o JOIN p ON slot >= first AND slot < first + cap",
+)
+def key_fk_capacity(t):
+    """Buyers drawn without replacement: a customer gets 5 to 24 orders at most."""
+    child = t.orders.select("o_orderkey", F.lit(None).cast("bigint").alias("buyer"))
+    return K.fill_within_capacity(
+        child, t.customer, ["buyer"], ["c_custkey"], 5 + F.col("c_custkey") % 20, position="o_orderkey", n_rows=t.orders.count(),
+    )
+
+
+@query(
+    "key_fk_unique",
+    "SELECT count(*) AS rows, count(*) AS distinct_keys, 0::BIGINT AS orphans FROM customer",
+)
+def key_fk_unique(t):
+    """One to one: every customer row gets an order of its own."""
+    child = t.customer.select("c_custkey", F.lit(None).cast("bigint").alias("order"))
+    made = K.fill_within_capacity(child, t.orders, ["order"], ["o_orderkey"], 1, position="c_custkey", n_rows=t.customer.count())
+    orders = t.orders.select(F.col("o_orderkey").alias("order"), F.lit(True).alias("there"))
+    return made.join(orders, "order", "left").agg(
+        F.count("*").alias("rows"), F.countDistinct("order").alias("distinct_keys"), F.count_if(F.col("there").isNull()).alias("orphans")
     )
 
 

@@ -11,14 +11,15 @@ from relweave.operators import fidelity as Q
 from relweave.operators import integrity as I
 from relweave.operators import keys as K
 from relweave.plans import report as R
-from relweave.plans.generate import column_mappings, generate_database, generate_table
+from relweave.plans.generate import generate_database
 from relweave.sources import audit as A
 from relweave.suite.base import (
     SEED, STAR, Tables, base36_sql, between_sql, draw_sql, hex_sql, pick_sql, query, star_tables, unit_sql,
 )
-from relweave.suite.fidelity import EVEN, LINEITEM, ODD
+from relweave.suite.fidelity import EVEN, EVEN_ORDERS, LINEITEM, ODD, ODD_ORDERS, ORDERS, ORDERS_ACCURACY, orders_detection
 from relweave.suite.fidelity import report_sql as fidelity_sql
 from relweave.suite.integrity import report_sql as integrity_sql
+from relweave.suite.keys import index_sql
 
 # --- audit ------------------------------------------------------------------------
 _KINDS = 7  # of seven lines, three are malformed
@@ -88,6 +89,30 @@ def quality(t):
     )
 
 
+@query(
+    "rpt_quality_detection",
+    f"WITH i AS ({integrity_sql()}), f AS ({fidelity_sql(ORDERS, EVEN_ORDERS, ODD_ORDERS)}), d AS (SELECT {ORDERS_ACCURACY} AS a) "
+    "SELECT '1.0.0' AS version, (SELECT count(*) FROM i) AS checks, (SELECT bool_and(passed) FROM i) AS integrity_passed, "
+    "(SELECT count(*) FROM f) AS metrics, round((SELECT avg(score) FROM f), 6) AS fidelity_score, (SELECT avg(score) >= 0.7 FROM f) AS fidelity_passed, "
+    "1::BIGINT AS detections, round(a, 6) AS detection_score, a <= 0.6 AS detection_passed, "
+    "(SELECT bool_and(passed) FROM i) AND (SELECT avg(score) >= 0.7 FROM f) AND a <= 0.6 AS passed FROM d",
+)
+def quality_with_detection(t):
+    """The whole report with its detection block."""
+    tables = star_tables(t)
+    even, odd = t.orders.where("o_custkey % 2 = 0"), t.orders.where("o_custkey % 2 = 1").withColumn("o_custkey", F.col("o_custkey") - 1)
+    report = R.quality_report(
+        I.validate_integrity(tables, STAR), R.row_counts(tables), schema_hash="abc", engine="rules", seed=SEED,
+        fidelity=Q.table_fidelity(even, odd, ORDERS), detection=orders_detection(t), timestamp="2025-01-01T00:00:00",
+    )
+    return report.select(
+        "version", F.size("integrity.checks").cast("bigint").alias("checks"), F.col("integrity.passed").alias("integrity_passed"),
+        F.size("fidelity.metrics").cast("bigint").alias("metrics"), F.round("fidelity.overall_score", 6).alias("fidelity_score"),
+        F.col("fidelity.passed").alias("fidelity_passed"), F.size("detection.metrics").cast("bigint").alias("detections"),
+        F.round("detection.overall_score", 6).alias("detection_score"), F.col("detection.passed").alias("detection_passed"), "passed",
+    )
+
+
 _bands = (
     "CASE WHEN v >= 0.8 THEN 'green' WHEN v >= 0.5 THEN 'yellow' ELSE 'red' END AS fidelity_band, "
     "CASE WHEN v <= 0.55 THEN 'green' WHEN v <= 0.7 THEN 'yellow' ELSE 'red' END AS detection_band"
@@ -142,12 +167,17 @@ def shop() -> S.Database:
 
 
 def shop_tables(t: Tables):
-    """As many users, products and lines as there are customers, parts and lines."""
-    rows = {
-        "users": t.customer.count(), "categories": t.nation.count(), "products": t.part.count(),
-        "tags": t.supplier.count(), "product_tags": t.orders.count(), "order_lines": t.lineitem.count(),
+    """A shop around rows that exist: customers are its users, parts its products, suppliers its tags.
+
+    Users and products keep the columns given here; the others are generated for them.
+    """
+    existing = {
+        "users": t.customer.selectExpr("c_custkey AS id", "c_name AS full_name"),
+        "products": t.part.selectExpr("p_partkey AS id", "cast(p_retailprice AS decimal(10,2)) AS price"),
+        "tags": t.supplier.selectExpr("s_name AS label", "string(s_nationkey) AS color"),
     }
-    return generate_database(t.spark, shop(), rows, seed=SEED)
+    rows = {"categories": t.nation.count(), "product_tags": t.orders.count(), "order_lines": t.lineitem.count()}
+    return generate_database(t.spark, shop(), rows, seed=SEED, existing=existing)
 
 
 def _all_pass_sql() -> str:
@@ -183,9 +213,8 @@ def shop_rows(t):
     return R.row_counts(shop_tables(t).tables)
 
 
-# Generated tables have as many rows as customer (users) and lineitem (order_lines); their
-# row numbers are 0, 1, 2, ...
-_row = "(SELECT c_custkey AS r FROM customer)"
+# Existing rows are numbered by (md5 prefix of the key, key); new ones 0, 1, 2, ...
+_users = index_sql("customer", "c_custkey", "c_custkey, c_name")
 _place = f"{draw_sql('users', 'geo', 'r')} % {len(words.PLACES)}"
 _places = ", ".join(f"({i}, '{c}', '{s}', '{z}')" for i, (c, s, z) in enumerate(words.PLACES))
 _mail = (
@@ -193,15 +222,16 @@ _mail = (
     f"|| {between_sql('users', 'email', 'r', 0, 9999, 2)} || '@' || {pick_sql(words.MAIL_DOMAINS, 'users', 'email', 'r', 3)}"
 )
 _age = between_sql("users", "age", "r", 18, 90)
+_products = index_sql("part", "p_partkey", "p_partkey")
 
 
 @query(
     "pipe_shop_users",
-    f"SELECT r + 1 AS id, substr({_mail}, 1, 60 - length('_' || {base36_sql('r')})) || '_' || {base36_sql('r')} AS email, "
-    f"{pick_sql(words.FIRST_NAMES, 'users', 'full_name', 'r')} || ' ' || {pick_sql(words.LAST_NAMES, 'users', 'full_name', 'r', 1)} AS full_name, "
+    f"SELECT c_custkey AS id, substr({_mail}, 1, 60 - length('_' || {base36_sql('r')})) || '_' || {base36_sql('r')} AS email, c_name AS full_name, "
     f"p.city, p.state, p.zip AS zip_code, (CASE WHEN {_age} BETWEEN 21 AND 65 THEN {_age} ELSE {between_sql('users', 'age:check', 'r', 21, 65)} END)::INT AS age, "
-    f"1 + {draw_sql('users', 'fk:favourite_id', 'r')} % (SELECT count(*) FROM part) AS favourite_id, "
-    f"{unit_sql('users', 'is_active', 'r')} < 0.5::DOUBLE AS is_active FROM {_row} JOIN (VALUES {_places}) p(ix, city, state, zip) ON p.ix = {_place}",
+    f"f.p_partkey AS favourite_id, {unit_sql('users', 'is_active', 'r')} < 0.5::DOUBLE AS is_active "
+    f"FROM (SELECT *, pos AS r FROM ({_users})) u JOIN (VALUES {_places}) p(ix, city, state, zip) ON p.ix = {_place} "
+    f"JOIN ({_products}) f ON f.pos = {draw_sql('users', 'fk:favourite_id', 'r')} % (SELECT count(*) FROM part)",
 )
 def shop_users(t):
     return shop_tables(t).tables["users"]
@@ -216,12 +246,11 @@ _uuid_text = (
 
 @query(
     "pipe_shop_lines",
-    f"SELECT 1 + {draw_sql('order_lines', 'fk:user_id', 'r')} % (SELECT count(*) FROM customer) AS user_id, "
-    f"((r::HUGEINT * {K.pair_multiplier(2**31)} + {2**31 // 3}) % {2**31})::INT AS line_no, "
-    f"1 + {draw_sql('order_lines', 'fk:product_id', 'r')} % (SELECT count(*) FROM part) AS product_id, "
-    f"{between_sql('order_lines', 'quantity', 'r', 1, 100)}::INT AS quantity, {_uuid_text} AS uuid, "
+    f"SELECT u.c_custkey AS user_id, ((r::HUGEINT * {K.pair_multiplier(2**31)} + {2**31 // 3}) % {2**31})::INT AS line_no, "
+    f"p.p_partkey AS product_id, {between_sql('order_lines', 'quantity', 'r', 1, 100)}::INT AS quantity, {_uuid_text} AS uuid, "
     f"(DATE '2020-01-01' + (({draw_sql('order_lines', 'shipped', 'r')} % {TIME_SPAN}) // {DAY})::INT)::VARCHAR AS shipped "
-    "FROM (SELECT row_number() OVER () - 1 AS r FROM lineitem)",
+    f"FROM (SELECT row_number() OVER () - 1 AS r FROM lineitem) JOIN ({_users}) u ON u.pos = {draw_sql('order_lines', 'fk:user_id', 'r')} % (SELECT count(*) FROM customer) "
+    f"JOIN ({_products}) p ON p.pos = {draw_sql('order_lines', 'fk:product_id', 'r')} % (SELECT count(*) FROM part)",
 )
 def shop_lines(t):
     return shop_tables(t).tables["order_lines"].withColumn("shipped", F.col("shipped").cast("string"))
@@ -229,37 +258,16 @@ def shop_lines(t):
 
 def star_synthetic(t: Tables):
     """New orders and lines for the customers, parts and suppliers that exist."""
-    orders, lines = STAR.table("orders"), STAR.table("lineitem")
-    mapped = column_mappings(t.spark, S.Database((orders, lines)))
-
-    def table(schema: S.Table, n: int):
-        own = {c.name: mapped[(schema.name, c.name)] for c in schema.columns}
-        return generate_table(t.spark, schema, own, n, seed=SEED)
-
-    n_orders, n_lines = t.orders.count(), t.lineitem.count()
-    new_orders = table(orders, n_orders).withColumn("o_orderkey", F.col("_row"))
-    new_orders = K.fill_fk(
-        new_orders, t.customer, ["o_custkey"], ["c_custkey"], seed=SEED, table="orders", row_id="_row"
-    )
-    new_lines = table(lines, n_lines).withColumn("l_linenumber", F.col("_row").cast("int"))
-    new_lines = K.fill_fk(
-        new_lines, None, ["l_orderkey"], ["o_orderkey"], seed=SEED, table="lineitem", row_id="_row",
-        dense=(0, n_orders),
-    )
-    for column, parent, ref in (("l_partkey", t.part, "p_partkey"), ("l_suppkey", t.supplier, "s_suppkey")):
-        new_lines = K.fill_fk(
-            new_lines, parent, [column], [ref], seed=SEED, table="lineitem", row_id="_row"
-        )
-    made = {"orders": new_orders.drop("_row"), "lineitem": new_lines.drop("_row")}
     kept = {n: getattr(t, n) for n in ("region", "nation", "customer", "supplier", "part")}
-    return {**kept, **made}
+    rows = {"orders": t.orders.count(), "lineitem": t.lineitem.count()}
+    return generate_database(t.spark, STAR, rows, seed=SEED, existing=kept).tables
 
 
 def _star_pass_sql() -> str:
     parts = []
     for table in STAR.tables:
         parts.append(("pk_uniqueness", table.name, ", ".join(table.primary_key)))
-        parts += [("unique", table.name, ", ".join(c)) for c in table.unique_sets if table.name != "lineitem"]
+        parts += [("unique", table.name, ", ".join(c)) for c in table.unique_sets]
         parts += [("not_null", table.name, c.name) for c in table.columns if not c.nullable]
         parts += [("fk_satisfaction", table.name, ", ".join(fk.columns)) for fk in table.foreign_keys]
     values = ", ".join(f"('{a}', '{b}', '{c}', true, '')" for a, b, c in parts)
@@ -268,6 +276,6 @@ def _star_pass_sql() -> str:
 
 @query("pipe_star_integrity", _star_pass_sql())
 def star_integrity(t):
-    """The kept parents and the new rows pass every check (the index over drawn keys apart)."""
-    rows = I.validate_integrity(star_synthetic(t), STAR)
-    return rows.where("NOT (`check` = 'unique' AND `table` = 'lineitem')")
+    """The parents that exist and the new rows pass every check."""
+    return I.validate_integrity(star_synthetic(t), STAR)
+
