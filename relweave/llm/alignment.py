@@ -47,7 +47,7 @@ from relweave.llm.store import short_batches, stored
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SLICE_CHARS = 1 << 18
-MOST_PIECES = 200_000  # remembered in a task
+MOST_PIECES = 600_000  # remembered in a task
 FREQUENT = 19  # bits: at most 2^FREQUENT pairs are sent to every task
 FIELDS = {
     "n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "n_links": pa.int64(), "a_ids": pa.list_(pa.int32()), "a_ends": pa.list_(pa.int64()),

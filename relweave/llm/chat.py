@@ -1,9 +1,10 @@
 """Chat formatting in Spark's own expressions: no Python runs on the executors.
 
 A declarative template gives each role its opening and closing mark, and the turns that may
-follow a state.  A finite-state machine runs over a conversation's roles; every turn
-becomes three text segments (opening mark, escaped text, closing mark), of which only the
-texts of ``trained`` roles carry the loss flag.
+follow a state.  A finite-state machine runs over a conversation's roles: a turn moves it to the state
+of its role, by a transition the template allows or by one it does not.  Every turn
+becomes three text segments (opening mark, escaped text, closing mark); the text carries the loss flag
+if the transition led to a ``trained`` state and, unless ``train_out_of_order``, was allowed.
 
 Escaping is reversible: wherever a text holds a mark, or a mark with backslashes after its
 first character, one more backslash is put there.  Other text stays as it is.  A formatted
@@ -11,8 +12,8 @@ text can be read back: no escaped text holds a mark, so marks alone cut it into
 
 Defined cases: null roles and texts count as empty; an unknown role is written out between
 the marks for other roles; turns are ordered by number, then role, then text, null numbers
-first, so repeated rows stay and have a fixed order; a null conversation id is a
-conversation of its own; an invalid order is formatted all the same and flagged; an empty
+first, so repeated rows stay and have a fixed order; all rows without a conversation id are one
+conversation, which must fit a row too; an invalid order is formatted all the same and flagged; an empty
 table gives an empty result; other columns are not read.  One conversation is one output
 row, so its turns must fit a row.
 """
@@ -34,6 +35,7 @@ class Template:
     final: tuple[str, ...]
     trained: tuple[str, ...]
     start: str = field(default="")
+    train_out_of_order: bool = True
 
     def __post_init__(self) -> None:
         every = self.all_marks()
@@ -84,24 +86,33 @@ def _case(value: Column, choices: dict[str, Column], otherwise: Column) -> Colum
     return otherwise if out is None else out.otherwise(otherwise)
 
 
-def states(roles: Column, template: Template) -> Column:
-    """The machine's last state; null once a role may not follow."""
-    def step(state: Column, role: Column) -> Column:
-        allowed = _case(state, {s: role.isin(*rs) for s, rs in template.follows.items()}, F.lit(False))
-        return F.when(allowed, role)
+def transitions(roles: Column, template: Template) -> Column:
+    """(state, allowed) after each turn: the role becomes the state, and whether the state before lets it follow."""
+    def step(role: Column, k: Column) -> Column:
+        before = F.when(k == 0, F.lit(template.start)).otherwise(F.get(roles, k - 1))
+        allowed = _case(before, {s: role.isin(*rs) for s, rs in template.follows.items()}, F.lit(False))
+        return F.struct(role.alias("state"), allowed.alias("allowed"))
 
-    return F.aggregate(roles, F.lit(template.start), step)
+    return F.transform(roles, step)
 
 
-def segments(turns: Column, template: Template) -> Column:
-    """(text, loss) segments of an array of (role, text) turns."""
-    def of_turn(t: Column) -> Column:
-        role, text = t["role"], escape(t["text"], template)
+def end_state(moves: Column, template: Template) -> Column:
+    """The machine's last state; null if a transition was not allowed."""
+    last = F.when(F.size(moves) > 0, F.element_at(moves, -1)["state"]).otherwise(F.lit(template.start))
+    return F.when(F.forall(moves, lambda m: m["allowed"]), last)
+
+
+def segments(turns: Column, moves: Column, template: Template) -> Column:
+    """(text, loss) segments of an array of (role, text) turns and the transitions they made."""
+    def of_turn(t: Column, k: Column) -> Column:
+        role, text, move = t["role"], escape(t["text"], template), F.get(moves, k)
         name = F.concat(F.lit(template.other[0]), escape(role, template), F.lit(template.other[1]))
         opening = _case(role, {r: F.lit(m[0]) for r, m in template.marks.items()}, name)
         closing = _case(role, {r: F.lit(m[1]) for r, m in template.marks.items()}, F.lit(template.other[2]))
+        loss = move["state"].isin(*template.trained)
+        loss = loss if template.train_out_of_order else loss & move["allowed"]
         part = lambda x, loss: F.struct(x.alias("text"), loss.alias("loss"))
-        return F.array(part(opening, F.lit(False)), part(text, role.isin(*template.trained)), part(closing, F.lit(False)))
+        return F.array(part(opening, F.lit(False)), part(text, loss), part(closing, F.lit(False)))
 
     return F.flatten(F.transform(turns, of_turn))
 
@@ -115,7 +126,8 @@ def format_chats(
         F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("t"),
     )
     turns = known.groupBy("id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    made = turns.withColumn("segments", segments(F.col("turns"), template)).withColumn("end_state", states(F.col("turns.role"), template))
+    made = turns.withColumn("moves", transitions(F.col("turns.role"), template))
+    made = made.withColumn("segments", segments(F.col("turns"), F.col("moves"), template)).withColumn("end_state", end_state(F.col("moves"), template))
     return made.select(
         F.col("id").alias(conversation), F.array_join("segments.text", "").alias("formatted"), "segments",
         F.coalesce(F.col("end_state").isin(*template.final), F.lit(False)).alias("valid"), "end_state",

@@ -31,10 +31,11 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
-from relweave.llm.store import short_batches, small, stored
+from relweave.llm.store import short_batches, small, stored, unused
 from relweave.llm.words import CLASSES, SPACED, numbered, slices
 
 WINDOW_BITS = 16
@@ -149,25 +150,22 @@ def repeats(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", least_r
         F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.max(F.col("again").cast("int")).alias("twice")
     ).where("first_id < last_id OR twice = 1").select("digest", "first_id")
     later = listed.join(first, "digest").where("again OR id > first_id")
-    per_doc = later.groupBy("id").agg(F.array_sort(F.collect_set(
-        F.struct("pos", (F.col("pos") + F.col("size")).alias("stop"), "first_id")
-    )).alias("found"))
-    return per_doc.select("id", joined(F.col("found")).alias("spans"))
+    return joined(later.select("id", "pos", (F.col("pos") + F.col("size")).alias("stop"), "first_id"))
 
 
-def joined(found: Column) -> Column:
-    """Runs that meet or overlap as one span each, with the documents they come from."""
-    kind = "array<struct<start:int,stop:int,sources:array<bigint>>>"
+def joined(found: DataFrame) -> DataFrame:
+    """(id, ``spans``): runs that meet or overlap as one span each, with the documents they come from.
 
-    def add(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        new = F.struct(x["pos"].alias("start"), x["stop"].alias("stop"), F.array(x["first_id"].cast("bigint")).alias("sources"))
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["stop"], x["stop"]).alias("stop"), F.array_union(last["sources"], new["sources"]).alias("sources"))
-        return F.when(F.size(done) == 0, F.array(new)).when(
-            last["stop"] >= x["pos"], F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))
-        ).otherwise(F.concat(done, F.array(new))).cast(kind)
-
-    return F.aggregate(found, F.array().cast(kind), add)
+    A span begins where no earlier run of the document reaches.
+    """
+    order = W.partitionBy("id").orderBy("pos", "stop")
+    reach = F.max("stop").over(order.rowsBetween(W.unboundedPreceding, -1))
+    fresh = F.when(reach.isNull() | (F.col("pos") > reach), 1).otherwise(0)
+    numbered_ = found.withColumn("fresh", fresh).withColumn("span", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    spans = numbered_.groupBy("id", "span").agg(
+        F.min("pos").alias("start"), F.max("stop").alias("stop"), F.array_sort(F.collect_set("first_id")).alias("sources")
+    )
+    return spans.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "sources"))).alias("spans"))
 
 
 def without(text: Column, spans: Column) -> Column:
@@ -186,8 +184,9 @@ def without(text: Column, spans: Column) -> Column:
 
 def remove_repeats(docs: DataFrame, *, id_: str = "doc_id", text: str = "text", least_run: int = LEAST_RUN, spans: str | None = None) -> DataFrame:
     """All documents, repeated passages cut out of ``text``; ``spans`` names a column that tells what was cut."""
-    found = repeats(docs, id_=id_, text=text, least_run=least_run).select(F.col("id").alias("__id"), F.col("spans").alias("__spans"))
-    both = docs.join(small(stored(found, "spans")), F.col(id_) == F.col("__id"), "left")
-    cut = F.when(F.col("__spans").isNull(), F.col(text)).otherwise(without(F.col(text), F.col("__spans")))
-    out = both.withColumn(text, cut).drop("__id")
-    return out.drop("__spans") if spans is None else out.drop(spans).withColumnRenamed("__spans", spans)
+    own, cut_spans = unused(docs, "id", "spans")
+    found = repeats(docs, id_=id_, text=text, least_run=least_run).select(F.col("id").alias(own), F.col("spans").alias(cut_spans))
+    both = docs.join(small(stored(found, "spans")), F.col(id_) == F.col(own), "left")
+    cut = F.when(F.col(cut_spans).isNull(), F.col(text)).otherwise(without(F.col(text), F.col(cut_spans)))
+    out = both.withColumn(text, cut).drop(own)
+    return out.drop(cut_spans) if spans is None else out.drop(spans).withColumnRenamed(cut_spans, spans)

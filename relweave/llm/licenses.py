@@ -1,8 +1,8 @@
 """License scans as an exact set-similarity join of text blocks with license templates.
 
-A document's words are cut into overlapping blocks: block b begins at word ``STRIDE * b``
-and holds ``2 * STRIDE`` words, so every run of up to ``STRIDE + 1`` words lies whole in
-the block its first word belongs to.  A block meets a template when it holds at least
+A document's words are cut into overlapping blocks: block b begins at word ``stride * b``
+and holds ``2 * stride`` words, so every run of up to ``stride + 1`` words lies whole in
+the block its first word belongs to.  The stride is ``STRIDE`` words, or those of the longest template if that has more.  A block meets a template when it holds at least
 ``threshold`` of the template's distinct tokens (1.0 for phrases).
 
 Tokens are ordered globally, the rarest in all documents first; only tokens of templates
@@ -122,6 +122,7 @@ class TemplateIndex:
     def __init__(self, templates: Sequence[Template], counts: dict[str, int], threshold: float) -> None:
         self.tokens = sorted(counts, key=lambda t: (counts[t], t))
         rank = {t: i for i, t in enumerate(self.tokens)}
+        self.stride = max([STRIDE, *(len(t.words) for t in templates)])
         self.ranks = [np.array(sorted({rank[w] for w in t.words}), dtype=np.int64) for t in templates]
         self.need = [len(r) if t.phrase else ceil(threshold * len(r)) for t, r in zip(templates, self.ranks, strict=True)]
         self.phrases = {k: np.array([rank[w] for w in t.words]) for k, t in enumerate(templates) if t.phrase}
@@ -170,23 +171,23 @@ def scanner(index: TemplateIndex) -> Callable[[Column], Column]:
 
 
 def scanned(words: Words, ids: np.ndarray, index: TemplateIndex) -> list[dict]:
-    counts = np.diff(words.rows)
+    counts, stride = np.diff(words.rows), index.stride
     out = [{"n_words": int(n), "score": 0.0, "blocks": [], "places": []} for n in counts]
-    blocks_of = np.maximum(-(-counts // STRIDE), 1)
+    blocks_of = np.maximum(-(-counts // stride), 1)
     first_block = np.concatenate([[0], np.cumsum(blocks_of)])
     at = np.flatnonzero(ids >= 0)
     row = np.searchsorted(words.rows, at, side="right") - 1
     inside = at - words.rows[row]
-    own = first_block[row] + inside // STRIDE
-    before = np.flatnonzero(inside >= STRIDE)  # a block also holds the words of the next stride
+    own = first_block[row] + inside // stride
+    before = np.flatnonzero(inside >= stride)  # a block also holds the words of the next stride
     pairs = np.unique(np.stack([np.concatenate([own, own[before] - 1]), np.concatenate([ids[at], ids[at[before]]])]), axis=1)
     block, of, shared = index.meet(pairs[0], pairs[1])
     for b, k, n in zip(block.tolist(), of.tolist(), shared.tolist(), strict=True):
         r = int(np.searchsorted(first_block, b, side="right")) - 1
-        start = (b - int(first_block[r])) * STRIDE
+        start = (b - int(first_block[r])) * stride
         if k in index.phrases:
             phrase = index.phrases[k]
-            low, high = int(words.rows[r]) + start, int(min(words.rows[r] + start + STRIDE, words.rows[r + 1] - len(phrase) + 1))
+            low, high = int(words.rows[r]) + start, int(min(words.rows[r] + start + stride, words.rows[r + 1] - len(phrase) + 1))
             starts = np.arange(low, max(low, high))
             for j, token in enumerate(phrase):
                 starts = starts[ids[starts + j] == token]
@@ -201,7 +202,7 @@ def scanned(words: Words, ids: np.ndarray, index: TemplateIndex) -> list[dict]:
 def scan_licenses(docs: DataFrame, *, templates: Sequence[Template] = TEMPLATES, text: str = "text", threshold: float = THRESHOLD, found: str = "licenses") -> DataFrame:
     """``docs`` with ``found``: number of words, best share of a template met, met blocks, phrase places.
 
-    Template numbers are positions in ``templates``; no template may exceed ``STRIDE`` words.
+    Template numbers are positions in ``templates``, which may have any length.
     """
     tokens = sorted({w for t in templates for w in t.words})
     index = TemplateIndex(templates, frequencies(docs, tokens, text), threshold)

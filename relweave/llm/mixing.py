@@ -17,8 +17,9 @@ that slice is cut once more, and only documents in the last small slice are sort
 
 Defined cases: a null or wordless text has size 0 and is taken 0 times; documents
 of size 0 take part in no sample; an empty source has target 0; null is a source of its
-own; rows with equal key are ordered by id, then size, so repeated rows are taken one by
-one; an empty table gives an empty result; other columns pass through.
+own; rows of equal key (repeated rows, and rows without id of one size) are numbered in parts
+and taken one by one, as many as come nearest to the target; an empty table gives an empty result; other columns pass
+through whatever their names.
 """
 
 from __future__ import annotations
@@ -30,12 +31,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from relweave.functions.draws import unit
-from relweave.llm.store import small, stored
+from relweave.llm.store import small, stored, unused
 from relweave.llm.words import SPACED
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 SLICES = 1024
+TIES = 50_000  # rows of one key that are numbered in one part
 SEED = 42
 
 
@@ -73,22 +75,26 @@ def key(id_: Column, pull: Column, share: Column, seed: int) -> Column:
 
 
 def edge(rows: DataFrame, bin_: str) -> DataFrame:
-    """Per source, the bin in which the running sum of words passes ``missing``, and the sum before it."""
-    per_bin = rows.groupBy("source", "missing", bin_).agg(F.sum("size").alias("words"), F.first("done").alias("done"))
+    """Per source, the bin in which the running sum of words passes ``missing``, the sum before it and its rows."""
+    per_bin = rows.groupBy("source", "missing", bin_).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"), F.first("done").alias("done"))
     upto = F.col("done") + F.sum("words").over(W.partitionBy("source").orderBy(bin_))
     run = per_bin.withColumn("upto", upto).withColumn("done", F.col("upto") - F.col("words"))
-    return run.where((F.col("done") <= F.col("missing")) & (F.col("upto") > F.col("missing"))).select("source", bin_, "done", "upto", "missing")
+    return run.where((F.col("done") <= F.col("missing")) & (F.col("upto") > F.col("missing"))).select("source", bin_, "done", "upto", "rows", "missing")
 
 
 def cut_keys(ranked: DataFrame) -> DataFrame:
-    """Per source the key at which its sample ends, and whether the documents of that key go in."""
+    """Per source the key at which its sample ends, how many rows have it, and how many of them go in."""
     found = ranked.withColumn("done", F.lit(0).cast("bigint"))
     for bin_ in ("coarse", "fine"):
         at = small(stored(edge(found, bin_).select(F.col("source").alias("s"), F.col(bin_).alias("b"), F.col("done").alias("d")), "edges"), 64)
         found = found.drop("done").join(at, F.col("source").eqNullSafe(F.col("s")) & (F.col(bin_) == F.col("b"))).withColumnRenamed("d", "done").drop("s", "b")
     last = edge(found, "key")
-    nearer = F.col("upto") - F.col("missing") < F.col("missing") - F.col("done")
-    return last.select(F.col("source").alias("cut_source"), F.col("key").alias("cut_key"), nearer.alias("with_cut"))
+    # rows of one key have one size; those whole inside, and one more if that comes nearer
+    size = (F.col("upto") - F.col("done")) / F.col("rows")
+    inside = F.floor((F.col("missing") - F.col("done")) / size)
+    left = F.col("missing") - F.col("done") - inside * size
+    take = inside + F.when(size - left < left, 1).otherwise(0)
+    return last.select(F.col("source").alias("cut_source"), F.col("key").alias("cut_key"), take.alias("cut_take"), F.col("rows").alias("cut_rows"))
 
 
 def plan(aims: DataFrame) -> DataFrame:
@@ -115,19 +121,44 @@ def with_copies(
     ranked = drawn.select("source", "size", "missing", own.alias("key"))
     ranked = ranked.withColumn("coarse", F.floor(F.col("key") * slices)).withColumn("fine", F.floor((F.col("key") * slices - F.col("coarse")) * slices))
     joined = aims.join(cut_keys(ranked), F.col("t_source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source")
-    aims = stored(joined.select(F.struct(*joined.columns).alias("__aim")), "targets")
-    aim, size = F.col("__aim"), F.col("__size")
-    sampled = (size > 0) & (aim["share"] > 0)
-    own = F.when(sampled, key(F.col("__id"), pull(size), aim["share"], seed))
-    inside = (own < aim["cut_key"]) | ((own == aim["cut_key"]) & aim["with_cut"])
-    extra = F.when(sampled & F.coalesce(inside, F.lit(True)), 1).otherwise(0)
-    named = docs.withColumns({"__id": F.col(id_), "__source": F.col(source), "__size": size_of(F.col(text))})
-    out = named.join(small(aims, 128), F.col("__source").eqNullSafe(aim["t_source"]))
-    made = F.struct(size.alias("size"), aim["source_size"].alias("source_size"), aim["target"].alias("target"), (aim["whole"] + extra).alias("copies"))
-    return out.withColumn(mix, made).drop("__id", "__source", "__size", "__aim")
+    own_, aim_, tie_ = unused(docs, "own", "aim", "tie")
+    aims = stored(joined.select(F.struct(*joined.columns).alias(aim_)), "targets")
+    own, aim = F.col(own_), F.col(aim_)
+    named = docs.withColumn(own_, F.struct(F.col(id_).alias("id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size")))
+    placed = named.join(small(aims, 128), own["source"].eqNullSafe(aim["t_source"]))
+    sampled = (own["size"] > 0) & (aim["share"] > 0)
+    rank = F.when(sampled, key(own["id"], pull(own["size"]), aim["share"], seed))
+    at_cut = F.coalesce(sampled & (rank == aim["cut_key"]), F.lit(False))
+    inside = F.coalesce(rank < aim["cut_key"], sampled & aim["cut_key"].isNull(), F.lit(False))
+
+    def with_mix(rows: DataFrame, extra: Column) -> DataFrame:
+        made = F.struct(
+            own["size"].alias("size"), aim["source_size"].alias("source_size"), aim["target"].alias("target"),
+            (aim["whole"] + extra.cast("int")).alias("copies"),
+        )
+        return rows.withColumn(mix, made).drop(own_, aim_, tie_)
+
+    if aims.where(aim["cut_rows"] > 1).isEmpty():
+        return with_mix(placed, inside | (at_cut & (aim["cut_take"] > 0)))
+    # several rows share the key of a cut: they alone are numbered, in parts that no group outgrows
+    ties = stored(placed.where(at_cut).withColumn(tie_, F.monotonically_increasing_id()), "ties")
+    part = F.pmod(F.xxhash64(F.col(tie_)), F.ceil(aim["cut_rows"] / TIES).cast("bigint"))
+    cut = ties.select(F.col(tie_).alias("tie"), aim["t_source"].alias("s"), part.alias("part"))
+    before = cut.groupBy("s", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = before.select(
+        F.col("s").alias("s2"), F.col("part").alias("part2"),
+        F.coalesce(F.sum("n").over(W.partitionBy("s").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+    )
+    place = F.row_number().over(W.partitionBy("s", "part").orderBy("tie"))
+    ranked = cut.withColumn("place", place).join(before, F.col("s").eqNullSafe(F.col("s2")) & (F.col("part") == F.col("part2")))
+    ranked = ranked.select(F.col("tie").alias(tie_), (F.col("before") + F.col("place")).alias("place"))
+    place_, = unused(ties, "place")
+    tied = ties.join(ranked.withColumnRenamed("place", place_), tie_)
+    return with_mix(placed.where(~at_cut), inside).unionByName(with_mix(tied, F.col(place_) <= aim["cut_take"]).drop(place_))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as many times as it is taken."""
-    taken = with_copies(docs, mix="__mix", **options)
-    return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__mix.copies").cast("int")))).select(*docs.columns)
+    mix, copy = unused(docs, "mix", "copy")
+    taken = with_copies(docs, mix=mix, **options)
+    return taken.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(mix)["copies"].cast("int")))).select(*docs.columns)

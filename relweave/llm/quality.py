@@ -13,15 +13,19 @@ Failed lines are removed.  A document is rejected when the removed lines hold mo
 function of one row, so nothing is shuffled.
 
 Defined cases: a null or empty text has no words and is rejected; repeated rows are judged
-alike; an empty table gives an empty table; other columns pass through, and a column named
-like the result is replaced.
+alike; an empty table gives an empty table; other columns pass through whatever their names, and a
+column named like the result is replaced.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relweave.llm.store import unused
 from relweave.llm.words import SPACED
 
 WINDOW = 5
@@ -75,41 +79,70 @@ def lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n", -1), lambda x: F.regexp_like(x, F.lit(SPACED)))
 
 
-def line_fails(line: Column, *, short_line: int = SHORT_LINE, bars: int = BARS, symbol_share: int = SYMBOL_SHARE) -> Column:
+@dataclass(frozen=True)
+class LineRules:
+    """What fails a line; ``furniture`` are phrases of page furniture, ``bar`` and ``closed`` patterns."""
+
+    short_line: int = SHORT_LINE
+    bars: int = BARS
+    symbol_share: int = SYMBOL_SHARE
+    furniture: tuple[str, ...] = FURNITURE
+    bar: str = BAR
+    closed: str = CLOSED
+
+
+def rule_tests(line: Column, rules: LineRules = LineRules()) -> dict[str, Column]:
+    """Each rule's name and whether the line fails it."""
     words = F.regexp_count(line, F.lit(SPACED))
-    bar = F.regexp_count(line, F.lit(BAR))
+    bar = F.regexp_count(line, F.lit(rules.bar))
     marks = F.regexp_count(line, F.lit(SYMBOLS))
     chars = F.length(line) - F.regexp_count(line, F.lit(SPACE))
-    open_ = (words < short_line) & ~F.regexp_like(line, F.lit(CLOSED))
-    navigation = (bar >= bars) | ((bar > 0) & (3 * bar >= words))
-    furniture = F.regexp_like(F.lower(line), F.lit("|".join(FURNITURE)))
-    return open_ | navigation | furniture | (100 * marks > symbol_share * chars)
+    phrases = "|".join(rules.furniture)
+    return {
+        "punctuation": (words < rules.short_line) & ~F.regexp_like(line, F.lit(rules.closed)),
+        "navigation": (bar >= rules.bars) | ((bar > 0) & (3 * bar >= words)),
+        "boilerplate": F.regexp_like(F.lower(line), F.lit(phrases)) if phrases else F.lit(False),
+        "symbols": 100 * marks > rules.symbol_share * chars,
+    }
+
+
+def line_fails(line: Column, rules: LineRules = LineRules()) -> Column:
+    return reduce(lambda a, b: a | b, rule_tests(line, rules).values())
 
 
 def judge(
     docs: DataFrame, *, text: str = "text", quality: str = "quality", least_words: int = LEAST_WORDS,
-    most_repeated: int = MOST_REPEATED, most_lost: int = MOST_LOST, **line_rules: int,
+    most_repeated: int = MOST_REPEATED, most_lost: int = MOST_LOST, rules: LineRules = LineRules(),
 ) -> DataFrame:
     """``docs`` with ``quality``: counts, ``base_failed``, ``kept``, the cleaned text."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    known = docs.withColumn("__lines", lines(whole))
-    known = known.withColumn("__good", F.filter("__lines", lambda x: ~line_fails(x, **line_rules)))
-    known = known.withColumn("__repeated", repeated_words(whole))
+    lines_, good_, repeated_ = unused(docs, "lines", "good", "repeated")
+    known = docs.withColumn(lines_, lines(whole))
+    known = known.withColumn(good_, F.filter(lines_, lambda x: ~line_fails(x, rules)))
+    known = known.withColumn(repeated_, repeated_words(whole))
     words = n_words(whole)
-    left = F.aggregate("__good", F.lit(0), lambda n, x: n + F.regexp_count(x, F.lit(SPACED)))
-    bad = (words < least_words) | (100 * F.col("__repeated") > most_repeated * words)
+    left = F.aggregate(good_, F.lit(0), lambda n, x: n + F.regexp_count(x, F.lit(SPACED)))
+    bad = (words < least_words) | (100 * F.col(repeated_) > most_repeated * words)
     made = F.struct(
         words.alias("n_words"), (F.length(whole) - F.regexp_count(whole, F.lit(SPACE))).cast("bigint").alias("word_chars"),
         F.regexp_count(whole, F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint").alias("n_dup_lines"),
-        F.col("__repeated").alias("n_repeat_words"), bad.alias("base_failed"),
-        (~bad & (100 * (words - left) <= most_lost * words)).alias("kept"), (F.size("__lines") - F.size("__good")).cast("bigint").alias("n_failed_lines"),
-        F.array_join("__good", "\n").alias("text"),
+        (F.size(lines_) - F.size(F.array_distinct(lines_))).cast("bigint").alias("n_dup_lines"),
+        F.col(repeated_).alias("n_repeat_words"), bad.alias("base_failed"),
+        (~bad & (100 * (words - left) <= most_lost * words)).alias("kept"), (F.size(lines_) - F.size(good_)).cast("bigint").alias("n_failed_lines"),
+        F.array_join(good_, "\n").alias("text"),
     )
-    return known.withColumn(quality, made).drop("__lines", "__good", "__repeated")
+    return known.withColumn(quality, made).drop(lines_, good_, repeated_)
+
+
+def failed_lines(docs: DataFrame, *, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
+    """One row for each line that fails: all columns of the document, ``line_number``, ``line`` and the names of the rules it fails."""
+    every = docs.select("*", F.posexplode(lines(F.coalesce(F.col(text), F.lit("")))).alias("line_number", "line"))
+    names = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rule_tests(F.col("line"), rules).items()]))
+    return every.withColumn("failed_rules", names).where(F.size("failed_rules") > 0)
 
 
-def clean(docs: DataFrame, *, text: str = "text", **rules: int) -> DataFrame:
+def clean(docs: DataFrame, *, text: str = "text", **options) -> DataFrame:
     """The documents kept, with their failed lines removed."""
-    judged = judge(docs, text=text, quality="__quality", **rules)
-    return judged.where("__quality.kept").withColumn(text, F.col("__quality.text")).select(*docs.columns)
+    quality, = unused(docs, "quality")
+    judged = judge(docs, text=text, quality=quality, **options)
+    return judged.where(F.col(quality)["kept"]).withColumn(text, F.col(quality)["text"]).select(*docs.columns)

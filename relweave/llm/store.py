@@ -39,3 +39,15 @@ def small(df: DataFrame, row_bytes: int | None = None, most: int = BROADCAST_BYT
     else:
         size = df.agg(F.sum(F.length(F.to_json(F.struct(*df.columns))))).first()[0] or 0
     return F.broadcast(df) if size <= most else df
+
+
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """A name for each stem that no column of ``df`` has, upper and lower case being the same."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        name = f"__{stem}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

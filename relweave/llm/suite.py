@@ -204,14 +204,11 @@ k AS (
 ),
 f AS (SELECT *, ratio / (1.0::DOUBLE + ratio) AS key FROM k),
 c AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key) AS upto, sum(size) OVER (PARTITION BY source, key) AS own
-  FROM f WHERE size > 0 AND share > 0
-),
-t AS (
-  SELECT doc_id, source, size, upto <= missing OR (upto - own <= missing AND upto - missing < missing - (upto - own)) AS extra FROM c
+  SELECT *, sum(size) FILTER (size > 0 AND share > 0) OVER (PARTITION BY source ORDER BY CASE WHEN size > 0 AND share > 0 THEN key END NULLS LAST ROWS UNBOUNDED PRECEDING) AS upto FROM f
 )
-SELECT f.doc_id, f.size, source_size, target, (f.size * (whole + CASE WHEN extra THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM f LEFT JOIN t ON f.doc_id = t.doc_id
+SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN size > 0 AND share > 0
+  AND (upto <= missing OR (upto - size <= missing AND upto - missing < missing - (upto - size))) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM c
 """
 
 
@@ -237,17 +234,25 @@ def _around_sql(text: str) -> str:
     return f"CASE role{known} ELSE '{o[0]}' || {_escape_sql('role')} || '{o[1]}' || {text} || '{o[2]}' END"
 
 
+def _allowed_sql() -> str:
+    cases = " ".join(f"WHEN '{s}' THEN role IN ({', '.join(repr(r) for r in rs)})" for s, rs in chat.INSTRUCT.follows.items())
+    return f"CASE before {cases} ELSE false END"
+
+
 OP2_SQL = f"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
 ),
-e AS (SELECT *, {_around_sql(_escape_sql('text'))} AS piece FROM c)
+m AS (SELECT *, lag(role, 1, '') OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before FROM c),
+e AS (SELECT *, {_around_sql(_escape_sql('text'))} AS piece, {_allowed_sql()} AS allowed FROM m)
 SELECT conv_id, count(*)::BIGINT AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       sum(length(piece))::BIGINT AS formatted_chars
+       sum(length(piece))::BIGINT AS formatted_chars,
+       bool_and(allowed) AND last(role ORDER BY turn NULLS FIRST, role, text) = 'assistant' AS valid,
+       CASE WHEN bool_and(allowed) THEN last(role ORDER BY turn NULLS FIRST, role, text) END AS end_state
 FROM e GROUP BY conv_id
 """
 PROBE = "</s>[INST] ok [/INST]"
@@ -265,7 +270,7 @@ def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
         "conv_id", F.size("turns").cast("bigint").alias("n_turns"),
         F.sha2(F.array_join("turns", "").cast("binary"), 256).alias("turns_sha256"),
         F.length("loss").cast("bigint").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
-        F.length("formatted").cast("bigint").alias("formatted_chars"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"), "valid", "end_state",
     )
 
 
@@ -278,14 +283,17 @@ def _rule_sql(of: str) -> str:
     return f"CASE {cases} END"
 
 
+SQL_DEPTH = 6  # levels the SQL knows; the operator has as many as the paths
+
+
 def _op3_sql() -> str:
     u = url_templates
-    levels = ", ".join(f"coalesce(parts[{d + 1}], '') AS g{d + 1}" for d in range(u.DEPTH))
+    levels = [f"g{d}" for d in range(1, SQL_DEPTH + 1)]
     steps, tree = [], "t0"
-    for d in range(1, u.DEPTH + 1):
-        keys = ", ".join(["host", *u.LEVELS[: d - 1]])
+    for d in range(1, SQL_DEPTH + 1):
+        keys = ", ".join(["host", *levels[: d - 1]])
         own = f"g{d}"
-        others = ", ".join(c for c in ["host", "shape", "n", "labelled", "blocked", *u.LEVELS, "tail"] if c != own)
+        others = ", ".join(c for c in ["host", "shape", "n", "labelled", "blocked", *levels] if c != own)
         steps.append(f"""
 w{d} AS (
   SELECT {keys} FROM (SELECT {keys}, {own}, sum(n) AS n FROM {tree} WHERE {own} != '' GROUP BY ALL) GROUP BY {keys}
@@ -297,11 +305,11 @@ p{d} AS (SELECT *, sum(l) OVER (PARTITION BY {keys}) AS pl, sum(b) OVER (PARTITI
 m{d} AS (
   SELECT {keys}, {own} FROM p{d} WHERE l > 0 AND pl > l
   AND (b * (pl - l) - (pb - b) * l)::DOUBLE * (b * (pl - l) - (pb - b) * l)::DOUBLE
-    > {u.DEVIATIONS ** 2}::DOUBLE * ((pb + 1.0::DOUBLE) / (pl + 2.0::DOUBLE)) * (1.0::DOUBLE - (pb + 1.0::DOUBLE) / (pl + 2.0::DOUBLE)) * l * (pl - l) * pl
+    <= {u.DEVIATIONS ** 2}::DOUBLE * ((pb + 1.0::DOUBLE) / (pl + 2.0::DOUBLE)) * (1.0::DOUBLE - (pb + 1.0::DOUBLE) / (pl + 2.0::DOUBLE)) * l * (pl - l) * pl
 ),
-t{d} AS (SELECT {others}, CASE WHEN {own} = '' OR concat_ws(chr(31), {keys}, {own}) IN (SELECT concat_ws(chr(31), {keys}, {own}) FROM m{d}) THEN {own} ELSE '*' END AS {own} FROM x{d})""")
+t{d} AS (SELECT {others}, CASE WHEN {own} != '' AND concat_ws(chr(31), {keys}, {own}) IN (SELECT concat_ws(chr(31), {keys}, {own}) FROM m{d}) THEN '*' ELSE {own} END AS {own} FROM x{d})""")
         tree = f"t{d}"
-    template = ", ".join(["host", *u.LEVELS, "tail"])
+    template = ", ".join(["host", *levels])
     return f"""
 WITH a AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '{u.SPLIT}', 1), ''), '{UPPER}', '{LOWER}') AS host,
@@ -311,14 +319,13 @@ r AS (
   SELECT *, {_rule_sql('text')} AS rule, {_rule_sql('verdict')} AS ruled,
          [regexp_replace(x, '[0-9]+', '#', 'g') FOR x IN string_split(path, '/') IF x != ''] AS parts FROM a
 ),
-s AS (SELECT *, {levels}, CASE WHEN len(parts) > {u.DEPTH} THEN '**' ELSE '' END AS tail FROM r),
-q AS (SELECT *, concat_ws('/', {', '.join(u.LEVELS)}, tail) AS shape FROM s),
+q AS (SELECT *, array_to_string(parts, '/') AS shape, {', '.join(f"coalesce(parts[{d + 1}], '') AS {g}" for d, g in enumerate(levels))} FROM r),
 t0 AS (
-  SELECT host, shape, {', '.join(u.LEVELS)}, tail, count(*) AS n, count(ruled) AS labelled, count(*) FILTER (ruled = 'block') AS blocked FROM q GROUP BY ALL
+  SELECT host, shape, {', '.join(levels)}, count(*) AS n, count(ruled) AS labelled, count(*) FILTER (ruled = 'block') AS blocked FROM q GROUP BY ALL
 ),{','.join(steps)},
-hosts AS (SELECT host, (sum(blocked) + 1.0::DOUBLE) / (sum(labelled) + 2.0::DOUBLE) AS h FROM {tree} GROUP BY host),
+every AS (SELECT sum(labelled) AS el, sum(blocked) AS eb FROM t0),
 per AS (SELECT {template}, sum(labelled) AS l, sum(blocked) AS b FROM {tree} GROUP BY ALL),
-bad AS (SELECT {template} FROM per JOIN hosts USING (host) WHERE (b + 2.0::DOUBLE * h) / (l + 2.0::DOUBLE) >= {u.PURITY}::DOUBLE),
+bad AS (SELECT {template} FROM per, every WHERE l >= {u.LEAST_LABELS} AND (b + 2.0::DOUBLE * ((eb - b + 1.0::DOUBLE) / (el - l + 2.0::DOUBLE))) / (l + 2.0::DOUBLE) >= {u.PURITY}::DOUBLE),
 bad_shapes AS (SELECT host, shape FROM {tree} SEMI JOIN bad USING ({template}))
 SELECT page_id, q.host, path, rule, coalesce(ruled, CASE WHEN z.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM q LEFT JOIN bad_shapes z ON q.host = z.host AND q.shape = z.shape

@@ -1,17 +1,17 @@
 """URL filters by path-template trees, in Spark's own expressions: no Python runs on the executors.
 
-A URL's path segments are the levels of a tree below its host; digits in a segment are
-replaced by ``#``.  Segments beyond ``DEPTH`` share one branch.  Level by level:
+A URL's path segments are the levels of a tree below its host, as many as the longest path has; digits in a
+segment are replaced by ``#``.  Level by level:
 
 1. Variable segments: where a node has more than ``most_children`` children with fewer than
    ``least_repeat`` pages each on average, its children become one wildcard ``*``.
-2. Similar branches: a child whose rate of blocked labels does not differ from that of its
-   siblings together (two-proportion test at ``deviations``; no labels means no
-   difference) joins the wildcard; children that differ keep their name.
+2. Similar branches: a labelled child whose rate of blocked labels does not differ from that of its labelled
+   siblings together (two-proportion test at ``deviations``) joins the wildcard; children that differ, and those
+   without labels, keep their name.
 
-What is left of a path is a template.  Its labelled purity is smoothed towards its host's:
-(blocked + 2 h) / (labelled + 2), where h is (blocked + 1) / (labelled + 2) of the host.
-A template whose purity reaches ``purity`` is rejected.
+What is left of a path is a template.  Its labelled purity is smoothed towards the labels of all other
+templates together: (blocked + 2 h) / (labelled + 2), where h is (other blocked + 1) / (other labelled + 2).
+A template of ``least_labels`` labels or more whose purity reaches ``purity`` is rejected; one without labels never is.
 
 Pages are first added up per host and path shape, so the tree is built on that table; a
 host with a third of all pages has few shapes unless its segments vary, and then every
@@ -20,7 +20,7 @@ are joined back to pages, by a plain join that Spark can split.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path; repeated
 pages count each; without labels nothing is rejected; an empty table gives an empty
-result; other columns pass through, and a column named like the result is replaced.
+result; other columns pass through whatever their names, and a column named like the result is replaced.
 """
 
 from __future__ import annotations
@@ -31,15 +31,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relweave.llm.store import stored
+from relweave.llm.store import stored, unused
 from relweave.llm.words import lower_ascii
 
-DEPTH = 3
 MOST_CHILDREN, LEAST_REPEAT = 16, 4
 DEVIATIONS = 2.0
-PURITY = 0.8
+PURITY, LEAST_LABELS = 0.8, 3
 SPLIT = r"://([^/?#]*)([^?#]*)"
-LEVELS = [f"g{d}" for d in range(1, DEPTH + 1)]
 
 
 @dataclass(frozen=True)
@@ -82,62 +80,66 @@ def pick(number: Column, values: Sequence[str]) -> Column:
 
 
 def shape(path: Column) -> Column:
-    """Path segments with digits replaced, those beyond the tree's depth as one."""
-    parts = F.transform(F.filter(F.split(path, "/", -1), lambda x: x != ""), lambda x: F.regexp_replace(x, "[0-9]+", "#"))
-    levels = [F.coalesce(F.get(parts, F.lit(d)), F.lit("")) for d in range(DEPTH)]
-    rest = F.when(F.size(parts) > DEPTH, F.lit("**")).otherwise(F.lit(""))
-    return F.concat_ws("/", *levels, rest)
+    """Path segments with digits replaced, joined."""
+    parts = F.filter(F.split(path, "/", -1), lambda x: x != "")
+    return F.array_join(F.transform(parts, lambda x: F.regexp_replace(x, "[0-9]+", "#")), "/")
 
 
 def shapes(pages: DataFrame, host: Column, path: Column, blocked: Column) -> DataFrame:
-    """(host, shape) with numbers of pages, labelled and blocked pages, and the tree's levels."""
+    """(host, shape) with numbers of pages, labelled and blocked pages, and the segments: the tree's levels."""
     known = pages.select(host.alias("host"), shape(path).alias("shape"), blocked.alias("blocked"))
     counted = known.groupBy("host", "shape").agg(
         F.count(F.lit(1)).alias("n"), F.count("blocked").alias("labelled"), F.coalesce(F.sum("blocked"), F.lit(0)).cast("bigint").alias("blocked")
     )
-    parts = F.split("shape", "/", -1)
-    return counted.withColumns({g: F.get(parts, F.lit(d)) for d, g in enumerate(LEVELS)} | {"tail": F.get(parts, F.lit(DEPTH))})
+    return counted.withColumn("segs", F.when(F.col("shape") == "", F.array().cast("array<string>")).otherwise(F.split("shape", "/", -1)))
+
+
+def _children(tree: DataFrame, level: int) -> DataFrame:
+    """Rows that reach the level, with the node above (``parent``) and their segment there (``own``)."""
+    parent = F.array_join(F.slice("segs", 1, level - 1), "/") if level > 1 else F.lit("")
+    return tree.where(F.size("segs") >= level).select("*", parent.alias("parent"), F.get("segs", F.lit(level - 1)).alias("own"))
+
+
+def _as_wildcard(tree: DataFrame, marks: DataFrame, keys: list[str], level: int) -> DataFrame:
+    """The tree with ``*`` at the level where the node is among ``marks``."""
+    deep = _children(tree, level).join(marks.select(*keys, F.lit(True).alias("mark")), keys, "left")
+    star = F.transform("segs", lambda x, i: F.when(i == level - 1, "*").otherwise(x))
+    deep = deep.withColumn("segs", F.when(F.col("mark"), star).otherwise(F.col("segs"))).select(*tree.columns)
+    return tree.where(F.size("segs") < level).unionByName(deep)
 
 
 def generalised(tree: DataFrame, level: int, most_children: int, least_repeat: int) -> DataFrame:
     """Step 1 at one level."""
-    parent, own = ["host", *LEVELS[: level - 1]], LEVELS[level - 1]
-    children = tree.where(F.col(own) != "").groupBy(*parent, own).agg(F.sum("n").alias("n"))
-    wide = children.groupBy(*parent).agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("p")).where(
-        (F.col("c") > most_children) & (F.col("p") < least_repeat * F.col("c"))
-    )
-    marked = tree.join(wide.select(*parent, F.lit(True).alias("wide")), parent, "left")
-    return marked.withColumn(own, F.when(F.col("wide") & (F.col(own) != ""), "*").otherwise(F.col(own))).drop("wide")
+    children = _children(tree, level).groupBy("host", "parent", "own").agg(F.sum("n").alias("n"))
+    wide = children.groupBy("host", "parent").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("p"))
+    return _as_wildcard(tree, wide.where((F.col("c") > most_children) & (F.col("p") < least_repeat * F.col("c"))), ["host", "parent"], level)
 
 
 def merged(tree: DataFrame, level: int, deviations: float) -> DataFrame:
     """Step 2 at one level."""
-    parent, own = ["host", *LEVELS[: level - 1]], LEVELS[level - 1]
-    sums = [F.sum("labelled").alias("l"), F.sum("blocked").alias("b")]
-    children = tree.where(F.col(own) != "").groupBy(*parent, own).agg(*sums)
-    both = children.join(children.groupBy(*parent).agg(F.sum("l").alias("pl"), F.sum("b").alias("pb")), parent)
+    children = _children(tree, level).groupBy("host", "parent", "own").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
+    both = children.join(children.groupBy("host", "parent").agg(F.sum("l").alias("pl"), F.sum("b").alias("pb")), ["host", "parent"])
     rest = F.col("pl") - F.col("l")
     # (b / l - rest_b / rest)^2 against deviations^2 * p (1 - p) (1 / l + 1 / rest), times (l * rest)^2
     gap = (F.col("b") * rest - (F.col("pb") - F.col("b")) * F.col("l")).cast("double")
     share = (F.col("pb") + 1.0) / (F.col("pl") + 2.0)
     spread = deviations * deviations * share * (1.0 - share) * F.col("l") * rest * F.col("pl")
-    alike = (F.col("l") == 0) | (rest == 0) | (gap * gap <= spread)
-    named = both.where(~alike).select(*parent, own, F.lit(True).alias("named"))
-    marked = tree.join(named, [*parent, own], "left")
-    return marked.withColumn(own, F.when(F.col("named") | (F.col(own) == ""), F.col(own)).otherwise("*")).drop("named")
+    alike = (F.col("l") > 0) & (rest > 0) & (gap * gap <= spread)
+    return _as_wildcard(tree, both.where(alike), ["host", "parent", "own"], level)
 
 
 def rejected_shapes(tree: DataFrame, *, most_children: int = MOST_CHILDREN, least_repeat: int = LEAST_REPEAT,
-                    deviations: float = DEVIATIONS, purity: float = PURITY) -> DataFrame:
+                    deviations: float = DEVIATIONS, purity: float = PURITY, least_labels: int = LEAST_LABELS) -> DataFrame:
     """(host, shape) of all rejected templates."""
     tree = stored(tree, "shapes")
-    for level in range(1, DEPTH + 1):
+    depth, labelled, blocked = tree.agg(F.max(F.size("segs")), F.sum("labelled"), F.sum("blocked")).first()
+    for level in range(1, (depth or 0) + 1):
         tree = stored(merged(generalised(tree, level, most_children, least_repeat), level, deviations), "shapes")
-    template = ["host", *LEVELS, "tail"]
-    per_template = tree.groupBy(*template).agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
-    hosts = tree.groupBy("host").agg(((F.sum("blocked") + 1.0) / (F.sum("labelled") + 2.0)).alias("h"))
-    bad = per_template.join(hosts, "host").where((F.col("b") + 2.0 * F.col("h")) / (F.col("l") + 2.0) >= purity)
-    return tree.join(bad, template, "left_semi").select("host", "shape")
+    tree = tree.withColumn("template", F.array_join("segs", "/"))
+    per_template = tree.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
+    other = (F.lit(blocked or 0) - F.col("b") + 1.0) / (F.lit(labelled or 0) - F.col("l") + 2.0)
+    bad = per_template.where((F.col("l") >= least_labels) & ((F.col("b") + 2.0 * other) / (F.col("l") + 2.0) >= purity))
+    return tree.join(bad, ["host", "template"], "left_semi").select("host", "shape")
 
 
 def filter_urls(pages: DataFrame, *, url: str = "url", rules: Sequence[Rule] = RULES, result: str = "url_filter", **options: float) -> DataFrame:
@@ -149,12 +151,14 @@ def filter_urls(pages: DataFrame, *, url: str = "url", rules: Sequence[Rule] = R
     number = longest_rule(host, path, rules)
     blocked = pick(number, [r.verdict for r in rules]) == "block"
     bad = stored(rejected_shapes(shapes(pages, host, path, blocked.cast("int")), **options), "rejected")
-    bad = bad.select(F.col("host").alias("__bad_host"), F.col("shape").alias("__bad_shape"))
-    known = pages.withColumns({"__host": host, "__path": path, "__rule": number, "__shape": shape(path)})
-    both = known.join(bad, (F.col("__host") == F.col("__bad_host")) & (F.col("__shape") == F.col("__bad_shape")), "left")
-    own = F.when(F.col("__bad_host").isNotNull(), "block").otherwise("allow")
+    own, bad_host, bad_shape = unused(pages, "own", "bad_host", "bad_shape")
+    bad = bad.select(F.col("host").alias(bad_host), F.col("shape").alias(bad_shape))
+    known = pages.withColumn(own, F.struct(host.alias("host"), path.alias("path"), number.alias("rule"), shape(path).alias("shape")))
+    page = F.col(own)
+    both = known.join(bad, (page["host"] == F.col(bad_host)) & (page["shape"] == F.col(bad_shape)), "left")
+    verdict = F.when(F.col(bad_host).isNotNull(), "block").otherwise("allow")
     made = F.struct(
-        F.col("__host").alias("host"), F.col("__path").alias("path"), pick(F.col("__rule"), [r.text for r in rules]).alias("rule"),
-        F.coalesce(pick(F.col("__rule"), [r.verdict for r in rules]), own).alias("verdict"),
+        page["host"].alias("host"), page["path"].alias("path"), pick(page["rule"], [r.text for r in rules]).alias("rule"),
+        F.coalesce(pick(page["rule"], [r.verdict for r in rules]), verdict).alias("verdict"),
     )
-    return both.withColumn(result, made).drop("__host", "__path", "__rule", "__shape", "__bad_host", "__bad_shape")
+    return both.withColumn(result, made).drop(own, bad_host, bad_shape)

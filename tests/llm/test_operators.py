@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import hashlib
 import math
 import random
@@ -15,7 +16,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from relweave.llm import chat, chunk_dedup, components, decontaminate, language, language_model, licenses, mixing, near_dedup, quality, url_templates
+from relweave.llm import (
+    alignment, chat, chunk_dedup, components, decontaminate, language, language_model, licenses, mixing, near_dedup, quality, toxicity, url_templates,
+)
 from relweave.llm.suite import QUERIES, SQL
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, guess string, mix int, contamination string, quality int"
@@ -74,7 +77,7 @@ def test_empty_tables(spark, empty, name):
     assert QUERIES[name](spark, empty).count() == (1 if name.startswith("op2_") else 0)
 
 
-SQL_ON_HARD_ROWS = sorted(set(SQL) - {"op7_near_dedup", "op10_mixing"})  # their SQL takes ids for unique
+SQL_ON_HARD_ROWS = sorted(set(SQL) - {"op7_near_dedup", "op10_mixing"})  # op7's SQL takes ids for unique; op10 is below, with rows repeated
 
 
 @pytest.mark.parametrize("name", SQL_ON_HARD_ROWS)
@@ -363,6 +366,137 @@ def test_mixing_meets_targets(spark):
     assert sorted(again) == sorted((r["doc_id"], r["copies"]) for r in made)
 
 
+def mix_sql(spark, tmp_path, rows):
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    cursor = duck.execute(SQL["op10_mixing"])
+    columns = [d[0] for d in cursor.description]
+    got = [tuple(r) for r in QUERIES["op10_mixing"](spark, str(tmp_path)).select(*columns).collect()]
+    close = lambda rows: Counter(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows)
+    assert close(got) == close(cursor.fetchall())
+    return got
+
+
+@pytest.mark.parametrize("parts", [50_000, 7])
+@pytest.mark.parametrize("id_,often", [(77, 500), (None, 1000)])
+def test_mixing_takes_repeated_rows_one_by_one(spark, tmp_path, monkeypatch, parts, id_, often):
+    monkeypatch.setattr(mixing, "TIES", parts)
+    rows = [(id_, "a b c", "b")] * often + [(1000 + i, "a b c", "b") for i in range(200)] + [(5000 + i, words(i, 5), "a") for i in range(900)]
+    got = mix_sql(spark, tmp_path, rows)
+    taken, target, largest = Counter(), {}, 0
+    for (i, *_), (doc, size, source_size, aim, took) in zip(rows, got, strict=True):
+        taken[source_size] += took
+        target[source_size], largest = aim, max(largest, size)
+    assert all(abs(taken[s] - target[s]) <= largest for s in target)
+
+
+def test_mixing_of_hard_rows(spark, tmp_path):
+    mix_sql(spark, tmp_path, [(i, t, s) for i, t, _, s in ROWS] + [(None, None, None), (1, "x", "z")])
+
+
+@pytest.mark.parametrize("name", ["licenses", "quality", "mixing", "urls", "repeats", "language", "contamination", "toxicity", "alignment"])
+def test_columns_of_any_name_pass_through(spark, name):
+    own = ["__id", "__spans", "__lines", "__good", "__repeated", "__size", "__source", "__aim", "__own", "__tie", "__host", "__rule", "__bad_host", "__shape", "__cut", "__mix", "id", "n"]
+    text = words(1, 60)
+    rows = [(i, text + f" {i}", "a", "en", f"http://h.com/de/{i}", *[f"{c}{i}" for c in own]) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string, url string, " + ", ".join(f"`{c}` string" for c in own))
+    bench = spark.createDataFrame([(1, words(3, 20))], "item_id int, text string")
+    made = {
+        "licenses": lambda: licenses.scan_licenses(docs), "quality": lambda: quality.judge(docs), "mixing": lambda: mixing.with_copies(docs),
+        "urls": lambda: url_templates.filter_urls(docs), "repeats": lambda: chunk_dedup.remove_repeats(docs),
+        "language": lambda: language.identify(docs, language.learn_from_documents(docs)), "contamination": lambda: decontaminate.mark_contamination(docs, bench),
+        "toxicity": lambda: toxicity.score_texts(docs, toxicity.learn(docs, docs.select("doc_id", F.lit(1).alias("toxic")))), "alignment": lambda: alignment.align(docs, fields=("n_a",)),
+    }[name]()
+    got = {r["doc_id"]: r for r in made.collect()}
+    assert len(got) == 4 and all(got[i][c] == f"{c}{i}" for i in got for c in own)
+    assert set(own) <= set(made.columns) and not [c for c in made.columns if c.startswith("__") and c not in own]
+
+
+def test_repeats_of_text_ids(spark):
+    rows = [("b", words(6, 30) + " " + PASSAGE), ("a", PASSAGE + " " + words(7, 30))]
+    made = {r["doc_id"]: r for r in chunk_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id string, text string"), spans="cut").collect()}
+    assert made["a"]["cut"] is None and made["b"]["cut"][0]["sources"] == ["a"] and "passage30" not in made["b"]["text"]
+
+
+def test_spans_against_brute_force(spark):
+    pick = random.Random(12)
+    for trial in range(4):
+        passages = [words(500 + k, 40) for k in range(3)]
+        rows = []
+        for i in range(12):
+            parts = [pick.choice(passages) if pick.random() < 0.5 else words(1000 + 100 * trial + 10 * i + k, 25) for k in range(4)]
+            rows.append((i, " ".join(parts)))
+        first = {}
+        for i, t in rows:  # the least document of each run, and whether it stood there before
+            for a, b in chunk_dedup.runs(np.frombuffer(t.encode(), dtype=np.uint8), chunk_dedup.LEAST_RUN):
+                first.setdefault(t.encode()[a:b], (i, a))
+        want = {}
+        for i, t in rows:
+            spans = []
+            for a, b in sorted(chunk_dedup.runs(np.frombuffer(t.encode(), dtype=np.uint8), chunk_dedup.LEAST_RUN)):
+                if first[t.encode()[a:b]] < (i, a):
+                    if spans and spans[-1][1] >= a:
+                        spans[-1][1] = max(spans[-1][1], b)
+                    else:
+                        spans.append([a, b])
+            if spans:
+                want[i] = spans
+        made = chunk_dedup.repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+        assert {r["id"]: [[s["start"], s["stop"]] for s in r["spans"]] for r in made} == want
+
+
+def test_long_templates_are_found_whole(spark):
+    long = licenses.template("long", words(77, 160).replace("é", "e"))
+    body = words(9, 130) + " " + " ".join(long.words) + " " + words(10, 130)
+    rows = spark.createDataFrame([(1, body), (2, words(11, 400))], "doc_id int, text string")
+    made = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(rows, templates=[*licenses.TEMPLATES, long], threshold=1.0).collect()}
+    assert [b["template"] for b in made[1]["blocks"]] and made[1]["score"] == 1.0
+
+
+def test_two_labels_do_not_block_a_host(spark):
+    urls = [f"http://x.com/de/{i}" for i in range(2)] + [f"http://x.com/en/{i}" for i in range(50)]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    got = url_templates.filter_urls(rows).select("url", "url_filter.verdict").collect()
+    assert all((r["verdict"] == "block") == ("/de/" in r["url"]) for r in got)
+
+
+def test_deep_templates_are_rejected_by_their_own_labels(spark):
+    deep = "/a/b/c/d/e/"
+    urls = [f"http://y.net{deep}{k}/{i}" for k in ("good", "bad") for i in range(30)] + [f"http://y.net{deep}other/{i}" for i in range(5)]
+    rules = (url_templates.Rule("allow", "y.net", deep + "good/"), url_templates.Rule("block", "y.net", deep + "bad/1"))
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    got = {r["url"]: r["verdict"] for r in url_templates.filter_urls(rows, rules=rules).select("url", "url_filter.verdict").collect()}
+    assert all((v == "block") == ("/bad/" in u) for u, v in got.items())
+
+
+def test_loss_follows_the_machine(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "assistant", "early"), (2, 1, "user", "q"), (2, 2, "assistant", "late"), (3, 0, "tool", "t")]
+    chats = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    strict = dataclasses.replace(chat.INSTRUCT, train_out_of_order=False)
+    for template, second in ((chat.INSTRUCT, ["early", "late"]), (strict, ["late"])):
+        got = {r["conv_id"]: r for r in chat.format_chats(chats, template).collect()}
+        assert [s["text"] for s in got[2]["segments"] if s["loss"]] == second and not got[2]["valid"] and got[2]["end_state"] is None
+        assert got[1]["valid"] and got[1]["end_state"] == "assistant" and not got[3]["valid"]
+
+
+def test_failed_lines_name_their_rules(spark):
+    text = "This is a fine line of words.\nHome | About | Contact | Terms\nMenu\nPlease accept our cookie policy to go on.\nWir sind im Impressum zu finden heute."
+    docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    got = {r["line_number"]: r["failed_rules"] for r in quality.failed_lines(docs).collect()}
+    assert got == {1: ["navigation"], 2: ["punctuation"], 3: ["boilerplate"]} or got == {1: ["navigation", "symbols"], 2: ["punctuation"], 3: ["boilerplate"]}
+    own = quality.LineRules(furniture=("impressum",))
+    assert 4 in {r["line_number"] for r in quality.failed_lines(docs, rules=own).collect()} and quality.judge(docs, rules=own).first()["quality"]["n_failed_lines"] == 3
+
+
+def test_pipeline_keeps_the_least_row_of_an_id(spark):
+    rows = [(1, words(1, 40), "en", "a", i) for i in (3, 1, 2)] + [(1, words(2, 40), "en", "b", 9), (None, "x", "en", "a", 0), (2, words(5, 40), "en", "a", 4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = [sorted(map(repr, corpus_pipeline.drop_near_duplicates(spark, docs.repartition(k), "").collect())) for k in (1, 2, 5)]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 3
+
+
 def test_pipeline_mix_takes_effect(spark):
     rows = [(i, words(i, 10 + i % 40), "en", "a" if i < 300 else "b" if i < 360 else "c", 0) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
