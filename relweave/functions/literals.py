@@ -62,6 +62,12 @@ def finite(value: Column, dtype: T.DataType) -> Column:
 def double_text(value: Column) -> Column:
     """Shortest digits of a double; plain notation from 1e-4 up to 1e16, else ``1e+16`` style."""
     short = value.cast("string")
+    # 15 digits and a point at most, without an exponent: shortest and plain already
+    plain = (F.length(short) <= 16) & ~F.contains(short, F.lit("E"))
+    return F.when(plain, short).otherwise(_long_double_text(value, short))
+
+
+def _long_double_text(value: Column, short: Column) -> Column:
     # some JVMs print 16 or 17 digits where fewer identify the number
     digits = F.length(F.regexp_replace(short, r"[-.]|E.*", ""))
     rounded = [F.upper(F.format_string(f"%.{n}e", value)) for n in (14, 15)]
@@ -96,7 +102,13 @@ def time_text(value: Column, dtype: T.DataType, separator: str = " ") -> Column:
     if isinstance(dtype, T.DateType):
         return value.cast("string")
     pattern = f"yyyy-MM-dd'{separator}'HH:mm:ss.SSSSSS"
-    return F.regexp_replace(F.date_format(value, pattern), r"\.000000$", "")
+    text = value.cast("string")  # a fraction without its last zeros
+    if separator != " ":
+        text = F.replace(text, F.lit(" "), F.lit(separator))
+    whole = F.length(text) == 19
+    broken = F.length(text).between(21, 26) & (F.substring(text, 20, 1) == ".")
+    full = F.regexp_replace(F.date_format(value, pattern), r"\.000000$", "")  # years beyond four digits
+    return F.when(whole, text).when(broken, F.rpad(text, 26, "0")).otherwise(full)
 
 
 def is_number(dtype: T.DataType) -> bool:

@@ -102,24 +102,34 @@ def check_values(catalog: DataFrame) -> DataFrame:
     return catalog.withColumn("allowed", F.when(F.size(values) > 0, values))
 
 
-def schema_fingerprint(catalog: DataFrame) -> DataFrame:
-    """(db, fingerprint): the same for any order of tables, columns and enum values.
+def schema_fingerprint(catalog: DataFrame, references: DataFrame | None = None) -> DataFrame:
+    """(db, fingerprint): the same for any order of tables, columns, enum values, foreign keys and indexes.
 
-    Comments take no part.  Each column line is hashed and the hashes are added up in four
-    parts; sums combine on the map side, so the columns of a database never meet.
+    ``references`` has one row to a foreign key or index: db, kind (``fk`` or ``index``), table, columns, ref_table,
+    ref_columns, on_delete, on_update, deferrable, initially, unique.  Names of keys and comments take no part, nor does the
+    order of columns inside a key.  Each line is hashed and the hashes are added up in four
+    parts; sums combine on the map side, so the lines of a database never meet.
     """
-    fields = [
+
+    def hashed(rows: DataFrame, fields: list[str]) -> DataFrame:
+        line = ", ".join(f"coalesce(string({f}), '\\\\N')" for f in fields)
+        return rows.select("db", F.expr(f"sha2(concat_ws('\x1f', {line}), 256)").alias("_line"))
+
+    lines = hashed(catalog, [
         "table", "column", "data_type", "nullable", "is_pk", "is_unique", "autoincrement", "default",
         "max_length", "precision", "scale", "array_join(array_sort(enum_values), '\x1e')", "check_expr",
-    ]
-    line = ", ".join(f"coalesce(string({f}), '\\\\N')" for f in fields)
-    hashed = catalog.select("db", F.expr(f"sha2(concat_ws('\x1f', {line}), 256)").alias("_line"))
+    ])
+    if references is not None:
+        lines = lines.unionByName(hashed(references, [
+            "kind", "table", "array_join(array_sort(columns), '\x1e')", "ref_table", "array_join(array_sort(ref_columns), '\x1e')",
+            "on_delete", "on_update", "deferrable", "initially", "unique",
+        ]))
     sums = [
         F.expr(f"string(sum(cast(conv(substring(_line, {1 + 16 * k}, 15), 16, 10) AS decimal(20, 0))))")
         for k in range(4)
     ]
     totals = F.concat_ws(":", F.count("*").cast("string"), *sums)
-    return hashed.groupBy("db").agg(totals.alias("_sums")).select(
+    return lines.groupBy("db").agg(totals.alias("_sums")).select(
         "db", F.substring(F.sha2("_sums", 256), 1, FINGERPRINT_LENGTH).alias("fingerprint")
     )
 

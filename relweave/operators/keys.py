@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from relweave.functions.draws import draw, unit
-from relweave.operators.positions import PREFIX_LENGTH, dense_index, key_text, running_before
+from relweave.operators.positions import PREFIX_LENGTH, bucket_offsets, dense_index, split_buckets
 
 SELF_REFERENCE_ROOTS = 5  # the first n/5 rows have no parent
 PAIR_MULTIPLIER = 1_000_003
@@ -246,11 +246,11 @@ def fill_within_capacity(
         raise ValueError(f"{n_rows} children for parents of capacity {total}")
     if not n_rows:
         return child
-    slots = slots.withColumn("_bucket", F.substring(F.md5(key_text(refs)), 1, PREFIX_LENGTH))
-    within = W.partitionBy("_bucket").orderBy(*refs).rowsBetween(W.unboundedPreceding, -1)
-    offsets = slots.groupBy("_bucket").agg(F.sum("_cap").alias("_n")).select("_bucket", running_before("_n", "_bucket").alias("_offset"))
+    slots = split_buckets(slots, refs, slots, PREFIX_LENGTH)
+    within = W.partitionBy("_bucket", "_sub").orderBy(*refs).rowsBetween(W.unboundedPreceding, -1)
+    offsets = bucket_offsets(slots, F.sum("_cap"))
     slots = slots.withColumn("_before", F.coalesce(F.sum("_cap").over(within), F.lit(0)))
-    slots = slots.join(F.broadcast(offsets), "_bucket").withColumn("_start", F.col("_offset") + F.col("_before"))  # 16^PREFIX_LENGTH rows at most
+    slots = slots.join(offsets, ["_bucket", "_sub"]).withColumn("_start", F.col("_offset") + F.col("_before"))
     width = max(1, PARENTS_PER_BLOCK * total // parents)
     blocks = F.sequence(F.expr(f"_start div {width}"), F.expr(f"(_start + _cap - 1) div {width}"))
     slots = slots.select(

@@ -7,6 +7,7 @@ whose size is fixed by the bucket count, is broadcast.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PREFIX_LENGTH = 4  # hex digits: 65,536 buckets
+BUCKET_ROWS = 1_000_000  # a bucket with more is split by further digits
 COPIES_PER_CHUNK = 100_000
 CUT_LENGTH = 256
 
@@ -41,45 +43,59 @@ def dense_index(
 ) -> DataFrame:
     """Add a dense 0-based position, ordered by (md5 prefix of the key, key).
 
-    The keys are unique, so buckets are even.  With ``unique=False`` the keys must be all columns of ``df``: equal rows are
+    The keys are unique, so buckets are even.  The prefix grows with the number of rows, counted inside the same plan, so
+    that a bucket holds about BUCKET_ROWS rows at most.  With ``unique=False`` the keys must be all columns of ``df``: equal rows are
     counted first, and a group of copies is spread again in chunks, so that a row
     repeated very often does not gather in one task.
     """
     keys = list(keys)
     if not unique:
         return _dense_index_of_copies(df, keys, index, prefix_length)
-    keyed = df.withColumn("_bucket", F.substring(F.md5(key_text(keys)), 1, prefix_length))
-    within = W.partitionBy("_bucket").orderBy(*keys)
-    offsets = (
-        keyed.groupBy("_bucket").agg(F.count("*").alias("_n"))
-        .select("_bucket", running_before("_n", "_bucket").alias("_offset"))
-    )
+    keyed = split_buckets(df, keys, df, prefix_length)
+    offsets = bucket_offsets(keyed, F.count("*"))
+    within = W.partitionBy("_bucket", "_sub").orderBy(*keys)
     return (
         keyed.withColumn("_rank", F.row_number().over(within).cast("bigint") - 1)
-        .join(F.broadcast(offsets), "_bucket")  # at most 16^prefix_length rows
+        .join(offsets, ["_bucket", "_sub"])
         .select(*df.columns, (F.col("_offset") + F.col("_rank")).alias(index))
     )
 
 
+def split_buckets(rows: DataFrame, keys: Sequence[str], counted: DataFrame, prefix_length: int) -> DataFrame:
+    """Add ``_bucket``, the first digits of the key's md5, and ``_sub``, as many more as the rows of ``counted`` ask for."""
+    # 16^k buckets inside each bucket, k from the number of rows
+    size = counted.agg(F.count("*").cast("double")).scalar()
+    share = size / F.lit(float(16**prefix_length * BUCKET_ROWS))
+    digits = F.greatest(F.ceil(F.log(F.greatest(share, F.lit(1.0))) / F.lit(math.log(16))), F.lit(0)).cast("int")
+    digest = F.md5(key_text(keys))
+    return rows.withColumn("_bucket", F.substring(digest, 1, prefix_length)).withColumn("_sub", F.substring(digest, F.lit(prefix_length + 1), digits))
+
+
+def bucket_offsets(keyed: DataFrame, amount: Column) -> DataFrame:
+    """(_bucket, _sub, _offset): the amount in all buckets before.
+
+    The sums of whole buckets, a number fixed by the prefix, are added up in one task, those inside a bucket in the bucket's.
+    """
+    parts = keyed.groupBy("_bucket", "_sub").agg(amount.alias("_n"))
+    whole = parts.groupBy("_bucket").agg(F.sum("_n").alias("_n"))
+    first = whole.select("_bucket", running_before("_n", "_bucket").alias("_first"))
+    inside = parts.select("_bucket", "_sub", running_before("_n", "_sub", "_bucket").alias("_inside"))
+    return inside.join(F.broadcast(first), "_bucket").select(  # 16^prefix_length rows
+        "_bucket", "_sub", (F.col("_first") + F.col("_inside")).alias("_offset")
+    )
+
+
 def _dense_index_of_copies(
     df: DataFrame, keys: list[str], index: str, prefix_length: int
 ) -> DataFrame:
     if set(keys) != set(df.columns):
         raise ValueError("keys that repeat must be all columns of the table")
-    grouped = (
-        df.groupBy(*keys).agg(F.count("*").alias("_copies"))
-        .withColumn("_bucket", F.substring(F.md5(key_text(keys)), 1, prefix_length))
-    )
-    within = (
-        W.partitionBy("_bucket").orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)
-    )
-    offsets = (
-        grouped.groupBy("_bucket").agg(F.sum("_copies").alias("_n"))
-        .select("_bucket", running_before("_n", "_bucket").alias("_offset"))
-    )
+    counted = df.groupBy(*keys).agg(F.count("*").alias("_copies"))
+    grouped = split_buckets(counted, keys, counted, prefix_length)
+    within = W.partitionBy("_bucket", "_sub").orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)
     placed = (
         grouped.withColumn("_before", F.coalesce(F.sum("_copies").over(within), F.lit(0)))
-        .join(F.broadcast(offsets), "_bucket")  # at most 16^prefix_length rows
+        .join(bucket_offsets(grouped, F.sum("_copies")), ["_bucket", "_sub"])
         .withColumn("_start", F.col("_offset") + F.col("_before"))
     )
     return spread_copies(placed).select(*df.columns, (F.col("_start") + F.col("_copy")).alias(index))

@@ -232,6 +232,32 @@ def cat_fingerprint(t):
     return C.schema_fingerprint(_catalog(t))
 
 
+_cut = "'db' || (o_custkey % 97)"
+_reference = " || chr(31) || ".join([
+    "CASE WHEN o_orderkey % 2 = 0 THEN 'fk' ELSE 'index' END", "'tab_' || o_custkey || '_' || o_orderstatus",
+    "array_to_string(list_sort(['c' || (o_orderkey % 9), 'b' || (o_orderkey % 7)]), chr(30))", _n("CASE WHEN o_orderkey % 2 = 0 THEN 'tab_' || o_orderpriority END"),
+    "CASE WHEN o_orderkey % 2 = 0 THEN array_to_string(list_sort(['z' || (o_orderkey % 5), 'id']), chr(30)) ELSE '\\N' END",
+    "CASE WHEN o_orderkey % 4 = 0 THEN 'CASCADE' ELSE '\\N' END", "'\\N'", "(o_orderkey % 8 = 0)::VARCHAR", "'\\N'",
+    "CASE WHEN o_orderkey % 2 = 1 THEN (o_orderkey % 3 = 0)::VARCHAR ELSE '\\N' END",
+])
+
+
+@query(
+    "cat_fingerprint_references",
+    f"SELECT db, substr(sha256(count(*)::VARCHAR || ':' || {_sums}), 1, 16) AS fingerprint FROM "
+    f"(SELECT db, sha256({_line}) AS h FROM {CATALOG} UNION ALL SELECT {_cut}, sha256({_reference}) FROM orders WHERE o_orderkey % 3 < 2) GROUP BY db",
+)
+def cat_fingerprint_references(t):
+    """Columns, foreign keys and indexes together."""
+    references = t.orders.where("o_orderkey % 3 < 2").selectExpr(
+        "concat('db', o_custkey % 97) AS db", "if(o_orderkey % 2 = 0, 'fk', 'index') AS kind", "concat('tab_', o_custkey, '_', o_orderstatus) AS table",
+        "array(concat('c', o_orderkey % 9), concat('b', o_orderkey % 7)) AS columns", "if(o_orderkey % 2 = 0, concat('tab_', o_orderpriority), NULL) AS ref_table",
+        "if(o_orderkey % 2 = 0, array(concat('z', o_orderkey % 5), 'id'), NULL) AS ref_columns", "if(o_orderkey % 4 = 0, 'CASCADE', NULL) AS on_delete",
+        "string(NULL) AS on_update", "o_orderkey % 8 = 0 AS deferrable", "string(NULL) AS initially", "if(o_orderkey % 2 = 1, o_orderkey % 3 = 0, NULL) AS unique",
+    )
+    return C.schema_fingerprint(_catalog(t), references)
+
+
 @query(
     "cat_check_values",
     "SELECT ordinal, coalesce(array_to_string(list_sort(regexp_extract_all(regexp_extract(check_expr, '(?i)\\bIN\\s*\\(([^)]*)\\)', 1), '''([^'']*)''', 1)), '|'), '') AS allowed "

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from relweave import schema as S
 from relweave.functions import literals as L
+from relweave.operators import file_table
 from relweave.session import scratch_path
 from relweave.sinks import files, statements
-from relweave.sources.reference import read_reference_csv
+from relweave.sources.reference import read_reference_csv, read_reference_set
 from relweave.suite.base import STAR, query
 
 # --- SQL literals -----------------------------------------------------------------
@@ -238,16 +241,68 @@ def copy_texts(t):
 # --- files, read back ---------------------------------------------------------------
 @query(
     "snk_parquet",
-    "SELECT vec_id, '[' || array_to_string(list_transform(embedding[1:0], lambda x: x::VARCHAR), ',') || ']' AS nothing, label, CASE WHEN label > 3 THEN label::DOUBLE END AS score FROM embeddings",
+    "SELECT vec_id, label, CASE WHEN label > 3 THEN label::DOUBLE END AS score, place, embedding[place + 1]::DOUBLE AS value "
+    "FROM embeddings, unnest(range(len(embedding))) AS t(place)",
 )
 def parquet(t):
-    """NaN is NULL after the round trip, arrays are JSON text."""
-    df = t.embeddings.selectExpr(
-        "vec_id", "slice(embedding, 1, 0) AS nothing", "label", "if(label > 3, double(label), double('NaN')) AS score"
-    )
+    """Arrays are JSON text in the file and NaN is NULL; every element is read back and compared."""
+    df = t.embeddings.selectExpr("vec_id", "embedding", "label", "if(label > 3, double(label), double('NaN')) AS score")
     folder = scratch_path(t.spark, "parquet")
     (path,) = files.write_parquet({"embeddings": df}, ["embeddings"], folder)
-    return t.spark.read.parquet(path)
+    read = t.spark.read.parquet(path).withColumn("embedding", F.from_json("embedding", "array<float>"))
+    return read.select("vec_id", "label", "score", F.posexplode("embedding").alias("place", "value")).withColumns(
+        {"place": F.col("place").cast("bigint"), "value": F.col("value").cast("double")}
+    )
+
+
+_SET = {"customer": ("c_custkey", "c_mktsegment"), "nation": ("n_nationkey", "n_name"), "orders": ("o_orderkey", "o_orderpriority"), "part": ("p_partkey", "p_name")}
+
+
+@query(
+    "src_reference_set",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS \"table\", {key}::BIGINT AS key, {text} AS text, {n} AS columns FROM {name}"
+        for (name, (key, text)), n in zip(_SET.items(), (5, 3, 6, 6))
+    ),
+)
+def reference_set(t):
+    """A folder with tables as CSV and as Parquet, and one that the schema does not know."""
+    folder = scratch_path(t.spark, "set")
+    for name in ("nation", "orders"):
+        getattr(t, name).write.option("header", True).option("escape", '"').csv(f"{folder}/{name}.csv")
+    for name in ("customer", "part"):
+        getattr(t, name).write.parquet(f"{folder}/{name}.parquet")
+    t.region.write.parquet(f"{folder}/other.parquet")
+    found = read_reference_set(t.spark, folder, STAR)
+    parts = [
+        df.select(F.lit(name).alias("table"), F.col(_SET[name][0]).cast("bigint").alias("key"), F.col(_SET[name][1]).alias("text"), F.lit(len(df.columns)).alias("columns"))
+        for name, df in found.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+_CHANGES = (
+    "SELECT o_orderkey + CASE WHEN o_orderkey % 5 = 0 THEN 10000000 ELSE 0 END AS o_orderkey, 'new' AS o_orderstatus, NULL::DOUBLE AS o_totalprice "
+    "FROM orders WHERE o_custkey % 3 = 0 AND o_orderkey BETWEEN (SELECT max(o_orderkey) // 8 FROM orders) AND (SELECT max(o_orderkey) // 5 FROM orders)"
+)
+
+
+@query(
+    "snk_upsert_files",
+    f"WITH c AS ({_CHANGES}) SELECT coalesce(c.o_orderkey, o.o_orderkey) AS o_orderkey, CASE WHEN c.o_orderkey IS NOT NULL THEN c.o_orderstatus ELSE o.o_orderstatus END AS o_orderstatus, "
+    "CASE WHEN c.o_orderkey IS NULL THEN o.o_totalprice END AS o_totalprice, true AS files_stay FROM orders o FULL JOIN c ON c.o_orderkey = o.o_orderkey",
+)
+def upsert_by_files(t):
+    """An upsert of a narrow range of orders: the whole table afterwards, and whether most files were left in place."""
+    target = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice")
+    top = t.orders.agg(F.max("o_orderkey")).first()[0] or 0
+    changes = t.orders.where(f"o_custkey % 3 = 0 AND o_orderkey BETWEEN {top // 8} AND {top // 5}").selectExpr(
+        "o_orderkey + if(o_orderkey % 5 = 0, 10000000, 0) AS o_orderkey", "'new' AS o_orderstatus", "double(NULL) AS o_totalprice"
+    )
+    path = scratch_path(t.spark, "file-table")
+    file_table.write_files(target, path, ["o_orderkey"], files=16)
+    done = file_table.upsert_files(t.spark, path, changes, ["o_orderkey"], files=4)
+    return file_table.read_files(t.spark, path).withColumn("files_stay", F.lit(len(done.kept) > 2 * len(done.replaced)))
 
 
 @query(
