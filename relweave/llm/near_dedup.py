@@ -11,11 +11,13 @@
    threshold; the rest are compared on their full sets.  Links are joined to components.
 4. Buckets that still hold several components pair each member outside their largest
    component with one hub, the most linked member of such a component: again one pair a member.
-5. What is still apart: each member outside a bucket's largest component meets the members
-   of its other components, in parts of at most ``PART`` members.  For them a longer signature is made, one bit
+5. What is still apart in buckets of up to ``PART`` members: each member outside the largest component meets the members
+   of the other components, at most ``PART`` pairs a member.  For them a longer signature is made, one bit
    of each of 2048 minima, and only pairs whose estimate allows a link leave that join, each from the first
-   bucket it shares.  So every pair that shares a bucket is joined already, or estimated and
-   then compared.
+   bucket it shares, to be compared on their full sets.
+6. Larger buckets are cut into parts of ``BLOCK`` members, and every two parts meet in a task of their own with their full
+   sets: a product of two 0/1 matrices counts what all their pairs share.  A task returns the components it joined,
+   one row to a component, not its links.  So every pair that shares a bucket is joined already, or compared.
 
 A pair at the threshold misses all buckets with probability (1 - 0.75^ROWS)^BANDS, 5e-6,
 and is estimated too low with probability 1e-4.
@@ -44,7 +46,9 @@ from relweave.llm.words import SPACED, mix, numbered, run_starts, runs, word_sli
 WIDTH = 5
 ROWS, BANDS = 4, 32
 THRESHOLD = 75  # per cent
-PART = 512  # members of a bucket that one task meets with the others at a time
+PART = 64  # members of a bucket up to which its pairs are estimated one by one
+BLOCK = 512  # members of a larger bucket in one part
+SHINGLES = 4096  # columns of the matrices at a time
 
 
 @dataclass(frozen=True)
@@ -227,12 +231,18 @@ def near_duplicates(docs: DataFrame, *, id_: str = "doc_id", text: str = "text",
     def sharp(ids: DataFrame) -> DataFrame:
         return texts_of(ids, docs, id_, text).select("id", sharp_signature("__text").alias("signature")).dropDuplicates(["id"])
 
+    def joined(groups: DataFrame, more: DataFrame) -> DataFrame:
+        known = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        return stored(connected_components(known.unionByName(more)), "groups")
+
     for pairs_of in (hub_pairs, lambda *known: outside_pairs(*known, sharp)):
         pairs = stored(pairs_of(shared, groups, links, classes, threshold), "pairs")
         if not pairs.isEmpty():
             more = stored(confirmed(pairs, docs, id_, text, threshold), "links")
-            joint = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-            links, groups = links.unionByName(more), stored(connected_components(joint), "groups")
+            links, groups = links.unionByName(more), joined(groups, more)
+    large = mixed_buckets(shared, groups).where(F.col("size") > PART)
+    if not large.isEmpty():
+        groups = joined(groups, stored(block_links(large, docs, id_, text, threshold), "links"))
     named = classes.select("digest", "n", F.col("id").alias("node")).join(groups, "node", "left")
     named = named.select("digest", "n", F.coalesce("component", "node").alias("component_id"))
     out = made.select("id", "n", "digest").join(named, ["digest", "n"], "left")
@@ -291,8 +301,8 @@ def hub_pairs(shared: DataFrame, groups: DataFrame, links: DataFrame, classes: D
 def outside_pairs(
     shared: DataFrame, groups: DataFrame, links: DataFrame, classes: DataFrame, threshold: int, sharp: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
-    """Members outside a bucket's largest component with members of its other components, where the estimate allows a link."""
-    members = mixed_buckets(shared, groups)
+    """In small buckets, members outside the largest component with members of the others, where the estimate allows a link."""
+    members = mixed_buckets(shared, groups).where(F.col("size") <= PART)
     low, halves = F.lit(0xFFFFFFFF).cast("bigint"), range(BANDS // 2)
     keys = [F.get("bands", F.lit(2 * k)).bitwiseAND(low).bitwiseOR(F.shiftleft(F.get("bands", F.lit(2 * k + 1)), 32)) for k in halves]
     known = sharp(members.select(F.col("node").alias("id")).distinct()).join(classes.select("id", "n", F.array(*keys).alias("keys")), "id")
@@ -304,10 +314,7 @@ def outside_pairs(
         own = [F.coalesce(F.get("signature", F.lit(k)), F.lit(0)).alias(f"{mark}{k}") for k in words]
         own += [F.coalesce(F.get("keys", F.lit(k)), F.lit(0)).alias(f"{mark}key{k}") for k in halves]
         own += [F.col(c).alias(f"{mark}{c}") for c in ("node", "component", "n")]
-        parts = F.ceil(F.col("size") / PART).cast("int")
-        if mark == "x":  # meets every part of its bucket
-            return ["bucket", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.coalesce("band", F.lit(0)).alias("band"), *own]
-        return ["bucket", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), *own]
+        return ["bucket", *([F.coalesce("band", F.lit(0)).alias("band")] if mark == "x" else []), *own]
 
     # a bucket before this one that the pair shares too has emitted it already
     news = F.lit(True)
@@ -315,8 +322,63 @@ def outside_pairs(
         differ = F.col(f"xkey{k}").bitwiseXOR(F.col(f"ykey{k}"))
         news = news & ((F.col("band") <= 2 * k) | (differ.bitwiseAND(low) != 0)) & ((F.col("band") <= 2 * k + 1) | (F.shiftrightunsigned(differ, 32) != 0))
     estimate = similarity([F.col(f"x{k}") for k in words], [F.col(f"y{k}") for k in words], SHARP)
-    met = members.where("component != top").select(*side("x")).join(members.select(*side("y")), ["bucket", "part"]).where(
+    met = members.where("component != top").select(*side("x")).join(members.select(*side("y")), "bucket").where(
         (F.col("xcomponent") != F.col("ycomponent")) & sizes_allow(F.col("xn"), F.col("yn"), threshold)
         & (estimate >= threshold / 100 - SHARP.slack) & news
     )
     return met.select(*ordered("xnode", "ynode")).distinct()
+
+
+def joined_components(sets: pa.ListArray, first: np.ndarray, second: np.ndarray, components: np.ndarray, threshold: int) -> np.ndarray:
+    """Numbers of the components after the links between members ``first`` and ``second`` have joined them."""
+    edges = sets.offsets.to_numpy().astype(np.int64)
+    sizes = np.diff(edges)
+    _, column, often = np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    shared = often[column] > 1  # the others no two members share
+    row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+    places = [np.full(len(sets), -1), np.full(len(sets), -1)]
+    places[0][first], places[1][second] = np.arange(len(first)), np.arange(len(second))
+    both = np.zeros((len(first), len(second)), dtype=np.float32)
+    for low in range(0, int(column.max()) + 1 if len(column) else 0, SHINGLES):
+        now = (column >= low) & (column < low + SHINGLES)
+        sides = []
+        for place, count in zip(places, (len(first), len(second)), strict=True):
+            own = now & (place[row] >= 0)
+            side = np.zeros((count, SHINGLES), dtype=np.float32)
+            side[place[row[own]], column[own] - low] = 1
+            sides.append(side)
+        both += sides[0] @ sides[1].T  # counts below 2^24, exact
+    union = sizes[first][:, None] + sizes[second][None, :] - both
+    a, b = np.nonzero(100 * both.astype(np.float64) >= threshold * union)
+    root = np.arange(components.max() + 1)
+    u, v = components[first[a]], components[second[b]]
+    while (root[u] != root[v]).any():
+        x, y = root[u], root[v]
+        np.minimum.at(root, x, y)
+        np.minimum.at(root, y, x)
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
+
+def block_links(large: DataFrame, docs: DataFrame, id_: str, text: str, threshold: int) -> DataFrame:
+    """(a, b): components of large buckets that a pair of members links, found block by block on full sets."""
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    placed = large.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    placed = placed.select("bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", F.col("node").alias("id"), "component")
+    sets = texts_of(large.select(F.col("node").alias("id")).distinct(), docs, id_, text).select("id", shingle_set("__text").alias("set")).dropDuplicates(["id"])
+    kind = large.schema["component"].dataType
+
+    def block(table: pa.Table) -> pa.Table:
+        names = table.column("component").combine_chunks()
+        known, number = np.unique(names.to_numpy(zero_copy_only=False), return_inverse=True)
+        part = table.column("part").to_numpy()
+        first, second = np.flatnonzero(part == part.min()), np.flatnonzero(part == part.max())
+        root = joined_components(table.column("set").combine_chunks(), first, second, number, threshold) if len(known) > 1 else np.zeros(1, dtype=np.int64)
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table({"a": pa.array(known[root[moved]], type=names.type), "b": pa.array(known[moved], type=names.type)})
+
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+    return placed.join(sets, "id").groupBy("bucket", "low", "high").applyInArrow(block, schema)

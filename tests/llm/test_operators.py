@@ -168,11 +168,21 @@ def test_pairs_of_a_large_group_follow_its_members(spark, monkeypatch, count):
     assert {r["component_id"] for r in made} == {0} and sum(sent) < 3 * count
 
 
-def test_parts_of_a_bucket_lose_no_pair(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "PART", 3)
+@pytest.mark.parametrize("part,block,shingles", [(2, 512, 4096), (2, 3, 50), (0, 2, 7)])
+def test_blocks_of_a_bucket_lose_no_pair(spark, monkeypatch, part, block, shingles):
+    for name, value in (("PART", part), ("BLOCK", block), ("SHINGLES", shingles)):
+        monkeypatch.setattr(near_dedup, name, value)
+    monkeypatch.setattr(near_dedup, "hub_pairs", lambda shared, groups, links, classes, threshold: links.limit(0))  # leaves more apart
     test_near_duplicates_against_brute_force(spark)
 
 
+def test_members_around_the_threshold(spark):
+    pick, passage = random.Random(8), [f"common{k}" for k in range(60)]
+    texts = {i: " ".join(passage + [f"own{pick.randrange(10**7)}" for _ in range(pick.choice((4, 8, 11, 14)))]) for i in range(260)}
+    made = near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in made} == brute_components(texts)
+
+
 def test_near_duplicates_of_hard_rows(docs):
     rows = near_dedup.near_duplicates(docs).collect()
     by_id = {r["doc_id"]: r for r in rows}
