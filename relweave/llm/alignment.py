@@ -160,12 +160,11 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class Memo:
-    """Alignments of the pieces met so far, token by token; forgotten when they are ``MOST_PIECES``."""
+    """Alignments of the pieces met so far; forgotten when they are ``MOST_PIECES``.  Single tokens are kept where ``fields`` has them."""
 
-    TOKENS = ("a_ids", "a_ends", "b_ids", "b_ends", "links")
-
-    def __init__(self, pair: Pair) -> None:
+    def __init__(self, pair: Pair, fields: Sequence[str] = tuple(FIELDS)) -> None:
         self.pair = pair
+        self.kept = [k for k in ("a_ids", "a_ends", "b_ids", "b_ends") if k in fields] + ["links"]
         self.forget()
 
     def forget(self) -> None:
@@ -173,9 +172,9 @@ class Memo:
         self.groups: list[str] = []
         self.whole = np.zeros(0, dtype=bool)  # tokens give back the piece
         self.size = np.zeros(0, dtype=np.int64)  # bytes with the space before it
-        self.n_groups = np.zeros(0, dtype=np.int64)
-        self.flat = {k: np.zeros(0, dtype=np.int64) for k in self.TOKENS}
-        self.edges = {k: np.zeros(1, dtype=np.int64) for k in self.TOKENS}
+        self.counts = {k: np.zeros(0, dtype=np.int32) for k in ("a", "b", "common")}
+        self.flat = {k: np.zeros(0, dtype=np.int64) for k in self.kept}
+        self.edges = {k: np.zeros(1, dtype=np.int64) for k in self.kept}
 
     def number_of(self, pieces: list[str]) -> np.ndarray:
         fresh = [p for p in dict.fromkeys(pieces) if p not in self.number]
@@ -226,9 +225,12 @@ class Memo:
         for p in fresh:
             self.number[p] = len(self.number)
         self.whole = np.append(self.whole, np.full(len(fresh), made is not None))
-        self.size, self.n_groups = np.append(self.size, size), np.append(self.n_groups, np.diff(rows["common"]))
+        self.size = np.append(self.size, size)
+        for k in self.counts:
+            self.counts[k] = np.append(self.counts[k], np.diff(rows[k]).astype(np.int32))
         found = {"a_ids": (a, "a"), "a_ends": (a_ends, "a"), "b_ids": (b, "b"), "b_ends": (b_ends, "b"), "links": (links, "links")}
-        for k, (values, kind) in found.items():
+        for k in self.kept:
+            values, kind = found[k]
             if k.endswith("ends"):
                 values = values - np.repeat(starts, np.diff(rows[kind]))
             self.edges[k] = np.append(self.edges[k], self.edges[k][-1] + rows[kind][1:])
@@ -249,14 +251,15 @@ def _align(memo: Memo, texts: Sequence[str | None], fields: Sequence[str]) -> pa
     edges = np.searchsorted(row, np.arange(n + 1))
 
     def total(per_piece: np.ndarray) -> np.ndarray:
-        return np.diff(np.append(0, np.cumsum(per_piece[number]))[edges])
+        return np.diff(np.append(0, np.cumsum(per_piece[number], dtype=np.int64))[edges])
 
     def lists(values: np.ndarray, sizes: np.ndarray, kind) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values.astype(kind)))
 
     size = {k: np.diff(e) for k, e in memo.edges.items()}
     out: dict[str, pa.Array] = {
-        "n_a": pa.array(total(size["a_ids"])), "n_b": pa.array(total(size["b_ids"])), "n_groups": pa.array(total(memo.n_groups)), "n_links": pa.array(total(size["links"])),
+        "n_a": pa.array(total(memo.counts["a"])), "n_b": pa.array(total(memo.counts["b"])), "n_groups": pa.array(total(memo.counts["common"])),
+        "n_links": pa.array(total(size["links"])),
     }
     if "groups" in fields:
         words, ends = list(map(memo.groups.__getitem__, number.tolist())), edges.tolist()
@@ -277,7 +280,7 @@ def _align(memo: Memo, texts: Sequence[str | None], fields: Sequence[str]) -> pa
     if set(fields) & {"a_ids", "a_ends", "b_ids", "b_ends"}:
         before = np.cumsum(memo.size[number]) - memo.size[number]
         before -= np.repeat(before[np.minimum(edges[:-1], max(len(before) - 1, 0))], np.diff(edges)) if len(before) else 0
-        for k in ("a_ids", "a_ends", "b_ids", "b_ends"):
+        for k in memo.kept[:-1]:
             many = size[k][number]
             values = memo.flat[k][_spread(memo.edges[k][number], many)]
             if k.endswith("ends"):
@@ -316,7 +319,7 @@ def align(docs: DataFrame, files: Files | None = None, *, text: str = "text", re
     def aligned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memo = None
         for column in batches:
-            memo = memo or Memo(Pair(files))
+            memo = memo or Memo(Pair(files), names)
             texts, parts, first = _texts(column), [], 0
             while first < len(texts):
                 last, size = first, 0
