@@ -361,6 +361,67 @@ def test_model_probabilities_sum_to_one_and_adapt():
     assert language_model.log_probabilities(model, flat, np.array([0, len(flat)]))[0] / len(flat) >= first
 
 
+def test_bit_mix_against_a_slow_version():
+    """Every bit of three texts, one after the other, with weights that move after each block."""
+    lm, pick = language_model, random.Random(4)
+    texts = [words(s, n).encode() for s, n in ((1, 3), (2, 90), (3, 400))]
+    flat, offsets = np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)])
+    keys = np.array(sorted({int(own[i]) * 256 + int(flat[i]) for own in lm.contexts(flat, offsets) for i in range(0, len(flat), 2)}))
+    model = lm.build(keys, np.array([pick.randrange(1, 60) for _ in keys]))
+    got, own = np.diff(lm.byte_logs(model, flat, offsets)[0]), lm.contexts(flat, offsets)
+    for t in range(len(texts)):
+        weights = model["start"].astype(float)
+        for first, last in lm.blocks(np.diff(offsets)[t: t + 1]):
+            pull, bits = np.zeros((2, 3)), [0, 0]
+            for i in range(offsets[t] + first, min(offsets[t] + last, offsets[t + 1])):
+                b, gate, log = int(flat[i]), int(model["gate"][own[1][i]]), 0.0
+                for c in range(int(model["first"][b]), int(model["first"][b] + model["depth"][b])):
+                    x = np.array([model["odds"][o[i] * 255 + model["node"][c]] * float(model["sign"][c]) for o in own])
+                    p = 1 / (1 + math.exp(-max(-15.0, min(15.0, float(weights[gate] @ x)))))
+                    log += math.log(p)
+                    pull[gate] += (1 - p) * x
+                    bits[gate] += 1
+                assert abs(got[i] - log) < 1e-3
+            for gate in (0, 1):
+                weights[gate] += lm.RATE / max(lm.BLOCK, bits[gate]) * pull[gate]
+
+
+def test_parts_of_words_and_earlier_ones():
+    from relweave.llm.words import CLASSES, SPACED, find
+
+    texts = ["The cat. The CAT, the", "", "a ! The.", "The"]
+    flat = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
+    offsets = np.cumsum([0, *map(len, texts)])
+    lower = np.frombuffer("".join(texts).lower().encode(), dtype=np.uint8)
+    found = find(lower, offsets, CLASSES[SPACED])
+    shape, before, mark, core = language_model.parts(found, flat)
+    assert shape.tolist() == [1, 0, 1, 2, 0, 0, 0, 1, 1]
+    assert bytes(before.astype(np.uint8)) == b" e.e,  a!"[:5] + b" a! "
+    assert [chr(m) if m else "" for m in mark] == ["", ".", "", ",", "", "", "", ".", ""]
+    assert core[0] == core[2] == core[4] == core[7] == core[8] and core[1] == core[3]
+    assert language_model.met_before(found.row_of(), core).tolist() == [0, 0, 1, 1, 2, 0, 0, 0, 0]
+
+
+def test_scores_learn_words_and_refine(spark):
+    """On held-out texts the mix beats its bits alone; unseen words cost more than known ones; no training rows: one bit a decision."""
+    pick = random.Random(3)
+    vocabulary = ["".join(pick.choice("abcdefghijklmnop") for _ in range(pick.randrange(2, 9))) for _ in range(400)]
+    draw = lambda n: " ".join(vocabulary[int(400 * pick.random() ** 3)] for _ in range(n))
+    rows = [(i, draw(200)) for i in range(200)] + [(1000, "kknown"), (1001, None), (1002, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    scored = {r["doc_id"]: r for r in language_model.score_texts(docs, F.col("doc_id") < 150).collect()}
+    size = sum(len(t) for i, t in rows if 150 <= i < 200)
+    bits = lambda c: -sum(scored[i][c] for i in range(150, 200)) / math.log10(2) / size
+    assert bits("score") < 1.05 * bits("base_score")
+    assert scored[1001]["score"] == scored[1002]["score"] == 0
+    few = {r["doc_id"]: r["score"] for r in language_model.score_texts(docs, F.col("doc_id") < 150, head=5).collect()}
+    assert all(abs(few[i] - r["score"]) < 1e-3 * max(1, -r["score"]) for i, r in scored.items())  # the shuffled tail scores like the head
+    untaught = language_model.score_texts(docs.where("doc_id = 1000"), F.lit(False)).first()
+    none = np.zeros(0, dtype=np.int64)
+    depth = language_model.build(none, none)["depth"]
+    assert abs(untaught["score"] + sum(int(depth[b]) for b in b"kknown") * math.log10(2)) < 1e-4 and untaught["n_known"] == 0
+
+
 def test_mixing_meets_targets(spark):
     pick = random.Random(8)
     rows = [(i, words(i, pick.randrange(1, 60)), pick.choice(["a", "a", "a", "b", "c", "d", None])) for i in range(1500)]
