@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from relweave.functions.draws import draw, unit
-from relweave.operators.positions import PREFIX_LENGTH, bucket_offsets, dense_index, split_buckets
+from relweave.operators.positions import PREFIX_LENGTH, bucket_offsets, dense_index, split_buckets, spread_rows
 
 SELF_REFERENCE_ROOTS = 5  # the first n/5 rows have no parent
 PAIR_MULTIPLIER = 1_000_003
@@ -38,6 +38,7 @@ def fill_fk(
     row_id: str,
     null_rate: float = 0.0,
     dense: tuple[int, int] | None = None,
+    n_rows: int | None = None,
 ) -> DataFrame:
     """Give each child row the key of one uniformly drawn parent row.
 
@@ -45,7 +46,8 @@ def fill_fk(
     table and key columns, so several keys of one table are independent.  A missing
     or empty parent gives NULL.  ``dense=(first, n)`` states that the parent key is
     first..first+n-1, which needs no join.  Otherwise parent keys are numbered and
-    joined on the number; the draw is uniform, so no parent number is hot.
+    joined on the number; the draw is uniform, so no parent number is hot.  ``n_rows``, the
+    number of children, bounds the rows of a task after that join.
     """
     tag = _tag(columns)
     row = F.col(row_id)
@@ -67,7 +69,7 @@ def fill_fk(
     numbered = dense_index(parent.select(*ref_columns), ref_columns, index="_ix").select(
         "_ix", *[F.col(r).alias(n) for r, n in zip(ref_columns, names, strict=True)]
     )
-    joined = child.withColumn("_ix", ix).join(numbered, "_ix", "left")
+    joined = spread_rows(child.withColumn("_ix", ix), n_rows, "_ix").join(numbered, "_ix", "left")
     return _with_columns(joined, {c: F.col(n) for c, n in zip(columns, names, strict=True)}, child)
 
 
@@ -201,9 +203,10 @@ def fill_junction(
     """Fill the foreign keys ``(parent, columns, ref_columns)`` with distinct combinations.
 
     ``dense`` gives (first, n) for parents whose key is first..first+n-1; the others are
-    counted, numbered and joined on the number.
+    counted, numbered and joined on the number.  The last of these joins bounds the rows of a task.
     """
     dense = list(dense) or [None] * len(parents)
+    last = max((k for k, known in enumerate(dense) if not known), default=-1)
     sizes = [d[1] if d else p.count() for (p, _, _), d in zip(parents, dense, strict=True)]
     out = junction_codes(df, position, sizes, n_rows, seed=seed, table=table)
     for k, ((parent, columns, refs), known) in enumerate(zip(parents, dense, strict=True)):
@@ -215,7 +218,7 @@ def fill_junction(
         numbered = dense_index(parent.select(*refs), refs, index=ix).select(
             ix, *[F.col(r).alias(n) for r, n in zip(refs, names, strict=True)]
         )
-        joined = out.join(numbered, ix, "left")
+        joined = (spread_rows(out, n_rows, ix) if k == last else out).join(numbered, ix, "left")
         out = _with_columns(joined, {c: F.col(n) for c, n in zip(columns, names, strict=True)}, out)
     return out.select(*df.columns)
 

@@ -19,6 +19,7 @@ PREFIX_LENGTH = 4  # hex digits: 65,536 buckets
 BUCKET_ROWS = 1_000_000  # a bucket with more is split by further digits
 COPIES_PER_CHUNK = 100_000
 CUT_LENGTH = 256
+TASK_ROWS = 500_000  # of a generated table in one task
 
 
 def key_text(columns: Sequence[str]) -> Column:
@@ -33,6 +34,16 @@ def running_before(value: str, order: str, *groups: str) -> Column:
     return F.coalesce(F.sum(value).over(window), F.lit(0).cast("bigint"))
 
 
+def spread_rows(df: DataFrame, n_rows: int | None, *columns: str) -> DataFrame:
+    """A table of known size spread by the columns so that a task has about TASK_ROWS rows; left alone if they fit one task.
+
+    Partitions that follow bytes alone hold millions of narrow rows, each of which makes several keys in a check.
+    """
+    if n_rows is None or n_rows <= TASK_ROWS:
+        return df
+    return df.repartition(max(math.ceil(n_rows / TASK_ROWS), df.sparkSession.sparkContext.defaultParallelism), *columns)
+
+
 def dense_index(
     df: DataFrame,
     keys: Sequence[str],

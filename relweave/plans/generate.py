@@ -220,10 +220,13 @@ def _relate(
         except ValueError as short:
             raise C.ConstraintError(table.name, ", ".join(c for fk in keys for c in fk.columns), "UNIQUE over foreign keys", 0) from short
         left = [fk for fk in left if fk not in keys]
+    # the last join bounds the rows of a task; an empty parent gives NULL, which would not spread
+    joins = [fk for fk in left if fk.ref_table in done and not known[fk] and rows[fk.ref_table]]
     for fk in left:
         if fk.ref_table in done:
             df = K.fill_fk(
                 df, parent(fk), fk.columns, fk.ref_columns, seed=seed, table=table.name, row_id="_row", dense=known[fk],
+                n_rows=n if joins and fk is joins[-1] else None,
             )
     return df
 
@@ -303,7 +306,7 @@ def generate_database(
         if name in done and fk.ref_table in done and not (name in existing and set(fk.columns) <= set(existing[name].columns)):
             done[name] = K.fill_fk(
                 done[name], done[fk.ref_table], fk.columns, fk.ref_columns, seed=seed, table=name, row_id="_row",
-                dense=None if fk.ref_table in existing else _dense_key(db, counts, fk),
+                dense=None if fk.ref_table in existing else _dense_key(db, counts, fk), n_rows=counts[name] if counts[fk.ref_table] else None,
             )
     made = {n: df if df is existing.get(n) else df.drop("_row") for n, df in done.items()}
     return Generated(made, order, counts)
