@@ -206,7 +206,7 @@ def validate_integrity(tables: Mapping[str, DataFrame], db: S.Database) -> DataF
         cells.setdefault(name, []).append([str(number), *slots, "1", "0", "0"])
         spread.append(
             f"WHEN number = {number} THEN transform(sequence(0, {len(columns) - 1}), k -> named_struct('number', {len(rows)} + k, "
-            "'bad', if(array_contains(split(texts[0], ','), string(k)), rows, 0L)))"
+            "'bad', if(array_contains(split(nulls, ','), string(k)), rows, 0L)))"
         )
         rows += [("not_null", name, c, "NULL values") for c in columns]
     slot_names = [*[f"k{i}" for i in range(width)], "texts"]
@@ -216,8 +216,13 @@ def validate_integrity(tables: Mapping[str, DataFrame], db: S.Database) -> DataF
         F.sum("rows").alias("rows"), F.sum("tested").alias("tested"), F.sum("parents").alias("parents")
     )
     is_fk = f"coalesce(get({array_sql([c.ref_table is not None for c in checks])}, number), false)" if checks else "false"
-    own_row = f"array(named_struct('number', number, 'bad', if({is_fk}, if(parents = 0, tested, 0L), greatest(tested - 1, 0L))))"
-    found = by_key.select(
+    # summed up before rows of the report are made: one row a check, and one for each list of NULL columns
+    summed = by_key.select(
+        "number", F.expr(f"if(number < {len(checks)}, NULL, texts[0])").alias("nulls"), "rows", "parents",
+        F.expr(f"if({is_fk}, if(parents = 0, tested, 0L), greatest(tested - 1, 0L))").alias("bad"),
+    ).groupBy("number", "nulls").agg(F.sum("rows").alias("rows"), F.sum("parents").alias("parents"), F.sum("bad").alias("bad"))
+    own_row = "array(named_struct('number', number, 'bad', bad))"
+    found = summed.select(
         "rows", "parents", F.expr(is_fk).alias("is_fk"),
         F.expr(f"inline(CASE {' '.join(spread)} ELSE {own_row} END)" if spread else f"inline({own_row})"),
     ).groupBy("number", "is_fk").agg(
