@@ -6,7 +6,7 @@ three bytes before; a hash of the word so far and its place) and each tree node,
 odds of the decision in training.  Counts are gathered per context and byte, which gives
 every node's counts by addition.  Mixing: the log odds are combined by weights, one set
 for each gate (whether the long context was seen often), and squashed to a probability.
-Refining: each text starts with weights learned on a sample of training texts; after every
+Refining: each text starts with weights learned on all training texts; after every
 block of a text, short ones first, they move along that block's prediction error, so they
 follow the text.
 
@@ -20,7 +20,7 @@ The score is the log10 probability of the UTF-8 text by this mix.
 The vocabulary grows with the corpus, for the base and for the mix: the ``HEAD`` most frequent
 tokens are broadcast, every other token is joined by a shuffle, so no hot token of the training texts is
 shuffled.  The context tables that spell unseen words have a fixed size (``SLOTS``) and are broadcast.
-The start weights come from about ``START_ROWS`` training texts, chosen by digest.
+The start weights are learned by a pass of their own over every training text.
 
 Defined cases: a null text is empty: one end token, no bits, score 0; without training
 documents every token is unseen and every bit has probability 1/2; repeated rows score
@@ -50,7 +50,6 @@ START = np.array([[0.5, 0.3, 0.4], [0.15, 0.6, 0.4]], dtype=np.float32)  # weigh
 GRAIN = 0.1  # step of the stored log odds
 OFTEN = 32  # sightings from which a long context opens the second gate
 HEAD = 200_000
-START_ROWS = 2_000
 LEAST_SPELLED = 1e-3  # least weight of the spelling of a word
 OWN, OWN_AFTER = 0.3, 50  # weight of a long text's own words, and the words after which it is half that
 MARKS = ".,;:!?"
@@ -203,8 +202,8 @@ def blocks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
         first = last
 
 
-def byte_logs(model: dict, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Natural log probability of all bytes before each place of a slice, and each text's last weights."""
+def byte_logs(model: dict, flat: np.ndarray, offsets: np.ndarray, *, wanted: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Natural log probability of all bytes before each place of a slice (unless only the weights are ``wanted``), and each text's last weights."""
     texts = len(offsets) - 1
     weights = np.repeat(model["start"].T.reshape(-1, 1, 2), texts, axis=1).reshape(-1, 2 * texts).astype(np.float32)
     if not len(flat):
@@ -236,7 +235,7 @@ def byte_logs(model: dict, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.nd
     code = (model["first"][met] - ends[:-1])[byte] + np.arange(ends[-1])
     node, sign = model["node"][code], model["sign"][code]
     odds = [model["odds"].take((c * 255)[order][byte] + node) * sign for c in own]  # towards what came
-    logs = np.empty(len(order))
+    logs = np.empty(len(order)) if wanted else np.zeros(0)
     for first, last, (slot, size) in zip(bounds[:-1], bounds[1:], runs):
         bits, (slot, size) = slice(ends[first], ends[last]), (slot[size > 0], size[size > 0])
         run = ends[first + np.cumsum(size) - size] - bits.start
@@ -247,7 +246,8 @@ def byte_logs(model: dict, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.nd
             z += np.repeat(w[slot], length) * x
         away = np.exp(-np.clip(z, -15, 15))
         sure = away + 1
-        logs[order[first:last]] = -np.log(np.multiply.reduceat(sure, ends[first:last] - bits.start, dtype=np.float64))
+        if wanted:
+            logs[order[first:last]] = -np.log(np.multiply.reduceat(sure, ends[first:last] - bits.start, dtype=np.float64))
         away /= sure  # how far the probability of what came stays below 1
         rate = (RATE / np.maximum(BLOCK, length)).astype(np.float32)
         for w, x in zip(weights, xs):
@@ -260,20 +260,19 @@ def log_probabilities(model: dict, flat: np.ndarray, offsets: np.ndarray) -> np.
     return np.diff(byte_logs(model, flat, offsets)[0][offsets])
 
 
-def start_weights(texts: DataFrame, model: dict, share: float) -> np.ndarray:
-    """Mean of the weights at which a sample of texts ends, each by its size; those of the model for an empty sample."""
+def start_weights(texts: DataFrame, model: dict) -> np.ndarray:
+    """Mean of the weights at which the texts end, each by its size; those of the model without texts."""
     held = texts.sparkSession.sparkContext.broadcast(model)
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for flat, offsets in slices(batch.column(0), SCORE_SLICE):
                 size = np.diff(offsets).astype(np.float64)
-                weights = byte_logs(held.value, flat, offsets)[1].reshape(len(SLOTS), -1, 2)
+                weights = byte_logs(held.value, flat, offsets, wanted=False)[1].reshape(len(SLOTS), -1, 2)
                 sums = np.einsum("ktg,t->gk", weights, size).reshape(-1)
                 yield pa.RecordBatch.from_arrays([pa.array([*range(len(sums)), -1]), pa.array([*sums, size.sum()])], names=["k", "w"])
 
-    chosen = texts.where(F.crc32("text") < F.lit(int(min(share, 1.0) * (1 << 32))))
-    sums = {r["k"]: r["w"] for r in chosen.mapInArrow(last, "k bigint, w double").groupBy("k").agg(F.sum("w").alias("w")).collect()}
+    sums = {r["k"]: r["w"] for r in texts.mapInArrow(last, "k bigint, w double").groupBy("k").agg(F.sum("w").alias("w")).collect()}
     if not sums.get(-1):
         return model["start"]
     found = np.array([sums[k] for k in range(START.size)]) / sums[-1]
@@ -373,14 +372,13 @@ def score_texts(docs: DataFrame, training: Column, *, id_: str = "doc_id", text:
         F.sum("n").alias("n"), F.sum("word").alias("word")
     ), "tokens")
     end = F.col("token") == F.lit(int(END))
-    n, v, words, once, texts = tokens.agg(
+    n, v, words, once = tokens.agg(
         F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0), F.coalesce(F.sum("word"), F.lit(0)), F.count_if(F.col("word") == 1),
-        F.coalesce(F.max(F.when(end, F.col("n"))), F.lit(0)),
     ).first()
     if words:
         model["spell"] = min(max(once / words, LEAST_SPELLED), 0.5)
         model["taken"] = float(np.log1p(-model["spell"]) - np.log(words))
-        model["start"] = start_weights(learned, model, START_ROWS / texts)
+        model["start"] = start_weights(learned, model)
     level = F.floor(F.log2(F.greatest("n", "word")) * 16)
     levels = sorted(((r["level"], r["m"]) for r in tokens.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("m")).collect()), reverse=True)
     kept, least = 0, 1 << 20

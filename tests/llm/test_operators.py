@@ -424,6 +424,23 @@ def test_scores_learn_words_and_refine(spark):
     assert abs(untaught["score"] + sum(int(depth[b]) for b in b"kknown") * math.log10(2)) < 1e-4 and untaught["n_known"] == 0
 
 
+def test_start_weights_come_from_every_training_text(spark):
+    """The mean of the weights at which each text ends, by size; no text is left out."""
+    lm, pick = language_model, random.Random(6)
+    texts = [words(i, pick.randrange(1, 200)) for i in range(60)] + ["qx " * 900, None, ""]
+    flat, offsets = np.frombuffer("".join(t or "" for t in texts).encode(), dtype=np.uint8), np.cumsum([0, *(len((t or "").encode()) for t in texts)])
+    keys = np.unique(np.concatenate([own * 256 + flat for own in lm.contexts(flat, offsets)]))
+    model = lm.build(keys, np.arange(len(keys)) % 40 + 1)
+    sums = np.zeros((2, 3))
+    for i, size in enumerate(np.diff(offsets)):
+        ends = lm.byte_logs(model, flat[offsets[i]: offsets[i + 1]], np.array([0, size]))[1]
+        sums += ends.reshape(3, 2).T * size
+    every = lambda rows: lm.start_weights(spark.createDataFrame([(t,) for t in rows], "text string").repartition(3), model)
+    assert np.abs(every(texts) - sums / len(flat)).max() <= 0.0011
+    assert (every(texts) != every([t for t in texts if t != "qx " * 900])).any()
+    assert (every([None, ""]) == lm.START).all()
+
+
 def test_mixing_meets_targets(spark):
     pick = random.Random(8)
     rows = [(i, words(i, pick.randrange(1, 60)), pick.choice(["a", "a", "a", "b", "c", "d", None])) for i in range(1500)]
