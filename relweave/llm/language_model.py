@@ -55,9 +55,10 @@ OWN, OWN_AFTER = 0.3, 50  # weight of a long text's own words, and the words aft
 MARKS = ".,;:!?"
 MORE = 256 * 3 + 256  # words by the byte before and their shape, words by their mark
 END = np.uint64(0x45E1D0F7EE7)  # stands for the end token
-COUNT_SLICE, SCORE_SLICE = 1 << 19, 1 << 16
+COUNT_SLICE, SCORE_SLICE = 1 << 18, 1 << 17
 _SPACE = ~CLASSES[SPACED]
 _MARK = np.isin(np.arange(256), list(MARKS.encode()))
+_WORD_VALUES = numbered(256, seed=31)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 ARROW_SCORE = pa.struct([
@@ -66,6 +67,15 @@ ARROW_SCORE = pa.struct([
 ])
 
 
+def keep_freed_memory() -> None:
+    """Have the allocator keep the arrays of one slice for the next, up to about 60 MB a worker.
+
+    It takes the size of the largest block freed so far as a measure; this one is never touched.
+    Otherwise each array's pages go back and are faulted in again, half the time of a slice.
+    """
+    np.empty(31 << 20, dtype=np.uint8)
+
+
 # --- words ------------------------------------------------------------------------
 def parts(words: Words, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each word: shape, the byte before the white space before it, and its mark (0 for none).
@@ -110,39 +120,49 @@ def met_before(row: np.ndarray, word: np.ndarray) -> np.ndarray:
 def contexts(flat: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """For each byte the number of its context in each predictor; texts begin after spaces."""
     n = len(flat)
-    at = np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets))
-    before = []
-    for k in (1, 2, 3):
-        b = np.full(n, 32, dtype=np.uint64)
-        b[k:] = flat[:-k] if k < n else flat[:0]
-        b[at < k] = 32
-        before.append(b)
-    slot = lambda h, size: (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - size.bit_length())  # noqa: E731  size is a power of two
-    long = before[0] | before[1] << np.uint64(8) | before[2] << np.uint64(16)
+    sizes = np.diff(offsets)
+    heads, sizes = offsets[:-1][sizes > 0], sizes[sizes > 0]
+    framed = np.full(n + 3, 32, dtype=np.uint8)
+    framed[3:] = flat
+    wide = framed.astype(np.uint32)
+    long = wide[2:-1] | wide[1:-2] << np.uint32(8) | wide[:-3] << np.uint32(16)
+    for k in range(3):  # what stands before a text is another one
+        at = heads[sizes > k] + k
+        bytes_ = [wide[at + 3 - i] if i <= k else np.uint32(32) for i in (1, 2, 3)]
+        long[at] = bytes_[0] | bytes_[1] << np.uint32(8) | bytes_[2] << np.uint32(16)
+    slot = lambda h, size: ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - size.bit_length())).view(np.int64)  # noqa: E731  size is a power of two
     # the word so far: values of its bytes by place, summed since the last space
-    values = numbered(256, seed=31)[flat]
-    start = np.zeros(n, dtype=np.int64)
-    opens = _SPACE[flat]
     begin = np.zeros(n, dtype=bool)
-    begin[1:] = opens[:-1]
-    begin[offsets[:-1][np.diff(offsets) > 0]] = True
-    start[begin] = np.flatnonzero(begin)
-    np.maximum.accumulate(start, out=start)
-    place = (np.arange(n) - start).astype(np.uint64)
+    begin[1:] = _SPACE[framed[3:-1]]
+    begin[heads] = True
+    start = np.flatnonzero(begin)
+    length = np.diff(np.append(start, n))
+    place = np.arange(n, dtype=np.uint64)
+    place -= np.repeat(start.astype(np.uint64), length)
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(values * (place * np.uint64(2) + np.uint64(1)), out=sums[1:])
-    word = sums[:-1] - sums[start] + place
-    return [before[0].astype(np.int64), FIRST[1] + slot(long, SLOTS[1]).astype(np.int64), FIRST[2] + slot(word, SLOTS[2]).astype(np.int64)]
+    np.cumsum(_WORD_VALUES.take(flat) * (place * np.uint64(2) + np.uint64(1)), out=sums[1:])
+    place += sums[:-1]
+    place -= np.repeat(sums[start], length)
+    return [(long & np.uint32(255)).astype(np.int64), slot(long.astype(np.uint64), SLOTS[1]) + FIRST[1], slot(place, SLOTS[2]) + FIRST[2]]
 
 
 def count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(context * 256 + byte, sightings) of a partition's training texts; words by shape and mark follow the last context."""
+    keep_freed_memory()
     total = np.zeros(int(FIRST[-1]) * 256 + MORE, dtype=np.int32)
     for batch in batches:
         for flat, offsets in slices(batch.column(0), COUNT_SLICE):
-            for own in contexts(flat, offsets):
-                key, times = np.unique((own * 256 + flat).astype(np.int32), return_counts=True)  # near places one after the other
-                total[key] += times
+            if not len(flat):
+                continue
+            first, *others = contexts(flat, offsets)
+            total[: 1 << 16] += np.bincount(first * 256 + flat, minlength=1 << 16)
+            for own in others:
+                key = own.astype(np.int32)
+                key <<= 8
+                key |= flat
+                key.sort()  # near places one after the other
+                at = np.flatnonzero(key[1:] != key[:-1])
+                total[key[np.append(at, len(key) - 1)]] += np.diff(at, prepend=-1, append=len(key) - 1)
             shape, before, mark = parts(find(flat, offsets, CLASSES[SPACED]), flat)
             total[-MORE:] += np.bincount(before.astype(np.int64) * 3 + shape, minlength=MORE) + np.bincount(mark + 768, minlength=MORE)
     key = np.flatnonzero(total)
@@ -209,46 +229,56 @@ def byte_logs(model: dict, flat: np.ndarray, offsets: np.ndarray, *, wanted: boo
     if not len(flat):
         return np.zeros(1), weights
     own = contexts(flat, offsets)
-    gate = model["gate"][own[1]]
     # bytes in the order they are met: block by block, in it text by text, in it gate by gate, so that
     # neighbours share their weights
-    order, bounds, runs = [], [0], []
-    for first, last in blocks(np.diff(offsets)):
-        live = np.flatnonzero(np.diff(offsets) > first)
-        size = np.minimum(offsets[live + 1] - offsets[live], last) - first
-        lane = np.cumsum(size) - size
-        place = np.repeat(offsets[live] + first - lane, size) + np.arange(int(size.sum()))
-        opened = gate[place]
-        before = np.cumsum(opened) - opened
-        ones = np.add.reduceat(opened, lane)
-        to = np.where(opened, np.repeat(size - ones + lane - before[lane], size) + before, np.arange(len(place)) - before + np.repeat(before[lane], size))
-        met = np.empty_like(place)
-        met[to] = place
-        order.append(met)
-        bounds.append(bounds[-1] + len(met))
-        runs.append((np.stack([live * 2, live * 2 + 1], 1).reshape(-1), np.stack([size - ones, ones], 1).reshape(-1)))
-    order = np.concatenate(order)
+    sizes, texts_of, sizes_of, runs, bounds = np.diff(offsets), [], [], [0], [0]
+    for first, last in blocks(sizes):
+        live = np.flatnonzero(sizes > first)
+        texts_of.append(live)
+        sizes_of.append(np.minimum(sizes[live], last) - first)
+        runs.append(runs[-1] + 2 * len(live))
+        bounds.append(bounds[-1] + int(sizes_of[-1].sum()))
+    texts_of, sizes_of = np.concatenate(texts_of), np.concatenate(sizes_of)
+    by_text = np.argsort(texts_of, kind="stable")
+    run_of = np.repeat(by_text * 2, sizes_of[by_text])
+    run_of += model["gate"].take(own[1])
+    order = np.argsort(run_of.astype(np.uint16) if runs[-1] <= 1 << 16 else run_of, kind="stable")  # 16 bits are sorted by radix
+    size_of = np.bincount(run_of, minlength=runs[-1])
+    slot_of = (texts_of[:, None] * 2 + np.arange(2)).reshape(-1)
     met = flat[order]
-    depth = model["depth"][met]
-    ends = np.concatenate([[0], np.cumsum(depth)])
-    byte = np.repeat(np.arange(len(order)), depth)
-    code = (model["first"][met] - ends[:-1])[byte] + np.arange(ends[-1])
-    node, sign = model["node"][code], model["sign"][code]
-    odds = [model["odds"].take((c * 255)[order][byte] + node) * sign for c in own]  # towards what came
+    depth = model["depth"].take(met)
+    ends = np.zeros(len(order) + 1, dtype=np.int64)
+    np.cumsum(depth, out=ends[1:])
+    code = np.repeat(model["first"].take(met) - ends[:-1], depth)
+    code += np.arange(ends[-1])
+    node, way = model["node"].take(code), np.sign(model["sign"]).take(code)
+    odds = []
+    for c in own:
+        at = np.repeat(c[order] * 255, depth)
+        at += node
+        odds.append(model["odds"].take(at).astype(np.float32))
+        odds[-1] *= np.float32(GRAIN)
     logs = np.empty(len(order)) if wanted else np.zeros(0)
-    for first, last, (slot, size) in zip(bounds[:-1], bounds[1:], runs):
-        bits, (slot, size) = slice(ends[first], ends[last]), (slot[size > 0], size[size > 0])
+    for k, (first, last) in enumerate(zip(bounds[:-1], bounds[1:])):
+        bits, size = slice(ends[first], ends[last]), size_of[runs[k]: runs[k + 1]]
+        slot, size = slot_of[runs[k]: runs[k + 1]][size > 0], size[size > 0]
         run = ends[first + np.cumsum(size) - size] - bits.start
         length = np.diff(np.append(run, bits.stop - bits.start))
-        xs = [x[bits] for x in odds]
-        z = np.repeat(weights[0][slot], length) * xs[0]
+        xs, ahead = [x[bits] for x in odds], way[bits]
+        z = np.repeat(weights[0][slot], length)
+        z *= xs[0]
         for w, x in zip(weights[1:], xs[1:]):
-            z += np.repeat(w[slot], length) * x
-        away = np.exp(-np.clip(z, -15, 15))
+            part = np.repeat(w[slot], length)
+            part *= x
+            z += part
+        z *= ahead  # towards what came
+        np.clip(z, -15, 15, out=z)
+        away = np.exp(np.negative(z, out=z), out=z)
         sure = away + 1
         if wanted:
-            logs[order[first:last]] = -np.log(np.multiply.reduceat(sure, ends[first:last] - bits.start, dtype=np.float64))
+            logs[order[first:last]] = -np.log(np.multiply.reduceat(sure.astype(np.float64), ends[first:last] - bits.start))
         away /= sure  # how far the probability of what came stays below 1
+        away *= ahead
         rate = (RATE / np.maximum(BLOCK, length)).astype(np.float32)
         for w, x in zip(weights, xs):
             w[slot] += rate * np.add.reduceat(away * x, run)
@@ -265,6 +295,7 @@ def start_weights(texts: DataFrame, model: dict) -> np.ndarray:
     held = texts.sparkSession.sparkContext.broadcast(model)
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         for batch in batches:
             for flat, offsets in slices(batch.column(0), SCORE_SLICE):
                 size = np.diff(offsets).astype(np.float64)
@@ -281,6 +312,7 @@ def start_weights(texts: DataFrame, model: dict) -> np.ndarray:
 
 # --- tokens -----------------------------------------------------------------------
 def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keep_freed_memory()
     for batch in batches:
         for flat, offsets in slices(batch.column(0), COUNT_SLICE):
             words = find(_LOWER[flat], offsets, CLASSES[SPACED])
@@ -305,6 +337,7 @@ def scorer(model: dict, head: tuple[np.ndarray, dict], spark) -> Column:
 
     @F.arrow_udf(from_arrow_type(ARROW_SCORE))
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        keep_freed_memory()
         model, (known, counts) = held.value
         for texts in batches:
             out = []

@@ -7,8 +7,11 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -386,6 +389,49 @@ def test_bit_mix_against_a_slow_version():
                 weights[gate] += lm.RATE / max(lm.BLOCK, bits[gate]) * pull[gate]
 
 
+def test_contexts_and_their_counts_against_a_slow_version():
+    """Each byte's contexts by the bytes before it in its own text, and their sightings; empty texts count nothing."""
+    import pyarrow as pa
+
+    from relweave.llm.words import numbered
+
+    lm, texts = language_model, [b"", b"a", b"ab", b"a b\tcd  abc abc", b"", "\u00e9t\u00e9 x".encode(), b"zz" * 40, b""]
+    flat, offsets = np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)])
+    slot = lambda h, size: ((h * 0x9E3779B97F4A7C15) % (1 << 64)) >> (65 - size.bit_length())
+    value, want = numbered(256, seed=31).tolist(), []
+    for text in texts:
+        start = 0
+        for i, byte in enumerate(text):
+            b1, b2, b3 = (text[i - k] if i >= k else 32 for k in (1, 2, 3))
+            start = i if i and b1 in b" \t\n\v\f\r" else start
+            word = (sum(value[c] * (2 * k + 1) for k, c in enumerate(text[start: i])) + i - start) % (1 << 64)
+            want.append((b1, 256 + slot(b1 | b2 << 8 | b3 << 16, lm.SLOTS[1]), 256 + lm.SLOTS[1] + slot(word, lm.SLOTS[2]), byte))
+    assert list(zip(*(c.tolist() for c in lm.contexts(flat, offsets)), flat.tolist(), strict=True)) == want
+    batches = [pa.RecordBatch.from_arrays([pa.array([t.decode() for t in some], pa.string())], names=["text"]) for some in (texts, [b""], [])]
+    got = {k: n for b in lm.count_contexts(iter(batches)) for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    seen = Counter(c * 256 + w[3] for w in want for c in w[:3])
+    assert {k: n for k, n in got.items() if k < int(lm.FIRST[-1]) * 256} == seen
+
+
+def test_slices_are_counted_in_memory_taken_once():
+    """Arrays of a slice are not given back and faulted in again for the next, which took half the time."""
+    code = """
+import resource
+import pyarrow as pa
+from relweave.llm.language_model import count_tokens
+text = "some words to be counted, of which few are new " * 60
+batches = [pa.RecordBatch.from_arrays([pa.array([text] * 1000)], names=["text"])] * 4
+for _ in count_tokens(iter(batches[:2])):
+    pass
+before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+for _ in count_tokens(iter(batches)):
+    pass
+print(resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before)
+"""
+    faults = int(subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], capture_output=True, text=True, check=True).stdout)
+    assert faults < 6000  # of 11 MB
+
+
 def test_parts_of_words_and_earlier_ones():
     from relweave.llm.words import CLASSES, SPACED, find
 
