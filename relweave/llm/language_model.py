@@ -105,12 +105,13 @@ def hashes(words: Words, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def met_before(row: np.ndarray, word: np.ndarray) -> np.ndarray:
     """How often each word, given by its number, stands earlier in its row."""
-    both = row * (word.max(initial=0) + 1) + word
-    order = np.argsort(both, kind="stable")
-    both = both[order]
+    place, bits = np.arange(len(row)), len(row).bit_length()
+    both = (row * (word.max(initial=0) + 1) + word) << bits | place  # numbers sort faster than their places
+    both.sort()
+    order = both & ((1 << bits) - 1)
+    both >>= bits
     new = np.ones(len(row), dtype=bool)
     new[1:] = both[1:] != both[:-1]
-    place = np.arange(len(row))
     out = np.empty(len(row), dtype=np.int64)
     out[order] = place - np.maximum.accumulate(np.where(new, place, 0))
     return out
@@ -130,20 +131,29 @@ def contexts(flat: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         at = heads[sizes > k] + k
         bytes_ = [wide[at + 3 - i] if i <= k else np.uint32(32) for i in (1, 2, 3)]
         long[at] = bytes_[0] | bytes_[1] << np.uint32(8) | bytes_[2] << np.uint32(16)
-    slot = lambda h, size: ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - size.bit_length())).view(np.int64)  # noqa: E731  size is a power of two
+
+    def slot(h: np.ndarray, k: int) -> np.ndarray:  # sizes are powers of two
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h >>= np.uint64(65 - SLOTS[k].bit_length())
+        h += np.uint64(FIRST[k])
+        return h.view(np.int64)
+
     # the word so far: values of its bytes by place, summed since the last space
     begin = np.zeros(n, dtype=bool)
-    begin[1:] = _SPACE[framed[3:-1]]
+    begin[1:] = _SPACE.take(framed[3:-1])
     begin[heads] = True
     start = np.flatnonzero(begin)
     length = np.diff(np.append(start, n))
     place = np.arange(n, dtype=np.uint64)
     place -= np.repeat(start.astype(np.uint64), length)
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_WORD_VALUES.take(flat) * (place * np.uint64(2) + np.uint64(1)), out=sums[1:])
+    value = place << np.uint64(1)
+    value |= np.uint64(1)
+    value *= _WORD_VALUES.take(flat)
+    np.cumsum(value, out=sums[1:])
     place += sums[:-1]
     place -= np.repeat(sums[start], length)
-    return [(long & np.uint32(255)).astype(np.int64), slot(long.astype(np.uint64), SLOTS[1]) + FIRST[1], slot(place, SLOTS[2]) + FIRST[2]]
+    return [(long & np.uint32(255)).astype(np.int64), slot(long.astype(np.uint64), 1), slot(place, 2)]
 
 
 def count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,39 +259,43 @@ def byte_logs(model: dict, flat: np.ndarray, offsets: np.ndarray, *, wanted: boo
     depth = model["depth"].take(met)
     ends = np.zeros(len(order) + 1, dtype=np.int64)
     np.cumsum(depth, out=ends[1:])
-    code = np.repeat(model["first"].take(met) - ends[:-1], depth)
+    byte = np.repeat(np.arange(len(met)), depth)  # of each bit; taking by it is cheaper than repeating each array
+    code = (model["first"].take(met) - ends[:-1]).take(byte)
     code += np.arange(ends[-1])
-    node, way = model["node"].take(code), np.sign(model["sign"]).take(code)
+    node, sign = model["node"].take(code), model["sign"].take(code)
     odds = []
     for c in own:
-        at = np.repeat(c[order] * 255, depth)
+        at = (c.take(order) * 255).take(byte)
         at += node
         odds.append(model["odds"].take(at).astype(np.float32))
-        odds[-1] *= np.float32(GRAIN)
+        odds[-1] *= sign
+    # of each run that has bytes: weights, first bit, bits, and rate
+    filled = np.flatnonzero(size_of)
+    slots, starts = slot_of.take(filled), np.cumsum(size_of)
+    starts = ends.take((starts - size_of).take(filled))
+    lengths = np.diff(starts, append=ends[-1])
+    rates = (RATE / np.maximum(BLOCK, lengths)).astype(np.float32)
+    runs = np.searchsorted(filled, runs)
     logs = np.empty(len(order)) if wanted else np.zeros(0)
     for k, (first, last) in enumerate(zip(bounds[:-1], bounds[1:])):
-        bits, size = slice(ends[first], ends[last]), size_of[runs[k]: runs[k + 1]]
-        slot, size = slot_of[runs[k]: runs[k + 1]][size > 0], size[size > 0]
-        run = ends[first + np.cumsum(size) - size] - bits.start
-        length = np.diff(np.append(run, bits.stop - bits.start))
-        xs, ahead = [x[bits] for x in odds], way[bits]
+        bits, those = slice(ends[first], ends[last]), slice(runs[k], runs[k + 1])
+        slot, length, run = slots[those], lengths[those], starts[those] - bits.start
+        xs = [x[bits] for x in odds]
         z = np.repeat(weights[0][slot], length)
         z *= xs[0]
         for w, x in zip(weights[1:], xs[1:]):
             part = np.repeat(w[slot], length)
             part *= x
             z += part
-        z *= ahead  # towards what came
         np.clip(z, -15, 15, out=z)
         away = np.exp(np.negative(z, out=z), out=z)
         sure = away + 1
         if wanted:
             logs[order[first:last]] = -np.log(np.multiply.reduceat(sure.astype(np.float64), ends[first:last] - bits.start))
         away /= sure  # how far the probability of what came stays below 1
-        away *= ahead
-        rate = (RATE / np.maximum(BLOCK, length)).astype(np.float32)
         for w, x in zip(weights, xs):
-            w[slot] += rate * np.add.reduceat(away * x, run)
+            x *= away
+            w[slot] += rates[those] * np.add.reduceat(x, run)
     return np.concatenate([[0], np.cumsum(logs)]), weights
 
 
@@ -315,7 +329,7 @@ def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keep_freed_memory()
     for batch in batches:
         for flat, offsets in slices(batch.column(0), COUNT_SLICE):
-            words = find(_LOWER[flat], offsets, CLASSES[SPACED])
+            words = find(_LOWER.take(flat), offsets, CLASSES[SPACED])
             mark = parts(words, flat)[2]
             token, core = hashes(words, mark)
             # as a word without its mark, and as a token of the base: the same without a mark
@@ -326,10 +340,20 @@ def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n), pa.array(word)], names=["token", "n", "word"])
 
 
-def places(known: np.ndarray, token: np.ndarray) -> np.ndarray:
+def by_first_bits(known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.uint64, int]:
+    """Sorted hashes and one more, where those of each leading bits begin, the bits left out, and the most hashes alike in them."""
+    left = np.uint64(64 - max(1, len(known).bit_length()))
+    of = np.bincount((known >> left).view(np.int64), minlength=1 << (64 - int(left)))
+    return np.append(known, np.uint64(0)), np.cumsum(of) - of, left, int(of.max())
+
+
+def places(index: tuple[np.ndarray, np.ndarray, np.uint64, int], token: np.ndarray) -> np.ndarray:
     """Place of each token among the sorted known ones, -1 for others (counts end with a zero for them)."""
-    at = np.searchsorted(known, token)
-    return np.where(known[np.minimum(at, len(known) - 1)] == token, at, -1) if len(known) else np.full(len(token), -1)
+    known, begin, left, most = index
+    at, last = begin.take((token >> left).view(np.int64)), len(known) - 1
+    for _ in range(most):  # hashes are spread evenly: few are alike in their first bits
+        at += (known.take(at) < token) & (at < last)
+    return np.where((known.take(at) == token) & (at < last), at, -1)
 
 
 def scorer(model: dict, head: tuple[np.ndarray, dict], spark) -> Column:
@@ -339,11 +363,12 @@ def scorer(model: dict, head: tuple[np.ndarray, dict], spark) -> Column:
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         keep_freed_memory()
         model, (known, counts) = held.value
+        end, index = counts["n"][:-1][known == END].sum(), by_first_bits(known)  # every text ends with the end token
         for texts in batches:
             out = []
             for flat, offsets in slices(texts, SCORE_SLICE):
                 sums, n = byte_logs(model, flat, offsets)[0], len(offsets) - 1
-                words = find(_LOWER[flat], offsets, CLASSES[SPACED])
+                words = find(_LOWER.take(flat), offsets, CLASSES[SPACED])
                 row, (shape, before, mark) = words.row_of(), parts(words, flat)
                 token, word = hashes(words, mark)
                 distinct, which = np.unique(word, return_inverse=True)
@@ -358,16 +383,15 @@ def scorer(model: dict, head: tuple[np.ndarray, dict], spark) -> Column:
                 again = np.log(np.maximum(whole * own_words * met_before(row, which) / np.maximum(earlier, 1), 1e-300))
                 other = np.logaddexp(spelled + np.log(model["spell"]), again + shape)
                 shape += np.log1p(-own_words)
-                j = places(known, distinct)[which]
+                j = places(index, distinct)[which]
                 i = j.copy()
-                i[mark > 0] = places(known, token[mark > 0])
+                i[mark > 0] = places(index, token[mark > 0])
                 often = counts["word"][j]
                 mixed = other.copy()
                 taken = often > 0
                 mixed[taken] = np.logaddexp(other[taken], model["taken"] + np.log(often[taken]) + shape[taken])
                 logs = np.diff(sums[offsets]) + np.bincount(row, mixed - spelled, n)
                 base = counts["n"][i]
-                end = counts["n"][:-1][known == END].sum()  # every text ends with the end token
                 head = np.bincount(row, np.log10(base + 1.0), n) + np.log10(end + 1.0)
                 # words outside the head: as tokens of the base, as words of the mix, or both at once
                 both = (i < 0) & (token == word)
@@ -399,7 +423,8 @@ def score_texts(docs: DataFrame, training: Column, *, id_: str = "doc_id", text:
     spark = docs.sparkSession
     known = docs.select(F.col(id_).alias("id"), F.col(text).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
     learned = known.where("training").select("text")
-    seen = learned.mapInArrow(count_contexts, "key int, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    # a task yields a key once, so there is nothing to add up before the exchange
+    seen = learned.mapInArrow(count_contexts, "key int, n bigint").repartition("key").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     model = build(seen["key"].to_numpy(), seen["n"].to_numpy())
     tokens = stored(learned.mapInArrow(count_tokens, "token bigint, n bigint, word bigint").groupBy("token").agg(
         F.sum("n").alias("n"), F.sum("word").alias("word")

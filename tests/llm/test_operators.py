@@ -450,6 +450,43 @@ def test_parts_of_words_and_earlier_ones():
     assert language_model.met_before(found.row_of(), np.unique(core, return_inverse=True)[1]).tolist() == [0, 0, 1, 1, 2, 0, 0, 0, 0]
 
 
+def test_bits_of_bytes_are_told_apart_once(monkeypatch):
+    """Bytes have different numbers of bits; repeating for each bit, the dearest step of a slice, is done once, not once an array."""
+    lm, flat = language_model, np.frombuffer(words(5, 300).encode(), dtype=np.uint8)
+    offsets = np.array([0, 100, len(flat)])
+    keys = np.unique(np.concatenate([own * 256 + flat for own in lm.contexts(flat, offsets)]))
+    model, repeated, repeat = lm.build(keys, np.arange(len(keys)) % 40 + 1), [], np.repeat
+    monkeypatch.setattr(np, "repeat", lambda a, n, axis=None: (repeated.append(np.size(n)), repeat(a, n, axis))[1])
+    logs, weights = lm.byte_logs(model, flat, offsets)
+    assert repeated.count(len(flat)) == 1
+    alone = [lm.byte_logs(model, flat[a:b], np.array([0, b - a])) for a, b in ((0, 100), (100, len(flat)))]
+    assert np.allclose(np.diff(logs), np.concatenate([np.diff(x) for x, _ in alone]), atol=1e-6)
+    assert np.allclose(weights.reshape(3, 2, 2), np.stack([w.reshape(3, 2) for _, w in alone], axis=1), atol=1e-6)
+
+
+def test_places_of_tokens_by_their_first_bits():
+    """As a binary search finds them, for none, one, crowded and spread hashes."""
+    from relweave.llm.words import numbered
+
+    spread = numbered(3000, seed=9)
+    for known in (spread[:0], spread[:1], spread[:2000], np.arange(40, dtype=np.uint64), np.append(spread[:50], np.array([0, 1, 2**64 - 1], dtype=np.uint64))):
+        known = np.unique(known)
+        token = np.concatenate([spread, known, np.array([0, 5, 2**63, 2**64 - 1], dtype=np.uint64)])
+        where = {int(k): i for i, k in enumerate(known)}
+        assert language_model.places(language_model.by_first_bits(known), token).tolist() == [where.get(int(t), -1) for t in token]
+
+
+def test_earlier_words_of_many_rows():
+    pick = np.random.default_rng(7)
+    row, word = np.sort(pick.integers(0, 900, 5000)), pick.integers(0, 30, 5000)
+    seen, want = Counter(), []
+    for pair in zip(row.tolist(), word.tolist(), strict=True):
+        want.append(seen[pair])
+        seen[pair] += 1
+    assert language_model.met_before(row, word).tolist() == want
+    assert language_model.met_before(row[:0], word[:0]).tolist() == []
+
+
 def test_scores_learn_words_and_refine(spark):
     """On held-out texts the mix beats its bits alone; unseen words cost more than known ones; no training rows: one bit a decision."""
     pick = random.Random(3)
